@@ -47,9 +47,33 @@ def cumulative(weights: Sequence[float]) -> list[float]:
     return out
 
 
+def _grid(cum: list[float], max_digits: int = 3) -> int | None:
+    """Smallest 10^d (d <= max_digits) on which every cumulative weight lies."""
+    for d in range(max_digits + 1):
+        m = 10 ** d
+        if all(abs(c * m - round(c * m)) < 1e-9 for c in cum):
+            return m
+    return None
+
+
 def choice(u: Column, values: Sequence, weights: Sequence[float]) -> Column:
-    """Weighted category: first value whose cumulative weight exceeds u."""
+    """Weighted category: first value whose cumulative weight exceeds u.
+
+    When the weights sit on a 1/10^d grid (d <= 3) the choice is a lookup in a
+    literal array of 10^d entries indexed by floor(u * 10^d): exact for every
+    u, and a few bytes of generated code (long CASE ladders push the stage's
+    generated method past the JIT's size limit and run interpreted).
+    """
     cum = cumulative(weights)
+    m = _grid(cum)
+    if m is not None:
+        table, j = [], 0
+        for b in range(m):
+            while j < len(cum) - 1 and b >= round(cum[j] * m):
+                j += 1
+            table.append(values[j])
+        arr = F.array(*[F.lit(v) for v in table])
+        return F.element_at(arr, (F.floor(u * F.lit(float(m))) + 1).cast("int"))
     expr = None
     for v, c in zip(values[:-1], cum[:-1]):
         expr = F.when(u < F.lit(c), F.lit(v)) if expr is None else expr.when(u < F.lit(c), F.lit(v))

@@ -64,10 +64,25 @@ def _map(d: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*pairs), key)
 
 
+def spread_keys(keys: DataFrame, key_col: str) -> DataFrame:
+    """Give the hash-heavy projection at least one task per core.
+
+    A scan with fewer splits than cores (one small file, one row group) would
+    run all rows in one task; round-robin the key column alone (8 bytes a
+    row) in that case. Large inputs already have enough splits: no-op.
+    """
+    spark = keys.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    keys = keys.select(key_col)
+    if keys.rdd.getNumPartitions() < want:
+        keys = keys.repartition(want)
+    return keys
+
+
 def draw_table(keys: DataFrame, key_col: str) -> DataFrame:
     """``_key`` plus one uniform column ``_u_<name>`` per draw."""
     k = F.col(key_col)
-    hashed = keys.select(k.alias("_key"), *[digest(k, t).alias(f"_h_{t}") for t in DRAW_TAGS])
+    hashed = spread_keys(keys, key_col).select(k.alias("_key"), *[digest(k, t).alias(f"_h_{t}") for t in DRAW_TAGS])
     return hashed.select("_key", *[slot(F.col(f"_h_{t}"), i).alias(f"_u_{n}") for n, (t, i) in DRAWS.items()])
 
 

@@ -145,12 +145,11 @@ def term_column(t: Term) -> Column:
     if t.kind == "cmp":
         return F.when(_OPS[t.op](col, F.lit(t.bound)), F.lit(float(t.weight))).otherwise(zero)
     if t.kind == "level":
-        expr = None
+        # literal map (constant-folded): compact code, unmatched level -> 0.0
+        pairs = []
         for lv, w in t.levels.items():
-            key = F.lit(lv) if not isinstance(lv, str) else F.lit(lv)
-            cond = col == key
-            expr = F.when(cond, F.lit(float(w))) if expr is None else expr.when(cond, F.lit(float(w)))
-        return expr.otherwise(zero)
+            pairs += [F.lit(lv), F.lit(float(w))]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), col), zero)
     if t.kind == "pay_gap":
         lo, hi = t.bound
         return clip((F.lit(1.0) - col) * F.lit(float(t.weight)), float(lo), float(hi))

@@ -84,3 +84,211 @@ for _fam in FE.FAMILIES:
 @query
 def q_scored_table(spark, sf):
     return scored_table(spark, sf).select("EmployeeID", "AttritionProb", "RiskCategory")
+
+
+# =================================================================== segments
+from retentia.operators import explain as EX  # noqa: E402
+from retentia.operators import segments as SG  # noqa: E402
+
+DETAIL_ID = "ML10042"   # key 42 exists at every scale factor
+
+
+def _rate_query(dim: str) -> Query:
+    def q(spark, sf):
+        return SG.rate_by(employees(spark, sf), dim)
+    q.__name__ = f"q_rate_by_{dim}"
+    return q
+
+
+for _dim in R.RATE_DIMENSIONS:
+    query(_rate_query(_dim))
+
+
+@query
+def q_rate_all_dims(spark, sf):
+    return SG.rate_all_dims(employees(spark, sf), R.RATE_DIMENSIONS)
+
+
+@query
+def q_rate_by_wfh(spark, sf):
+    return SG.rate_by(employees(spark, sf), "WFH_DaysPerWeek")
+
+
+@query
+def q_risk_by_department(spark, sf):
+    return SG.mean_by(scored_table(spark, sf), "Department", "AttritionProb", "mean_prob")
+
+
+@query
+def q_risk_by_location(spark, sf):
+    return SG.mean_by(scored_table(spark, sf), "Location", "AttritionProb", "mean_prob")
+
+
+@query
+def q_risk_by_band(spark, sf):
+    agg = SG.mean_by(scored_table(spark, sf), "LevelBand", "AttritionProb", "mean_prob")
+    return SG.complete_ordered(agg, SG.dim_band(spark), "LevelBand", "band_ord", only_present=True)
+
+
+@query
+def q_attrition_counts(spark, sf):
+    return SG.value_counts(employees(spark, sf), "Attrition")
+
+
+@query
+def q_risk_breakdown(spark, sf):
+    return SG.risk_breakdown(scored_table(spark, sf), spark)
+
+
+@query
+def q_outcome_by_risk(spark, sf):
+    return SG.outcome_by_risk(scored_table(spark, sf))
+
+
+@query
+def q_pivot_dept_gender(spark, sf):
+    return SG.pivot_mean(employees(spark, sf), "Department", "Gender", R.GENDERS)
+
+
+@query
+def q_pivot_band_shift(spark, sf):
+    p = SG.pivot_mean(employees(spark, sf), "LevelBand", "ShiftType", R.SHIFTS)
+    return SG.complete_ordered(p, SG.dim_band(spark), "LevelBand", "band_ord", only_present=True)
+
+
+@query
+def q_pivot_gender_overtime(spark, sf):
+    return SG.pivot_mean(employees(spark, sf), "Gender", "OverTime", ["No", "Yes"])
+
+
+@query
+def q_sat_dept_attrition(spark, sf):
+    p = SG.pivot_mean(employees(spark, sf), "Department", "Attrition", ["No", "Yes"], "JobSatisfaction", 1.0)
+    return p.fillna({"No": 0.0, "Yes": 0.0})
+
+
+@query
+def q_segment_spread(spark, sf):
+    return SG.spread_of_rates(employees(spark, sf), R.SPREAD_COLUMNS)
+
+
+@query
+def q_prob_spread(spark, sf):
+    return SG.prob_spread(employees(spark, sf), "AttritionProb_True")
+
+
+@query
+def q_describe(spark, sf):
+    return SG.describe(employees(spark, sf), R.DESCRIBE_COLUMNS)
+
+
+@query
+def q_prob_percentiles(spark, sf):
+    """Custom percentiles of the true and the scorecard probability."""
+    df = scored_table(spark, sf)
+    return SG.describe(df, ["AttritionProb_True", "AttritionProb"], (0.1, 0.25, 0.5, 0.75, 0.9), digits=4)
+
+
+@query
+def q_corr_with_prob(spark, sf):
+    return SG.corr_with(scored_table(spark, sf), R.DESCRIBE_COLUMNS, "AttritionProb")
+
+
+@query
+def q_hist_prob(spark, sf):
+    return SG.histogram(employees(spark, sf), "AttritionProb_True", 50)
+
+
+@query
+def q_hist_ratio_by_attrition(spark, sf):
+    return SG.grouped_density(employees(spark, sf), "Attrition", "MarketRateRatio", 35)
+
+
+@query
+def q_hist_prob_by_attrition(spark, sf):
+    return SG.grouped_density(scored_table(spark, sf), "Attrition", "AttritionProb", 50)
+
+
+@query
+def q_kpis(spark, sf):
+    return SG.kpis(scored_table(spark, sf))
+
+
+@query
+def q_class_balance(spark, sf):
+    return SG.class_balance(employees(spark, sf))
+
+
+@query
+def q_distinct_departments(spark, sf):
+    return SG.distinct_sorted(employees(spark, sf), "Department")
+
+
+@query
+def q_persona_low(spark, sf):
+    return SG.persona_stats(scored_table(spark, sf), SG.low_risk_persona())
+
+
+@query
+def q_persona_high(spark, sf):
+    return SG.persona_stats(scored_table(spark, sf), SG.high_risk_persona())
+
+
+@query
+def q_persona_dashboard(spark, sf):
+    return SG.persona_dashboard(scored_table(spark, sf))
+
+
+@query
+def q_lookup_filter(spark, sf):
+    df = SG.lookup_filter(scored_table(spark, sf), "Engineering", ["Critical", "High"], ["P1A", "P1B", "P2A"])
+    return df.select(*R.LOOKUP_COLUMNS)
+
+
+@query
+def q_lookup_top200(spark, sf):
+    """Flagship dashboard query: filter -> highest risk first -> first 200."""
+    df = SG.lookup_filter(scored_table(spark, sf), "All", ["Critical", "High"], [])
+    return SG.top_by_risk(df, 200)
+
+
+@query
+def q_lookup_ids(spark, sf):
+    df = SG.lookup_filter(scored_table(spark, sf), "All", ["Critical", "High"], [])
+    return SG.top_by_risk(df, 50, ["EmployeeID"])
+
+
+@query
+def q_employee_detail(spark, sf):
+    return SG.employee_detail(scored_table(spark, sf), DETAIL_ID)
+
+
+@query
+def q_decision(spark, sf):
+    df = scored_table(spark, sf)
+    return df.select("EmployeeID", "AttritionProb", EX.decision(F.col("AttritionProb")).alias("decision"))
+
+
+@query
+def q_band_lookup(spark, sf):
+    emp = employees(spark, sf).select("EmployeeID", "LevelBand")
+    return SG.lookup(emp, SG.dim_band(spark), "LevelBand")
+
+
+@query
+def q_dept_lookup(spark, sf):
+    emp = employees(spark, sf).select("EmployeeID", "Department")
+    return SG.lookup(emp, SG.dim_department(spark), "Department")
+
+
+@query
+def q_location_lookup(spark, sf):
+    emp = employees(spark, sf).select("EmployeeID", "Location")
+    return SG.lookup(emp, SG.dim_location(spark), "Location")
+
+
+@query
+def q_band_rate_complete(spark, sf):
+    """Rate by band reindexed to all 11 bands (missing -> 0), band order."""
+    agg = SG.rate_by(employees(spark, sf), "LevelBand")
+    return SG.complete_ordered(agg, SG.dim_band(spark), "LevelBand", "band_ord", fill={"n": 0, "rate": 0.0})

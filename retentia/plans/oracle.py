@@ -81,3 +81,204 @@ for _fam, _cols in FAMILIES.items():
     ORACLES[f"q_feat_{_fam}"] = with_base(f"SELECT EmployeeID, {', '.join(_cols)} FROM feat")
 
 ORACLES["q_scored_table"] = with_base("SELECT EmployeeID, AttritionProb, RiskCategory FROM scored")
+
+
+# =================================================================== segments
+from retentia import reference_data as R  # noqa: E402
+
+for _dim in R.RATE_DIMENSIONS + ["WFH_DaysPerWeek"]:
+    _name = "q_rate_by_wfh" if _dim == "WFH_DaysPerWeek" else f"q_rate_by_{_dim}"
+    ORACLES[_name] = with_base(f"""
+SELECT {_dim}, CAST(count(*) AS BIGINT) AS n, {_r6('avg(AttritionBinary)')} AS rate
+FROM emp WHERE {_dim} IS NOT NULL GROUP BY {_dim}""")
+
+ORACLES["q_rate_all_dims"] = with_base(" UNION ALL ".join(
+    f"""SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, CAST(count(*) AS BIGINT) AS n,
+    {_r6('avg(AttritionBinary)')} AS rate FROM emp WHERE {d} IS NOT NULL GROUP BY {d}"""
+    for d in R.RATE_DIMENSIONS))
+
+for _dim, _name in [("Department", "q_risk_by_department"), ("Location", "q_risk_by_location")]:
+    ORACLES[_name] = with_base(
+        f"SELECT {_dim}, {_r6('avg(AttritionProb)')} AS mean_prob FROM scored GROUP BY {_dim}")
+
+_BAND_DIM = "(VALUES " + ", ".join(f"('{b}', {i + 1})" for i, b in enumerate(R.BANDS)) + ") AS d(LevelBand, band_ord)"
+
+ORACLES["q_risk_by_band"] = with_base(f"""
+SELECT d.LevelBand, d.band_ord, s.mean_prob
+FROM {_BAND_DIM}
+JOIN (SELECT LevelBand, {_r6('avg(AttritionProb)')} AS mean_prob FROM scored GROUP BY LevelBand) s
+  ON s.LevelBand = d.LevelBand""")
+
+ORACLES["q_attrition_counts"] = with_base(f"""
+SELECT Attrition, n, {_r6('n / sum(n) OVER ()')} AS share
+FROM (SELECT Attrition, CAST(count(*) AS BIGINT) AS n FROM emp GROUP BY Attrition)""")
+
+ORACLES["q_risk_breakdown"] = with_base("""
+SELECT d.RiskCategory, d.risk_ord, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM (VALUES ('Low', 1), ('Medium', 2), ('High', 3), ('Critical', 4)) AS d(RiskCategory, risk_ord)
+LEFT JOIN (SELECT RiskCategory, count(*) AS n FROM scored GROUP BY RiskCategory) c
+  ON c.RiskCategory = d.RiskCategory""")
+
+ORACLES["q_outcome_by_risk"] = with_base("""
+SELECT RiskCategory,
+  round_even(avg(AttritionBinary) * 1000.0, 0) / 1000.0 AS observed_rate,
+  round_even(avg(AttritionProb) * 1000.0, 0) / 1000.0 AS mean_prob,
+  CAST(count(*) AS BIGINT) AS n
+FROM scored GROUP BY RiskCategory""")
+
+
+def _pivot(row: str, col: str, values: list, value_col: str = "AttritionBinary", scale: str = "100.0") -> str:
+    cells = ", ".join(f"{_r6(f'avg({value_col}) FILTER (WHERE {col} = {chr(39)}{v}{chr(39)}) * {scale}')} AS \"{v}\""
+                      for v in values)
+    return f"SELECT {row}, {cells} FROM emp GROUP BY {row}"
+
+
+ORACLES["q_pivot_dept_gender"] = with_base(_pivot("Department", "Gender", R.GENDERS))
+ORACLES["q_pivot_band_shift"] = with_base(f"""
+SELECT d.LevelBand, d.band_ord, p.Day, p.Night, p.Rotational, p.Flexible
+FROM {_BAND_DIM} JOIN ({_pivot("LevelBand", "ShiftType", R.SHIFTS)}) p ON p.LevelBand = d.LevelBand""")
+ORACLES["q_pivot_gender_overtime"] = with_base(_pivot("Gender", "OverTime", ["No", "Yes"]))
+ORACLES["q_sat_dept_attrition"] = with_base(f"""
+SELECT Department, coalesce("No", 0.0) AS "No", coalesce("Yes", 0.0) AS "Yes"
+FROM ({_pivot("Department", "Attrition", ["No", "Yes"], "JobSatisfaction", "1.0")})""")
+
+ORACLES["q_segment_spread"] = with_base(f"""
+SELECT dimension, min(rate) AS min_rate, max(rate) AS max_rate, {_r6('max(rate) - min(rate)')} AS spread
+FROM (""" + " UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, {_r6('avg(AttritionBinary)')} AS rate FROM emp GROUP BY {d}"
+    for d in R.SPREAD_COLUMNS) + ") GROUP BY dimension")
+
+ORACLES["q_prob_spread"] = with_base(f"""
+SELECT {_r6('min(AttritionProb_True)')} AS min, {_r6('max(AttritionProb_True)')} AS max,
+  {_r6('avg(AttritionProb_True)')} AS mean,
+  {_r6('quantile_cont(AttritionProb_True, 0.5)')} AS median,
+  {_r6('quantile_cont(AttritionProb_True, 0.1)')} AS p10,
+  {_r6('quantile_cont(AttritionProb_True, 0.9)')} AS p90
+FROM emp""")
+
+
+def _r(x: str, d: int) -> str:
+    return f"round_even(CAST({x} AS DOUBLE) * {10 ** d}.0, 0) / {10 ** d}.0"
+
+
+def _describe(cols: list[str], table: str, pcts: list[float], digits: int) -> str:
+    parts = []
+    for c in cols:
+        qs = ", ".join(f"{_r(f'quantile_cont({c}, {p})', digits)} AS p{int(round(p * 100))}" for p in pcts)
+        parts.append(f"""SELECT '{c}' AS column, CAST(count({c}) AS BIGINT) AS count, {_r(f'avg({c})', digits)} AS mean,
+  {_r(f'stddev_samp({c})', digits)} AS std, {_r(f'min({c})', digits)} AS min, {qs}, {_r(f'max({c})', digits)} AS max
+  FROM {table}""")
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["q_describe"] = with_base(_describe(R.DESCRIBE_COLUMNS, "emp", [0.25, 0.5, 0.75], 3))
+ORACLES["q_prob_percentiles"] = with_base(
+    _describe(["AttritionProb_True", "AttritionProb"], "scored", [0.1, 0.25, 0.5, 0.75, 0.9], 4))
+
+ORACLES["q_corr_with_prob"] = with_base(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {_r6(f'corr({c}, AttritionProb)')} AS corr FROM scored"
+    for c in R.DESCRIBE_COLUMNS))
+
+def _hist_grouped(table: str, group: str, col: str, bins: int) -> str:
+    return f"""
+_r AS (SELECT {group}, min({col}) AS lo, max({col}) AS hi, count(*) AS N FROM {table} WHERE {col} IS NOT NULL GROUP BY {group}),
+_c AS (
+  SELECT t.{group}, CAST(coalesce(least(floor((t.{col} - r.lo) * ({bins}.0 / nullif(r.hi - r.lo, 0))), {bins - 1}), 0) AS INTEGER) AS bin,
+         count(*) AS cnt
+  FROM {table} t JOIN _r r ON r.{group} = t.{group} WHERE t.{col} IS NOT NULL GROUP BY 1, 2)
+SELECT r.{group}, b.bin, {_r6(f'r.lo + b.bin * ((r.hi - r.lo) / {bins}.0)')} AS bin_lo,
+  {_r6(f'r.lo + (b.bin + 1) * ((r.hi - r.lo) / {bins}.0)')} AS bin_hi, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
+  {_r6(f'coalesce(c.cnt, 0) / nullif(r.N * ((r.hi - r.lo) / {bins}.0), 0)')} AS density
+FROM _r r CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range({bins})) b
+LEFT JOIN _c c ON c.{group} = r.{group} AND c.bin = b.bin"""
+
+
+def _with_extra(ctes_and_select: str) -> str:
+    """Base CTEs plus extra CTEs written as 'name AS (...), ... SELECT ...'."""
+    return with_base("").rstrip() + "," + ctes_and_select
+
+
+ORACLES["q_hist_prob"] = _with_extra(f"""
+_r AS (SELECT min(AttritionProb_True) AS lo, max(AttritionProb_True) AS hi FROM emp),
+_c AS (
+  SELECT CAST(coalesce(least(floor((AttritionProb_True - r.lo) * (50.0 / nullif(r.hi - r.lo, 0))), 49), 0) AS INTEGER) AS bin,
+         count(*) AS cnt
+  FROM emp, _r r WHERE AttritionProb_True IS NOT NULL GROUP BY 1)
+SELECT b.bin, {_r6('r.lo + b.bin * ((r.hi - r.lo) / 50.0)')} AS bin_lo,
+  {_r6('r.lo + (b.bin + 1) * ((r.hi - r.lo) / 50.0)')} AS bin_hi, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(50)) b CROSS JOIN _r r LEFT JOIN _c c ON c.bin = b.bin""")
+ORACLES["q_hist_ratio_by_attrition"] = _with_extra(_hist_grouped("emp", "Attrition", "MarketRateRatio", 35))
+ORACLES["q_hist_prob_by_attrition"] = _with_extra(_hist_grouped("scored", "Attrition", "AttritionProb", 50))
+
+ORACLES["q_kpis"] = with_base(f"""
+SELECT CAST(count(*) AS BIGINT) AS total,
+  CAST(count(*) FILTER (WHERE Attrition = 'Yes') AS BIGINT) AS exits,
+  {_r6("count(*) FILTER (WHERE Attrition = 'Yes') / count(*)")} AS attrition_rate,
+  CAST(count(*) FILTER (WHERE RiskCategory = 'Critical') AS BIGINT) AS critical_n,
+  {_r6("count(*) FILTER (WHERE RiskCategory = 'Critical') / count(*)")} AS critical_share,
+  CAST(count(*) FILTER (WHERE RiskCategory IN ('High', 'Critical')) AS BIGINT) AS high_plus_n,
+  {_r6("count(*) FILTER (WHERE RiskCategory IN ('High', 'Critical')) / count(*)")} AS high_plus_share
+FROM scored""")
+
+ORACLES["q_class_balance"] = with_base(f"""
+SELECT CAST(count(*) FILTER (WHERE AttritionBinary = 0) AS BIGINT) AS stay,
+  CAST(count(*) FILTER (WHERE AttritionBinary = 1) AS BIGINT) AS leave, {_r6('avg(AttritionBinary)')} AS rate
+FROM emp""")
+
+ORACLES["q_distinct_departments"] = with_base(
+    "SELECT DISTINCT Department FROM emp WHERE Department IS NOT NULL ORDER BY Department")
+
+_LOW = ("Gender = 'Female' AND MaritalStatus = 'Married' AND Location = 'WFH' AND PromotionsLast3Yrs >= 1 "
+        "AND AwardsReceived >= 1 AND JobSatisfaction >= 3 AND OverTime = 'No'")
+_HIGH = ("MaritalStatus = 'Single' AND Department = 'Sales' AND MarketRateRatio < 0.85 AND OverTime = 'Yes' "
+         "AND ShiftType IN ('Night', 'Rotational')")
+for _name, _pred in [("q_persona_low", _LOW), ("q_persona_high", _HIGH)]:
+    ORACLES[_name] = with_base(f"""
+SELECT CAST(count(*) AS BIGINT) AS n, {_r6('avg(AttritionProb_True)')} AS mean_true_prob,
+  {_r6('avg(AttritionProb)')} AS mean_score, {_r6('avg(AttritionBinary)')} AS observed_rate
+FROM scored WHERE {_pred}""")
+
+_DLOW = ("Gender = 'Female' AND MaritalStatus = 'Married' AND Location = 'WFH' AND PromotionsLast3Yrs >= 1 "
+         "AND OverTime = 'No' AND JobSatisfaction >= 3")
+_DHIGH = "MaritalStatus = 'Single' AND Department = 'Sales' AND MarketRateRatio < 0.85 AND OverTime = 'Yes'"
+ORACLES["q_persona_dashboard"] = with_base(f"""
+SELECT CAST(count(*) FILTER (WHERE {_DLOW}) AS BIGINT) AS low_n,
+  {_r6(f'avg(AttritionProb) FILTER (WHERE {_DLOW})')} AS low_mean,
+  CAST(count(*) FILTER (WHERE {_DHIGH}) AS BIGINT) AS high_n,
+  {_r6(f'avg(AttritionProb) FILTER (WHERE {_DHIGH})')} AS high_mean,
+  {_r6('avg(AttritionProb)')} AS company_mean
+FROM scored""")
+
+_LOOKUP = ", ".join(R.LOOKUP_COLUMNS)
+ORACLES["q_lookup_filter"] = with_base(f"""
+SELECT {_LOOKUP} FROM scored
+WHERE Department = 'Engineering' AND RiskCategory IN ('Critical', 'High') AND LevelBand IN ('P1A', 'P1B', 'P2A')""")
+ORACLES["q_lookup_top200"] = with_base(f"""
+SELECT {_LOOKUP} FROM scored WHERE RiskCategory IN ('Critical', 'High')
+ORDER BY AttritionProb DESC, EmployeeID ASC LIMIT 200""")
+ORACLES["q_lookup_ids"] = with_base("""
+SELECT EmployeeID FROM scored WHERE RiskCategory IN ('Critical', 'High')
+ORDER BY AttritionProb DESC, EmployeeID ASC LIMIT 50""")
+
+ORACLES["q_employee_detail"] = with_base(" UNION ALL ".join(
+    f"SELECT EmployeeID, {i} AS pos, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM scored WHERE EmployeeID = 'ML10042'"
+    for i, f in enumerate(R.DETAIL_FIELDS)))
+
+ORACLES["q_decision"] = with_base(
+    "SELECT EmployeeID, AttritionProb, CAST(AttritionProb >= 0.40 AS INTEGER) AS decision FROM scored")
+
+ORACLES["q_band_lookup"] = with_base("SELECT e.LevelBand, e.EmployeeID, d.band_ord, d.band_salary, d.band_logit FROM emp e JOIN (VALUES " + ", ".join(
+    f"('{b}', {i + 1}, CAST({R.BAND_SALARY[b]} AS BIGINT), CAST({R.BAND_LOGIT[b]!r} AS DOUBLE))" for i, b in enumerate(R.BANDS))
+    + ") AS d(LevelBand, band_ord, band_salary, band_logit) ON d.LevelBand = e.LevelBand")
+ORACLES["q_dept_lookup"] = with_base("SELECT e.Department, e.EmployeeID, d.dept_market, d.dept_logit FROM emp e JOIN (VALUES " + ", ".join(
+    f"('{x}', CAST({R.DEPARTMENT_MARKET[x]!r} AS DOUBLE), CAST({R.DEPARTMENT_LOGIT[x]!r} AS DOUBLE))" for x in R.DEPARTMENTS)
+    + ") AS d(Department, dept_market, dept_logit) ON d.Department = e.Department")
+ORACLES["q_location_lookup"] = with_base("SELECT e.Location, e.EmployeeID, d.location_cost FROM emp e JOIN (VALUES " + ", ".join(
+    f"('{x}', CAST({R.LOCATION_COST[x]!r} AS DOUBLE))" for x in R.LOCATIONS)
+    + ") AS d(Location, location_cost) ON d.Location = e.Location")
+
+ORACLES["q_band_rate_complete"] = with_base(f"""
+SELECT d.LevelBand, d.band_ord, CAST(coalesce(s.n, 0) AS BIGINT) AS n, coalesce(s.rate, 0.0) AS rate
+FROM {_BAND_DIM}
+LEFT JOIN (SELECT LevelBand, count(*) AS n, {_r6('avg(AttritionBinary)')} AS rate FROM emp GROUP BY LevelBand) s
+  ON s.LevelBand = d.LevelBand""")

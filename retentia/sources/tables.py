@@ -10,10 +10,13 @@ from retentia.operators import explain, features, population, scorecard
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-# Opt-in cache of the scored table per (application, data folder); a
-# dashboard-style service computes it once and serves many queries from it.
+# The scored table is computed once per (application, data folder) and
+# persisted; every query reads it, as the dashboard reads its scored file.
+# Besides saving the recomputation, the cached relation is a leaf for the
+# optimizer: joins and filters above the ~150 aliased population expressions
+# otherwise make constraint inference blow up (minutes of planning, or OOM).
 _CACHE: dict[tuple[str, str], DataFrame] = {}
-_CACHE_ON = {"enabled": False}
+_CACHE_ON = {"enabled": True}
 
 
 def enable_cache(on: bool = True) -> None:

@@ -2,10 +2,12 @@
 
 A window ordered over a whole table (or partitioned by a two-valued label)
 runs in one task. These helpers keep exact semantics without that: rows are
-range-partitioned on the ordering key (Spark samples the key, so hot values
-are split across tasks), ranked inside their range partition, and shifted by
-the totals of all earlier partitions. Only a (partition x group) count table
-(at most shuffle-partitions x groups rows) is broadcast.
+cut into ordered buckets of the leading order key (bucket edges are
+approximate quantiles, so buckets hold similar row counts), ranked inside
+their bucket, and shifted by the totals of all earlier buckets. The bucket is
+a pure function of the row (Bucketizer over fixed edges), so the two reads of
+the input agree even when a lost task is recomputed. Only the edges and a
+(bucket x group) count table are moved, both bounded by the bucket count.
 """
 
 from __future__ import annotations
@@ -20,18 +22,25 @@ def _nparts(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def with_bucket(df: DataFrame, col: str, n: int, name: str = "_pid") -> DataFrame:
+    """Add an ordered bucket id of ``col`` (0..k-1, ascending with the value)."""
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / n for i in range(1, n)]
+    edges = df.select(F.percentile_approx(F.col(col).cast("double"), probs, 10_000).alias("e")).first()["e"] or []
+    splits = [float("-inf")] + sorted({float(e) for e in edges if e is not None}) + [float("inf")]
+    tmp = f"{name}_in"
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=name, handleInvalid="keep")
+    out = b.transform(df.select("*", F.col(col).cast("double").alias(tmp)))
+    return out.select(*df.columns, F.col(name).cast("int").alias(name))
+
+
 def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], n_parts: int | None = None,
                 rank_col: str = "rank0", size_col: str = "group_n") -> DataFrame:
-    """0-based row number of each row inside its group, in ``order_cols`` order
-    (ties broken by the full order key), plus the group size.
-
-    Equals ``row_number() over (partition by g order by o) - 1`` without
-    putting a whole group in one task.
-    """
+    """0-based row number of each row inside its group, in ``order_cols`` order,
+    plus the group size. Equals ``row_number() over (partition by g order by o)
+    - 1`` (with the full order key as tie-break) without a one-task window."""
     n = _nparts(df, n_parts)
-    keys = [*group_cols, *order_cols]
-    parted = df.repartitionByRange(n, *[F.col(k).asc() for k in keys]).select(
-        "*", F.spark_partition_id().alias("_pid"))
+    parted = with_bucket(df, order_cols[0], n)
     w_local = Window.partitionBy("_pid", *group_cols).orderBy(*[F.col(k).asc() for k in order_cols])
     local = parted.select("*", F.row_number().over(w_local).alias("_lr"))
     counts = parted.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_c"))
@@ -47,25 +56,20 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], n_p
 
 def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = True,
                    n_parts: int | None = None, prefix: str = "cum_") -> DataFrame:
-    """Inclusive running sums of ``sum_cols`` over ``order_col`` (distinct keys).
+    """Inclusive running sums of ``sum_cols`` over ``order_col``.
 
     ``df`` should hold one row per distinct ``order_col`` value (pre-aggregate
     first); the result adds ``cum_<col>`` for each column.
     """
     n = _nparts(df, n_parts)
+    parted = with_bucket(df, order_col, n)
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    parted = df.repartitionByRange(n, key).select("*", F.spark_partition_id().alias("_pid"))
     w_local = Window.partitionBy("_pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     local = parted.select("*", *[F.sum(c).over(w_local).alias(f"_l_{c}") for c in sum_cols])
     totals = parted.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    w_prev = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    bucket_order = F.col("_pid").desc() if descending else F.col("_pid").asc()
+    w_prev = Window.orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w_prev), F.lit(0)).alias(f"_o_{c}")
                                       for c in sum_cols])
     out = local.join(F.broadcast(offsets), on="_pid", how="inner")
     return out.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(prefix + c) for c in sum_cols])
-
-
-def hash_order(key: Column, tag: str) -> Column:
-    """Deterministic pseudo-random order key (md5 draw; same bits in DuckDB)."""
-    from retentia.functions.draws import uniform
-    return uniform(key, tag)

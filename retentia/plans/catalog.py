@@ -292,3 +292,97 @@ def q_band_rate_complete(spark, sf):
     """Rate by band reindexed to all 11 bands (missing -> 0), band order."""
     agg = SG.rate_by(employees(spark, sf), "LevelBand")
     return SG.complete_ordered(agg, SG.dim_band(spark), "LevelBand", "band_ord", fill={"n": 0, "rate": 0.0})
+
+
+# =================================================================== evaluation
+from retentia.operators import evaluation as EV  # noqa: E402
+from retentia.operators import prep as PR  # noqa: E402
+
+
+@query
+def q_roc_curve(spark, sf):
+    return EV.roc_curve(scored_table(spark, sf))
+
+
+@query
+def q_auc(spark, sf):
+    return EV.auc(scored_table(spark, sf))
+
+
+@query
+def q_average_precision(spark, sf):
+    return EV.average_precision(scored_table(spark, sf))
+
+
+@query
+def q_threshold_metrics(spark, sf):
+    return EV.threshold_metrics(scored_table(spark, sf))
+
+
+@query
+def q_confusion_matrix(spark, sf):
+    return EV.confusion_matrix(scored_table(spark, sf))
+
+
+@query
+def q_brier(spark, sf):
+    return EV.brier(scored_table(spark, sf))
+
+
+@query
+def q_classification_report(spark, sf):
+    return EV.classification_report(scored_table(spark, sf))
+
+
+@query
+def q_auc_true_prob(spark, sf):
+    """AUC of the true probability: the ceiling any model can reach on this data."""
+    return EV.auc(scored_table(spark, sf), "AttritionBinary", "AttritionProb_True")
+
+
+# =================================================================== prep
+
+@query
+def q_label_encode(spark, sf):
+    return PR.fit_label_encoder(employees(spark, sf))
+
+
+@query
+def q_encode_unseen(spark, sf):
+    """Encoder fitted on office staff only, applied to everyone: WFH -> -1."""
+    emp = employees(spark, sf)
+    enc = PR.fit_label_encoder(emp.filter(F.col("Location") != "WFH"), ["Location"])
+    return PR.transform_labels(emp.select("EmployeeID", "Location"), enc, suffix="_code")
+
+
+def model_frame(spark, sf):
+    feat = feature_table(spark, sf)
+    names = FE.model_feature_names(feat.columns)
+    enc = PR.fit_label_encoder(feat)
+    return PR.transform_labels(feat, enc), names
+
+
+@query
+def q_standard_scale(spark, sf):
+    df, names = model_frame(spark, sf)
+    p = PR.fit_scaler(df, names)
+    return p.select("feature", stable6(F.col("mean")).alias("mean"), stable6(F.col("std")).alias("std"))
+
+
+@query
+def q_class_weights(spark, sf):
+    w = PR.class_weights(employees(spark, sf))
+    return w.select("AttritionBinary", "n", stable6(F.col("weight")).alias("weight"))
+
+
+@query
+def q_stratified_split(spark, sf):
+    emp = employees(spark, sf).select("EmployeeID", "AttritionBinary")
+    return PR.stratified_split(emp)
+
+
+@query
+def q_stratified_folds(spark, sf):
+    emp = employees(spark, sf).select("EmployeeID", "AttritionBinary")
+    train = PR.stratified_split(emp).filter(F.col("is_test") == 0).drop("is_test")
+    return PR.stratified_folds(train, 5)

@@ -282,3 +282,111 @@ SELECT d.LevelBand, d.band_ord, CAST(coalesce(s.n, 0) AS BIGINT) AS n, coalesce(
 FROM {_BAND_DIM}
 LEFT JOIN (SELECT LevelBand, count(*) AS n, {_r6('avg(AttritionBinary)')} AS rate FROM emp GROUP BY LevelBand) s
   ON s.LevelBand = d.LevelBand""")
+
+
+# =================================================================== evaluation
+_COUNTS = "(SELECT AttritionProb AS s, sum(AttritionBinary) AS pos, count(*) - sum(AttritionBinary) AS neg FROM scored GROUP BY 1)"
+
+ORACLES["q_roc_curve"] = with_base(f"""
+SELECT CAST('inf' AS DOUBLE) AS threshold, CAST(0 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp,
+  CAST(0.0 AS DOUBLE) AS tpr, CAST(0.0 AS DOUBLE) AS fpr
+UNION ALL
+SELECT s, CAST(cp AS BIGINT), CAST(cn AS BIGINT), {_r6('cp / tot_p')}, {_r6('cn / tot_n')}
+FROM (SELECT s, sum(pos) OVER (ORDER BY s DESC) AS cp, sum(neg) OVER (ORDER BY s DESC) AS cn,
+             sum(pos) OVER () AS tot_p, sum(neg) OVER () AS tot_n FROM {_COUNTS})""")
+
+
+def _mann_whitney(score: str) -> str:
+    return f"""
+SELECT {_r6('(sum(avg_rank) FILTER (WHERE y = 1) - p * (p + 1) / 2.0) / (p * (cnt - p))')} AS auc
+FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS avg_rank,
+             sum(y) OVER () AS p, count(*) OVER () AS cnt
+      FROM (SELECT AttritionBinary AS y, {score} AS s FROM scored))
+GROUP BY p, cnt"""
+
+
+ORACLES["q_auc"] = with_base(_mann_whitney("AttritionProb"))
+ORACLES["q_auc_true_prob"] = with_base(_mann_whitney("AttritionProb_True"))
+
+ORACLES["q_average_precision"] = with_base(f"""
+SELECT {_r6('sum(pos * cp / (cp + cn)) / sum(pos)')} AS average_precision
+FROM (SELECT s, pos, sum(pos) OVER (ORDER BY s DESC) AS cp, sum(neg) OVER (ORDER BY s DESC) AS cn FROM {_COUNTS})""")
+
+_CONF = """(SELECT
+  count(*) FILTER (WHERE AttritionBinary = 1 AND AttritionProb >= 0.40) AS tp,
+  count(*) FILTER (WHERE AttritionBinary = 0 AND AttritionProb >= 0.40) AS fp,
+  count(*) FILTER (WHERE AttritionBinary = 1 AND AttritionProb < 0.40) AS fn,
+  count(*) FILTER (WHERE AttritionBinary = 0 AND AttritionProb < 0.40) AS tn FROM scored)"""
+
+ORACLES["q_threshold_metrics"] = with_base(f"""
+SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn,
+  {_r6('CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END')} AS precision,
+  {_r6('CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END')} AS recall,
+  {_r6('CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END')} AS f1,
+  {_r6('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy
+FROM {_CONF}""")
+
+ORACLES["q_confusion_matrix"] = with_base(f"""
+SELECT 0 AS actual, 0 AS predicted, CAST(tn AS BIGINT) AS n FROM {_CONF}
+UNION ALL SELECT 0, 1, CAST(fp AS BIGINT) FROM {_CONF}
+UNION ALL SELECT 1, 0, CAST(fn AS BIGINT) FROM {_CONF}
+UNION ALL SELECT 1, 1, CAST(tp AS BIGINT) FROM {_CONF}""")
+
+ORACLES["q_brier"] = with_base(f"SELECT {_r6('avg((AttritionProb - AttritionBinary) ^ 2)')} AS brier FROM scored")
+
+ORACLES["q_classification_report"] = _with_extra(f"""
+m AS (SELECT tp, fp, fn, tn,
+   CASE WHEN tn + fn = 0 THEN 0.0 ELSE tn / (tn + fn) END AS p0, CASE WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END AS r0,
+   CASE WHEN 2 * tn + fn + fp = 0 THEN 0.0 ELSE 2 * tn / (2 * tn + fn + fp) END AS f0,
+   CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS p1, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS r1,
+   CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1,
+   tn + fp AS s0, tp + fn AS s1 FROM {_CONF})
+SELECT 'Stay' AS class, {_r6('p0')} AS precision, {_r6('r0')} AS recall, {_r6('f0')} AS f1, CAST(s0 AS BIGINT) AS support FROM m
+UNION ALL SELECT 'Leave', {_r6('p1')}, {_r6('r1')}, {_r6('f1')}, CAST(s1 AS BIGINT) FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, {_r6('(tp + tn) / (s0 + s1)')}, CAST(s0 + s1 AS BIGINT) FROM m
+UNION ALL SELECT 'macro avg', {_r6('(p0 + p1) / 2')}, {_r6('(r0 + r1) / 2')}, {_r6('(f0 + f1) / 2')}, CAST(s0 + s1 AS BIGINT) FROM m
+UNION ALL SELECT 'weighted avg', {_r6('(p0 * s0 + p1 * s1) / (s0 + s1)')}, {_r6('(r0 * s0 + r1 * s1) / (s0 + s1)')},
+  {_r6('(f0 * s0 + f1 * s1) / (s0 + s1)')}, CAST(s0 + s1 AS BIGINT) FROM m""")
+
+
+# =================================================================== prep
+_ENC_UNION = " UNION ALL ".join(
+    f"SELECT '{c}' AS column, v AS value, CAST(dense_rank() OVER (ORDER BY v) - 1 AS INTEGER) AS code "
+    f"FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM emp WHERE {c} IS NOT NULL)"
+    for c in R.CATEGORICAL)
+ORACLES["q_label_encode"] = with_base(_ENC_UNION)
+
+ORACLES["q_encode_unseen"] = with_base("""
+SELECT e.EmployeeID, e.Location, CAST(coalesce(c.code, -1) AS INTEGER) AS Location_code
+FROM emp e LEFT JOIN (
+  SELECT v, dense_rank() OVER (ORDER BY v) - 1 AS code
+  FROM (SELECT DISTINCT Location AS v FROM emp WHERE Location <> 'WFH')) c ON c.v = e.Location""")
+
+_MODEL_FEATURES = [c for c in EMPLOYEE_COLUMNS if c not in R.DROP_COLS] + _FEATURES
+_ENC_COLS = ", ".join(f"dense_rank() OVER (ORDER BY {c}) - 1 AS {c}_code" for c in R.CATEGORICAL)
+ORACLES["q_standard_scale"] = _with_extra(
+    f"\nenc AS (SELECT *, {_ENC_COLS} FROM feat)\n" + " UNION ALL ".join(
+        "SELECT '{f}' AS feature, {m} AS mean, {s} AS std FROM enc".format(
+            f=f, m=_r6(f"avg({f + '_code' if f in R.CATEGORICAL else f})"),
+            s=_r6(f"stddev_pop({f + '_code' if f in R.CATEGORICAL else f})"))
+        for f in _MODEL_FEATURES))
+
+ORACLES["q_class_weights"] = with_base(f"""
+SELECT AttritionBinary, CAST(count(*) AS BIGINT) AS n, {_r6('sum(count(*)) OVER () / (2.0 * count(*))')} AS weight
+FROM emp GROUP BY AttritionBinary""")
+
+_SPLIT = """
+SELECT EmployeeID, AttritionBinary, CAST(rn < (n + 4) // 5 AS INTEGER) AS is_test
+FROM (SELECT EmployeeID, AttritionBinary,
+        row_number() OVER (PARTITION BY AttritionBinary ORDER BY h, EmployeeID) - 1 AS rn,
+        count(*) OVER (PARTITION BY AttritionBinary) AS n
+      FROM (SELECT EmployeeID, AttritionBinary,
+              CAST(CAST('0x' || substr(md5('42:split:' || EmployeeID), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS h
+            FROM emp))"""
+ORACLES["q_stratified_split"] = with_base(_SPLIT)
+ORACLES["q_stratified_folds"] = with_base(f"""
+SELECT EmployeeID, AttritionBinary,
+  CAST((row_number() OVER (PARTITION BY AttritionBinary ORDER BY h, EmployeeID) - 1) % 5 AS INTEGER) AS fold
+FROM (SELECT EmployeeID, AttritionBinary,
+        CAST(CAST('0x' || substr(md5('42:fold:' || EmployeeID), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS h
+      FROM ({_SPLIT}) WHERE is_test = 0)""")

@@ -386,3 +386,84 @@ def q_stratified_folds(spark, sf):
     emp = employees(spark, sf).select("EmployeeID", "AttritionBinary")
     train = PR.stratified_split(emp).filter(F.col("is_test") == 0).drop("is_test")
     return PR.stratified_folds(train, 5)
+
+
+# =================================================================== models (rows-only)
+from retentia.operators import models as MD  # noqa: E402
+
+_TRAINED: dict[tuple[str, str], MD.TrainResult] = {}
+
+
+def trained(spark, sf) -> MD.TrainResult:
+    """One training run per (application, data folder), shared by the model
+    queries. Quick sizes keep a verify run short; library defaults are full."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = MD.train_all(feature_table(spark, sf), MD.Sizes.quick(), k=5, calibrate=True)
+    return _TRAINED[key]
+
+
+def _model_query(model_name: str, qname: str) -> Query:
+    def q(spark, sf):
+        return MD.comparison_frame(trained(spark, sf)).filter(F.col("model") == model_name)
+    q.__name__ = qname
+    return q
+
+
+for _mn, _qn in [("Logistic Regression", "q_model_logistic"), ("Decision Tree", "q_model_tree"),
+                 ("Random Forest", "q_model_forest"), ("Gradient Boosting", "q_model_gbt"),
+                 ("HistGradientBoosting", "q_model_hist_gbt")]:
+    query(_model_query(_mn, _qn))
+
+
+@query
+def q_cv_auc(spark, sf):
+    res = trained(spark, sf)
+    rows = [(n, i, float(a)) for n, m in res.metrics.items() for i, a in enumerate(m["cv_aucs"])]
+    return spark.createDataFrame(rows, "model string, fold int, auc double")
+
+
+@query
+def q_model_comparison(spark, sf):
+    return MD.comparison_frame(trained(spark, sf))
+
+
+@query
+def q_best_model(spark, sf):
+    return MD.comparison_frame(trained(spark, sf)).filter(F.col("is_best"))
+
+
+@query
+def q_raw_vs_calibrated(spark, sf):
+    res = trained(spark, sf)
+    return MD.comparison_frame(res).filter(F.col("is_best") | F.col("is_calibrated"))
+
+
+@query
+def q_calibrated_scores(spark, sf):
+    """Held-out rows with raw and calibrated probability of the best model."""
+    res = trained(spark, sf)
+    test = res.prep.data.filter(F.col("is_test") == 1)
+    raw = res.fitted[res.best_name].score(test, ["EmployeeID", "label"]).withColumnRenamed("prob", "raw_prob")
+    cal = res.calibrated.score(test, ["EmployeeID"]).withColumnRenamed("prob", "calibrated_prob")
+    return raw.drop("margin").join(cal, "EmployeeID")
+
+
+@query
+def q_score_all(spark, sf):
+    return MD.score_all(trained(spark, sf))
+
+
+@query
+def q_importance_tree(spark, sf):
+    return MD.importance(trained(spark, sf), "Random Forest")
+
+
+@query
+def q_importance_coef(spark, sf):
+    return MD.importance(trained(spark, sf), "Logistic Regression")
+
+
+@query
+def q_importance_permutation(spark, sf):
+    return MD.permutation_importance(trained(spark, sf), "HistGradientBoosting", repeats=10)

@@ -64,7 +64,9 @@ def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_pop(x).alias(f"s_{c}")]
+        # exact zero for a constant column (merged moments can leave 1e-17)
+        aggs += [F.avg(x).alias(f"m_{c}"),
+                 F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(F.stddev_pop(x)).alias(f"s_{c}")]
     one = df.agg(*aggs)
     return one.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"m_{c}").alias("mean"), F.col(f"s_{c}").alias("std"))

@@ -146,10 +146,12 @@ def term_column(t: Term) -> Column:
         return F.when(_OPS[t.op](col, F.lit(t.bound)), F.lit(float(t.weight))).otherwise(zero)
     if t.kind == "level":
         # literal map (constant-folded): compact code, unmatched level -> 0.0
+        # keyed by the level's string form, so levels read back from a rules
+        # table (strings) match int columns too
         pairs = []
         for lv, w in t.levels.items():
-            pairs += [F.lit(lv), F.lit(float(w))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), col), zero)
+            pairs += [F.lit(str(lv)), F.lit(float(w))]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), col.cast("string")), zero)
     if t.kind == "pay_gap":
         lo, hi = t.bound
         return clip((F.lit(1.0) - col) * F.lit(float(t.weight)), float(lo), float(hi))

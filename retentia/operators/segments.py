@@ -192,8 +192,12 @@ def corr_with(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
+        # a constant column (min = max, tested exactly) has no correlation; the
+        # merged moments of a constant column can be 1e-17 instead of 0
+        const = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
+        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
         aggs.append(F.struct(F.lit(c).alias("feature"),
-                             F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias("corr")))
+                             F.when(~const, r).alias("corr")))
     one = df.agg(F.array(*aggs).alias("a"))
     return (one.select(F.explode("a").alias("r")).select("r.feature", stable6(F.col("r.corr")).alias("corr"))
             .orderBy(F.col("corr").asc_nulls_last(), "feature"))

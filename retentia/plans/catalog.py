@@ -467,3 +467,55 @@ def q_importance_coef(spark, sf):
 @query
 def q_importance_permutation(spark, sf):
     return MD.permutation_importance(trained(spark, sf), "HistGradientBoosting", repeats=10)
+
+
+# =================================================================== explain / profiles
+from retentia.streaming.scoring import PROFILE_INPUTS, score_profiles  # noqa: E402
+
+
+@query
+def q_risk_band(spark, sf):
+    df = employees(spark, sf)
+    p = F.rint(scorecard.prob_from_logit(scorecard.logit_column()) * 10000.0) / 10000.0
+    return df.select("EmployeeID", p.alias("AttritionProb")).select(
+        "*", EX.risk_category(F.col("AttritionProb")).alias("RiskCategory"))
+
+
+@query
+def q_confidence(spark, sf):
+    df = scored_table(spark, sf)
+    return df.select("EmployeeID", stable6(EX.confidence(F.col("AttritionProb"))).alias("confidence"))
+
+
+@query
+def q_risk_factors(spark, sf):
+    f = EX.risk_factors()
+    return employees(spark, sf).select("EmployeeID", F.array_join(f, "|").alias("risk_factors"),
+                                       F.size(f).cast("int").alias("n_risk_factors"))
+
+
+@query
+def q_retention_factors(spark, sf):
+    f = EX.retention_factors()
+    return employees(spark, sf).select("EmployeeID", F.array_join(f, "|").alias("retention_factors"),
+                                       F.size(f).cast("int").alias("n_retention_factors"))
+
+
+@query
+def q_profile_defaults(spark, sf):
+    """Form-style profile records (34 inputs) completed with serving defaults."""
+    prof = employees(spark, sf).select("EmployeeID", *PROFILE_INPUTS)
+    full = FE.complete_profile(prof)
+    return full.select("EmployeeID", "LevelBandNum", "YearsWithCurrManager", "TotalWorkingYears",
+                       "Salary_Annual", "TeamSize", "AvgSatisfaction")
+
+
+@query
+def q_profile_scores(spark, sf):
+    """Profile records scored one by one as the live form / stream does (Z1 batch twin)."""
+    prof = employees(spark, sf).select("EmployeeID", *PROFILE_INPUTS)
+    out = score_profiles(prof)
+    return out.select("EmployeeID", "AttritionProb", "RiskCategory", "Decision",
+                      stable6(F.col("Confidence")).alias("Confidence"),
+                      F.array_join("RiskFactors", "|").alias("RiskFactors"),
+                      F.array_join("RetentionFactors", "|").alias("RetentionFactors"))

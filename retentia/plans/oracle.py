@@ -390,3 +390,42 @@ SELECT EmployeeID, AttritionBinary,
 FROM (SELECT EmployeeID, AttritionBinary,
         CAST(CAST('0x' || substr(md5('42:fold:' || EmployeeID), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS h
       FROM ({_SPLIT}) WHERE is_test = 0)""")
+
+
+# =================================================================== explain / profiles
+_RISK_SQL = ("concat_ws('|', CASE WHEN MarketRateRatio < 0.85 THEN 'Underpaid vs market' END, "
+             "CASE WHEN OverTime = 'Yes' THEN 'Overtime' END, CASE WHEN YearsSinceLastPromo >= 4 THEN 'Career stagnant' END, "
+             "CASE WHEN JobSatisfaction <= 2 THEN 'Low job satisfaction' END, "
+             "CASE WHEN WorkLifeBalance <= 2 THEN 'Poor work-life balance' END, "
+             "CASE WHEN BusinessTravel = 'Frequent' THEN 'Frequent business travel' END, "
+             "CASE WHEN ShiftType IN ('Night', 'Rotational') THEN 'Disruptive shift' END, "
+             "CASE WHEN YearsAtCompany <= 1 THEN 'New joiner' END, CASE WHEN NumCompaniesWorked >= 4 THEN 'Job hopper' END)")
+_RISK_N = ("CAST((MarketRateRatio < 0.85)::INT + (OverTime = 'Yes')::INT + (YearsSinceLastPromo >= 4)::INT "
+           "+ (JobSatisfaction <= 2)::INT + (WorkLifeBalance <= 2)::INT + (BusinessTravel = 'Frequent')::INT "
+           "+ (ShiftType IN ('Night', 'Rotational'))::INT + (YearsAtCompany <= 1)::INT + (NumCompaniesWorked >= 4)::INT AS INTEGER)")
+_RET_SQL = ("concat_ws('|', CASE WHEN MaritalStatus = 'Married' THEN 'Married' END, "
+            "CASE WHEN WFH_DaysPerWeek >= 3 THEN 'WFH 3+ days' END, "
+            "CASE WHEN PromotionsLast3Yrs >= 1 THEN 'Promoted in last 3 years' END, "
+            "CASE WHEN AwardsReceived >= 2 THEN '2+ awards' END, CASE WHEN MarketRateRatio >= 1.05 THEN 'Above-market pay' END, "
+            "CASE WHEN JobSatisfaction >= 4 THEN 'High job satisfaction' END, CASE WHEN YearsAtCompany >= 10 THEN 'Veteran' END)")
+_RET_N = ("CAST((MaritalStatus = 'Married')::INT + (WFH_DaysPerWeek >= 3)::INT + (PromotionsLast3Yrs >= 1)::INT "
+          "+ (AwardsReceived >= 2)::INT + (MarketRateRatio >= 1.05)::INT + (JobSatisfaction >= 4)::INT "
+          "+ (YearsAtCompany >= 10)::INT AS INTEGER)")
+
+ORACLES["q_risk_band"] = with_base("SELECT EmployeeID, AttritionProb, RiskCategory FROM scored")
+ORACLES["q_confidence"] = with_base(
+    f"SELECT EmployeeID, {_r6('greatest(AttritionProb, 1.0 - AttritionProb)')} AS confidence FROM scored")
+ORACLES["q_risk_factors"] = with_base(
+    f"SELECT EmployeeID, {_RISK_SQL} AS risk_factors, {_RISK_N} AS n_risk_factors FROM emp")
+ORACLES["q_retention_factors"] = with_base(
+    f"SELECT EmployeeID, {_RET_SQL} AS retention_factors, {_RET_N} AS n_retention_factors FROM emp")
+ORACLES["q_profile_defaults"] = with_base(f"""
+SELECT EmployeeID, LevelBandNum, least(YearsInCurrentRole, YearsAtCompany) AS YearsWithCurrManager,
+  greatest(Age - 22, 0) AS TotalWorkingYears, CAST(1000000 AS BIGINT) AS Salary_Annual, 10 AS TeamSize,
+  AvgSatisfaction
+FROM emp""")
+ORACLES["q_profile_scores"] = with_base(f"""
+SELECT EmployeeID, AttritionProb, RiskCategory, CAST(AttritionProb >= 0.40 AS INTEGER) AS Decision,
+  {_r6('greatest(AttritionProb, 1.0 - AttritionProb)')} AS Confidence,
+  {_RISK_SQL} AS RiskFactors, {_RET_SQL} AS RetentionFactors
+FROM scored""")

@@ -519,3 +519,36 @@ def q_profile_scores(spark, sf):
                       stable6(F.col("Confidence")).alias("Confidence"),
                       F.array_join("RiskFactors", "|").alias("RiskFactors"),
                       F.array_join("RetentionFactors", "|").alias("RetentionFactors"))
+
+
+# =================================================================== per-operator population views
+_P_QUERIES = {
+    "q_weighted_choice": ["LevelBand", "Department", "Location", "ShiftType", "Gender", "MaritalStatus", "Education",
+                          "JobSatisfaction", "EnvSatisfaction", "RelationshipSat", "WorkLifeBalance",
+                          "PerformanceRating", "ManagerRating", "OverTime", "BusinessTravel"],
+    "q_normal_attr": ["Age", "HikePercentLast", "BonusPct"],
+    "q_exponential_attr": ["YearsAtCompany", "YearsSinceLastPromo"],
+    "q_nested_tenure": ["YearsAtCompany", "YearsInCurrentRole", "YearsWithCurrManager"],
+    "q_uniform_int": ["TrainingLastYear", "TeamSize", "DistanceFromHome", "NumCompaniesWorked"],
+    "q_poisson_attr": ["AwardsReceived", "RecognitionsReceived", "SickLeave_Annual"],
+    "q_leave_cascade": ["Leaves_30d", "Leaves_90d", "Leaves_180d", "Leaves_365d"],
+    "q_promotion_history": ["LevelBand", "LevelBandNum", "YearsSinceLastPromo", "PromotionsLast3Yrs"],
+    "q_experience": ["Age", "TotalWorkingYears"],
+    "q_compensation": ["LevelBand", "Department", "Location", "Salary_Annual", "MarketRateRatio"],
+    "q_avg_satisfaction": ["JobSatisfaction", "EnvSatisfaction", "RelationshipSat", "WorkLifeBalance",
+                           "AvgSatisfaction"],
+    "q_wfh_days": ["Location", "WFH_DaysPerWeek"],
+    "q_employee_id": [],
+    "q_label_assignment": ["AttritionProb_True", "AttritionBinary", "Attrition"],
+}
+
+
+def _p_query(qname: str, cols: list[str]) -> Query:
+    def q(spark, sf):
+        return employees(spark, sf).select("EmployeeID", *cols)
+    q.__name__ = qname
+    return q
+
+
+for _qn, _cols in _P_QUERIES.items():
+    query(_p_query(_qn, _cols))

@@ -429,3 +429,10 @@ SELECT EmployeeID, AttritionProb, RiskCategory, CAST(AttritionProb >= 0.40 AS IN
   {_r6('greatest(AttritionProb, 1.0 - AttritionProb)')} AS Confidence,
   {_RISK_SQL} AS RiskFactors, {_RET_SQL} AS RetentionFactors
 FROM scored""")
+
+
+# =================================================================== per-operator population views
+from retentia.plans.catalog import _P_QUERIES  # noqa: E402
+
+for _qn, _cols in _P_QUERIES.items():
+    ORACLES[_qn] = with_base("SELECT " + ", ".join(["EmployeeID", *_cols]) + " FROM emp")

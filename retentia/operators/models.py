@@ -338,32 +338,30 @@ def permutation_importance(res: TrainResult, name: str | None = None, repeats: i
                            threshold: float = 0.5) -> DataFrame:
     """Accuracy drop when one feature is permuted (M13), mean over repeats.
 
-    A permutation of feature j for repeat r pairs every test row with the row
-    of the same rank in a second hash order, computed with the distributed
-    exact ranker; each (feature, repeat) copy is scored in one pass.
+    Repeat r permutes the test rows by pairing the i-th row in id-hash order
+    with the i-th row in the (r)-hash order. Both orders come from the exact
+    distributed ranker, once for all repeats (grouped by repeat); every
+    (feature, repeat) copy is then scored in a single pass.
     """
     from retentia.functions.draws import uniform
     from retentia.operators.ordered import rank_within
     m = res.fitted[name or res.best_name]
-    test = res.prep.data.filter(F.col("is_test") == 1).select("EmployeeID", "label", *res.prep.columns)
     cols = res.prep.columns
+    test = res.prep.data.filter(F.col("is_test") == 1).select("EmployeeID", "label", *cols)
     base = m.score(test, ["label"])
     base_acc = base.agg(F.avg(((F.col("prob") >= threshold).cast("double") == F.col("label")).cast("double"))).first()[0]
-    ranked = rank_within(test.select("*", F.lit(0).alias("_g"), uniform(F.col("EmployeeID"), "perm-id").alias("_h")),
-                         ["_g"], ["_h", "EmployeeID"], rank_col="_rk", size_col="_n")
-    copies = []
-    for r in range(repeats):
-        donors = rank_within(test.select("*", F.lit(0).alias("_g"),
-                                         uniform(F.col("EmployeeID"), f"perm-{r}").alias("_h")),
-                             ["_g"], ["_h", "EmployeeID"], rank_col="_rk", size_col="_n")
-        donor_vals = donors.select("_rk", F.array(*cols).alias("_donor"))
-        joined = ranked.join(donor_vals, "_rk").select("label", *cols, "_donor", F.lit(r).alias("repeat"))
-        copies.append(joined)
-    allrep = copies[0]
-    for c in copies[1:]:
-        allrep = allrep.unionByName(c)
-    # one copy per feature: column j takes the donor's value
-    exploded = allrep.select("label", "repeat", *cols, "_donor",
+    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
+    # row order: by id hash, the same for every repeat
+    rows = rank_within(test.select("*", F.lit(0).alias("_g"), uniform(F.col("EmployeeID"), "perm-id").alias("_h")),
+                       ["_g"], ["_h", "EmployeeID"], rank_col="_rk", size_col="_n").drop("_g", "_h", "_n")
+    # donor order: one hash order per repeat, ranked within the repeat
+    donors = test.select("EmployeeID", F.array(*cols).alias("_donor"), reps)
+    donors = donors.select("*", uniform(F.concat_ws(":", F.col("repeat").cast("string"), F.col("EmployeeID")),
+                                        "perm").alias("_h"))
+    donors = rank_within(donors, ["repeat"], ["_h", "EmployeeID"], rank_col="_rk", size_col="_n") \
+        .select("repeat", "_rk", "_donor")
+    paired = rows.select("*", reps).join(donors, ["repeat", "_rk"])
+    exploded = paired.select("label", "repeat", *cols, "_donor",
                              F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))).alias("j"))
     permuted = exploded.select("label", "repeat", "j", *[
         F.when(F.col("j") == i, F.col("_donor")[i]).otherwise(F.col(c)).alias(c) for i, c in enumerate(cols)])

@@ -33,6 +33,15 @@ FAMILIES = {
 DISRUPTIVE_SHIFTS = ["Night", "Rotational"]
 
 
+def _model_features() -> list[str]:
+    from retentia.operators.population import EMPLOYEE_COLUMNS
+    return [c for c in EMPLOYEE_COLUMNS if c not in R.DROP_COLS] + FEATURE_COLUMNS
+
+
+# canonical model-matrix order (61): employee inputs, then engineered features
+MODEL_FEATURES = _model_features()
+
+
 def feature_exprs() -> dict[str, Column]:
     """Name -> expression over the 44 employee columns (training definition)."""
     c = F.col

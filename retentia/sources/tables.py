@@ -45,10 +45,14 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not _CACHE_ON["enabled"]:
         return _scored(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CACHE:
-        # memory-and-disk: a lost block is recomputed from the (deterministic) lineage
-        _CACHE[key] = _scored(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    return _CACHE[key]
+    df = _CACHE.get(key)
+    if df is None:
+        df = _CACHE[key] = _scored(spark, sf_dir)
+    if df.storageLevel == StorageLevel.NONE:
+        # first use, or someone cleared the cache: (re-)register it. Memory and
+        # disk; a lost block is recomputed from the deterministic lineage.
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+    return df
 
 
 def employees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,11 +33,13 @@ PROFILE_SCHEMA = T.StructType(
        for c in PROFILE_INPUTS])
 
 
-def score_profiles(df: DataFrame, fitted=None, encodings: dict | None = None) -> DataFrame:
+def score_profiles(df: DataFrame, fitted=None, encodings: dict | None = None,
+                   feature_names: list[str] | None = None) -> DataFrame:
     """Profile records -> probability, band, decision, confidence, factors.
 
-    With ``fitted`` (a ``models.Fitted`` or ``models.Calibrated``) and the
-    label ``encodings`` the model scores; otherwise the scorecard does.
+    With ``fitted`` (a ``models.Fitted`` or ``models.Calibrated``), the label
+    ``encodings`` and the model's ``feature_names`` the model scores;
+    otherwise the scorecard does.
     Works on batch and streaming DataFrames alike.
     """
     full = features.engineer(features.complete_profile(df))
@@ -45,9 +47,11 @@ def score_profiles(df: DataFrame, fitted=None, encodings: dict | None = None) ->
         scored = explain.score_with(full, scorecard.prob_from_logit(scorecard.logit_column()))
     else:
         from retentia.operators.prep import encode_column
-        names = features.model_feature_names(full.columns)
-        mat = full.select("EmployeeID", *[(encode_column(n, encodings[n]) if n in (encodings or {}) else F.col(n))
-                                         .cast("double").alias(f"f_{i}") for i, n in enumerate(names)])
+        # the model's feature order (metadata feature_names), absent ones as 0
+        names = feature_names or features.MODEL_FEATURES
+        aligned = features.align_features(full, names, keep=["EmployeeID"])
+        mat = aligned.select("EmployeeID", *[(encode_column(n, encodings[n]) if n in (encodings or {}) else F.col(n))
+                                            .cast("double").alias(f"f_{i}") for i, n in enumerate(names)])
         probs = fitted.score(mat, ["EmployeeID"])
         scored = explain.score_with(full.join(probs.select("EmployeeID", "prob"), "EmployeeID"), F.col("prob")) \
             .drop("prob")

@@ -52,3 +52,28 @@ def test_train_all_small(spark):
     assert s.filter((F.col("AttritionProb") < 0) | (F.col("AttritionProb") > 1)).count() == 0
     imp = MD.importance(res, "Random Forest").collect()
     assert len(imp) == 25 and imp[0]["importance"] >= imp[-1]["importance"]
+
+
+def test_pipeline_artifacts_round_trip(spark):
+    import tempfile
+
+    from retentia.plans import training
+    from retentia.sources import io as IO
+    from retentia.streaming.scoring import PROFILE_INPUTS, score_profiles
+    from retentia.sources.tables import employees
+    out = tempfile.mkdtemp(prefix="retentia-run-")
+    r = training.run(spark, SF_SMALL, out, MD.Sizes(lr_iter=30, forest_trees=3, gbt_iter=2, hist_iter=2), k=3)
+    scored = spark.read.parquet(f"{out}/scored")
+    assert len(scored.columns) == 67 and scored.count() == 1500
+    meta = IO.read_metadata(spark, f"{out}/metadata").first()
+    assert meta["is_calibrated"] and meta["best_model_name"] == r["best"] and len(meta["feature_names"]) == 61
+    cal = training.load_calibrated(spark, out)
+    enc = IO.load_encodings(spark, f"{out}/encodings")
+    prof = employees(spark, SF_SMALL).select("EmployeeID", *PROFILE_INPUTS)
+    live = score_profiles(prof, cal, enc, meta["feature_names"]).select(
+        "EmployeeID", F.col("AttritionProb").alias("live"))
+    both = live.join(scored.select("EmployeeID", "AttritionProb"), "EmployeeID")
+    # serving defaults change a few inputs (salary, team, manager years, total years): close, not equal
+    assert both.count() == 1500
+    close = both.filter(F.abs(F.col("live") - F.col("AttritionProb")) <= 0.05).count()
+    assert close >= 0.9 * 1500

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+                                       LogisticRegressionModel, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -155,13 +155,11 @@ class Fitted:
         out = self.transform(df)
         prob = vector_to_array(F.col("probability"))[1]
         raw = vector_to_array(F.col("rawPrediction"))
-        margin = (raw[1] - raw[0]) / F.lit(2.0) if isinstance(self.model, _LR_MODEL) else prob
+        # Platt uses the decision value for the linear model, the probability for trees
+        margin = (raw[1] - raw[0]) / F.lit(2.0) if isinstance(self.model, LogisticRegressionModel) else prob
         return out.select(*keep, prob.alias("prob"), margin.alias("margin"))
 
 
-from pyspark.ml.classification import LogisticRegressionModel as _LR_MODEL  # noqa: E402
-
-
 def fit(spec: ModelSpec, train: DataFrame, cols: list[str]) -> Fitted:
     """Fit one model; the scaler (if any) is fitted on this training set only."""
     scale = _scaler_params(train, cols) if spec.needs_scale else None

@@ -12,7 +12,7 @@ the input agree even when a lost task is recomputed. Only the edges and a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 from retentia.operators import explain, features, population, scorecard
+from retentia.session import ensure_checkpoint_dir
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 # The scored table is computed once per (application, data folder) and
-# persisted; every query reads it, as the dashboard reads its scored file.
-# Besides saving the recomputation, the cached relation is a leaf for the
-# optimizer: joins and filters above the ~150 aliased population expressions
-# otherwise make constraint inference blow up (minutes of planning, or OOM).
+# written as Parquet under the session's spark.checkpoint.dir (the cluster's
+# shared folder; a local one is set only when unset, as in tests). Queries read
+# it back, as the dashboard reads its scored file: column pruning and filter
+# pushdown apply, lost executors lose nothing, and the file scan is a leaf for
+# the optimizer (joins and filters over the ~150 stacked aliased population
+# expressions otherwise make constraint inference run for minutes or OOM).
 _CACHE: dict[tuple[str, str], DataFrame] = {}
 _CACHE_ON = {"enabled": True}
 
@@ -24,11 +28,18 @@ def enable_cache(on: bool = True) -> None:
 
 
 def clear_cache() -> None:
-    for df in _CACHE.values():
-        df.unpersist()
     _CACHE.clear()
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared checkpoint folder and read it back."""
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/retentia-tables/{spark.sparkContext.applicationId}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of the driver's data set (schema from the file footer)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -45,14 +56,10 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not _CACHE_ON["enabled"]:
         return _scored(spark, sf_dir)
     key = (spark.sparkContext.applicationId, sf_dir)
-    df = _CACHE.get(key)
-    if df is None:
-        df = _CACHE[key] = _scored(spark, sf_dir)
-    if df.storageLevel == StorageLevel.NONE:
-        # first use, or someone cleared the cache: (re-)register it. Memory and
-        # disk; a lost block is recomputed from the deterministic lineage.
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-    return df
+    if key not in _CACHE:
+        tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+        _CACHE[key] = materialize(_scored(spark, sf_dir), f"scored-{tag}")
+    return _CACHE[key]
 
 
 def employees(spark: SparkSession, sf_dir: str) -> DataFrame:

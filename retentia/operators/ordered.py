@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 
 
 def _nparts(df: DataFrame, n: int | None) -> int:
+    """Bucket count: the shuffle partitions, but no more than 4 per core (more
+    buckets add no parallelism, only window/offset overhead)."""
     if n:
         return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
 
 
 def with_bucket(df: DataFrame, col: str, n: int, name: str = "_pid") -> DataFrame:

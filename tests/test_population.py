@@ -62,3 +62,22 @@ def test_none_is_a_category(spark):
     emp = employees(spark, SF_SMALL)
     assert emp.filter(F.col("BusinessTravel") == "None").count() > 0
     assert emp.filter(F.col("BusinessTravel").isNull()).count() == 0
+
+
+def test_trailing_event_windows_nest(spark):
+    from retentia.operators.population import trailing_event_counts
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    c = trailing_event_counts(ev, "2024-01-31 00:00:00")
+    assert c.filter((F.col("events_3d") > F.col("events_7d")) | (F.col("events_7d") > F.col("events_14d"))
+                    | (F.col("events_14d") > F.col("events_30d"))).count() == 0
+    total = ev.groupBy("user_id").count()
+    assert c.join(total, "user_id").filter(F.col("events_30d") > F.col("count")).count() == 0
+
+
+def test_cut_lineage_uses_checkpoint_dir(spark):
+    from retentia.session import cut_lineage, ensure_checkpoint_dir
+    assert ensure_checkpoint_dir(spark)
+    df = employees(spark, SF_SMALL).select("EmployeeID", "Age")
+    cut = cut_lineage(df)
+    assert cut.count() == df.count()
+    assert "LogicalRDD" in cut._jdf.queryExecution().analyzed().toString()

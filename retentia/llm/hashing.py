@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         size = max(n, 1 << 16)
         for k, base in enumerate((_BASE, _INVERSE)):
@@ -38,7 +38,7 @@ def word_hashes(data: bytes) -> np.ndarray:
     inside = np.r_[False, ~_SPACE[b], False]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    up, down = _power(len(b) + 1)
+    up, down = powers(len(b) + 1)
     total = np.zeros(len(b) + 1, U64)
     np.cumsum(_TABLE[b] * up[:len(b)], out=total[1:])
     return mix((total[end] - total[start]) * down[start])

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, suffix
+from . import chunked, minhash, packing, suffix, tokenstore
+from .bpe import public_path
 from .common import ship
 
 
@@ -19,12 +20,26 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked.round_trip(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = tokenstore.write_store(docs, public_path("word_bpe_49k.json"))
+    return tokenstore.look_up(spark, path, docs.select("doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op9_suffix_dedup)
+    f.__name__: f for f in (op1_minhash, op3_packing, op6_bpe, op9_suffix_dedup, op10_token_store)
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunked, minhash, packing, suffix, tokenstore
+from . import chunked, minhash, packing, pii, suffix, tokenstore, toxicity
 from .bpe import public_path
 from .common import ship
 
@@ -20,10 +20,18 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked.round_trip(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
@@ -39,7 +47,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op3_packing, op6_bpe, op9_suffix_dedup, op10_token_store)
+    f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op4_pii, op6_bpe, op9_suffix_dedup, op10_token_store)
 }
 
 ORACLES: dict[str, str] = {}

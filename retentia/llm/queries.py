@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunked, minhash, packing, pii, suffix, tokenstore, toxicity
+from . import adsearch, chunked, minhash, packing, pii, rabitq, suffix, tokenstore, toxicity
 from .bpe import public_path
 from .common import ship
 
@@ -32,10 +33,18 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked.round_trip(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adsearch.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_digests(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +56,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op4_pii, op6_bpe, op9_suffix_dedup, op10_token_store)
+    f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op4_pii, op5_embedding_dedup, op6_bpe, op8_ann, op9_suffix_dedup, op10_token_store)
 }
 
 ORACLES: dict[str, str] = {}
@@ -89,3 +98,16 @@ SELECT h.doc_id, len(x) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_remov
       (CASE WHEN k <= len(lo) THEN 2 * lo[k] ELSE len(x) END) - (CASE WHEN k = 1 THEN 0 ELSE 2 * hi[k - 1] END))), '') END)) AS kept_sha256
 FROM h LEFT JOIN g USING (doc_id)
 """
+
+ORACLES["op5_embedding_dedup"] = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN embedding::DOUBLE[] END AS e FROM embeddings),
+l AS MATERIALIZED (SELECT x.r AS a, y.r AS b, x.vec_id AS ia, y.vec_id AS ib FROM v x JOIN v y ON x.r <> y.r AND len(x.e) = len(y.e)
+    AND list_cosine_similarity(x.e, y.e) >= 0.95),
+c AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.ib, c.root FROM c JOIN l ON l.ia = c.node),
+m AS (SELECT node, min(root) AS root FROM c GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.root AS component_id, v.vec_id = m.root AS kept
+FROM v LEFT JOIN n ON n.a = v.r JOIN m ON m.node = v.vec_id
+"""

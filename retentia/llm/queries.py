@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adsearch, chunked, minhash, packing, pii, rabitq, suffix, tokenstore, toxicity
+from . import adsearch, chunked, htmlcrf, minhash, packing, pii, rabitq, suffix, tokenstore, toxicity
 from .bpe import public_path
 from .common import ship
 
@@ -41,6 +41,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked.round_trip(_table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcrf.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adsearch.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -56,7 +60,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op4_pii, op5_embedding_dedup, op6_bpe, op8_ann, op9_suffix_dedup, op10_token_store)
+    f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op4_pii, op5_embedding_dedup, op6_bpe, op7_html, op8_ann, op9_suffix_dedup, op10_token_store)
 }
 
 ORACLES: dict[str, str] = {}

@@ -9,10 +9,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentia.llm import minhash, suffix
+from retentia.llm import minhash, packing, pii, suffix, toxicity
+from retentia.llm.bpe import public_path
 from retentia.llm.common import ship, stash
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model rejects go; it learns from ``labels`` and the documents at hand."""
+    ship(spark)
+    return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest doc_id."""
     ship(spark)
@@ -25,9 +32,24 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return suffix.remove_repeats(docs)
 
 
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in ``text`` is replaced by its kind's label."""
+    ship(spark)
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place."""
+    ship(spark)
+    return packing.pack(docs, public_path("byte_bpe_50k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
     ("minhash", near_dedup),
     ("suffix_dedup", suffix_dedup),
+    ("pii", redact_pii),
+    ("packing", pack),
 ]
 
 #: Model fits, similarity joins and packing have no SQL form; tests hold the stages against brute force.

@@ -274,7 +274,7 @@ def _learn(pdf: pd.DataFrame) -> pd.DataFrame:
 def fit(pages: DataFrame) -> Crf:
     sample = pages.where("html is not null").select(F.xxhash64("page_id", F.lit(3)).alias("order"), "html") \
         .where(F.lower("html").rlike("<(article|main)[\\s>]")).orderBy("order").limit(PAGES)
-    learnt = stash(sample.groupBy(F.lit(0)).applyInPandas(_learn, "name string, rest double, main double"), "crf")
+    learnt = stash(sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_learn, "name string, rest double, main double"), "crf")
     w = {r.name: (r.rest, r.main) for r in learnt.collect()}        # a row per feature of the bounded sample
     if not w:
         model = train([])

@@ -78,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     sample = stash(rows.withColumn("order", order).orderBy("order", "doc_id", "toxic").limit(MAX_ROWS), "labelled")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     learnt = texts.join(F.broadcast(sample), "doc_id") \
-        .groupBy(F.lit(0)).applyInPandas(_fit, "at int, weight double")
+        .withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fit, "at int, weight double")
     w = stash(learnt, "weights").orderBy("at").toPandas()          # at most 2**BITS coordinates
     return w["at"].to_numpy(np.int64), w["weight"].to_numpy(np.float64)
 

@@ -23,7 +23,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "q_employee_table", "q_features", "q_kpis", "q_risk_by_department", "q_rate_all_dims",
     "q_pivot_dept_gender", "q_pivot_band_shift", "q_segment_spread", "q_describe", "q_corr_with_prob",
-    "q_hist_prob_by_attrition", "q_lookup_top200", "q_persona_dashboard", "q_auc", "q_roc_curve",
+    "q_hist_prob_by_leaving", "q_lookup_top200", "q_persona_dashboard", "q_auc", "q_roc_curve",
     "q_classification_report", "q_stratified_split", "q_standard_scale", "q_risk_factors",
     "q_profile_scores", "q_trailing_event_counts",
 ]

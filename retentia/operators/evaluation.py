@@ -29,7 +29,7 @@ def _totals(counts: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def roc_curve(df: DataFrame, label: str = "AttritionBinary", score: str = "AttritionProb") -> DataFrame:
+def roc_curve(df: DataFrame, label: str = "LeavingBinary", score: str = "LeavingProb") -> DataFrame:
     """All ROC points, highest threshold first, starting at (0, 0)."""
     counts = score_counts(df, label, score)
     p, n = _totals(counts)
@@ -43,7 +43,7 @@ def roc_curve(df: DataFrame, label: str = "AttritionBinary", score: str = "Attri
                        stable6(F.try_divide(F.col("fp"), F.lit(n))).alias("fpr"))
 
 
-def auc(df: DataFrame, label: str = "AttritionBinary", score: str = "AttritionProb") -> DataFrame:
+def auc(df: DataFrame, label: str = "LeavingBinary", score: str = "LeavingProb") -> DataFrame:
     """ROC-AUC with ties counted half (E1): trapezoids between ROC points."""
     counts = score_counts(df, label, score)
     cum = running_totals(counts, "score", ["pos", "neg"], descending=True)
@@ -51,7 +51,7 @@ def auc(df: DataFrame, label: str = "AttritionBinary", score: str = "AttritionPr
     return cum.agg(stable6(F.try_divide(area, F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
-def average_precision(df: DataFrame, label: str = "AttritionBinary", score: str = "AttritionProb") -> DataFrame:
+def average_precision(df: DataFrame, label: str = "LeavingBinary", score: str = "LeavingProb") -> DataFrame:
     """Step-sum average precision (E2): sum of dTP * precision / P."""
     counts = score_counts(df, label, score)
     cum = running_totals(counts, "score", ["pos", "neg"], descending=True)
@@ -75,7 +75,7 @@ def _rates():
     return precision, recall, f1, accuracy
 
 
-def threshold_metrics(df: DataFrame, label: str = "AttritionBinary", score: str = "AttritionProb",
+def threshold_metrics(df: DataFrame, label: str = "LeavingBinary", score: str = "LeavingProb",
                       threshold: float = R.DECISION_THRESHOLD) -> DataFrame:
     """Counts plus precision (0 if undefined), recall, F1, accuracy."""
     c = confusion_counts(df, label, score, threshold)
@@ -84,7 +84,7 @@ def threshold_metrics(df: DataFrame, label: str = "AttritionBinary", score: str
                     stable6(f1).alias("f1"), stable6(accuracy).alias("accuracy"))
 
 
-def confusion_matrix(df: DataFrame, label: str = "AttritionBinary", score: str = "AttritionProb",
+def confusion_matrix(df: DataFrame, label: str = "LeavingBinary", score: str = "LeavingProb",
                      threshold: float = R.DECISION_THRESHOLD) -> DataFrame:
     """Four cells (actual, predicted, n), zero cells included."""
     c = confusion_counts(df, label, score, threshold)
@@ -93,12 +93,12 @@ def confusion_matrix(df: DataFrame, label: str = "AttritionBinary", score: str =
     return c.select(F.explode(cells).alias("c")).select("c.actual", "c.predicted", "c.n")
 
 
-def brier(df: DataFrame, label: str = "AttritionBinary", score: str = "AttritionProb") -> DataFrame:
+def brier(df: DataFrame, label: str = "LeavingBinary", score: str = "LeavingProb") -> DataFrame:
     """Mean squared error of the probability."""
     return df.agg(stable6(F.avg(F.pow(F.col(score) - F.col(label), 2))).alias("brier"))
 
 
-def classification_report(df: DataFrame, label: str = "AttritionBinary", score: str = "AttritionProb",
+def classification_report(df: DataFrame, label: str = "LeavingBinary", score: str = "LeavingProb",
                           threshold: float = R.DECISION_THRESHOLD, names=("Stay", "Leave")) -> DataFrame:
     """Per-class precision/recall/F1/support, accuracy, macro and weighted avg."""
     c = confusion_counts(df, label, score, threshold)

@@ -65,13 +65,13 @@ def retention_factors() -> Column:
 
 
 def score_with(df: DataFrame, prob: Column, digits: int = 4, thresholds: dict | None = None) -> DataFrame:
-    """Add AttritionProb (rounded) and RiskCategory from any probability column."""
+    """Add LeavingProb (rounded) and RiskCategory from any probability column."""
     p = np_round(prob, digits)
-    return df.select("*", p.alias("AttritionProb")).select(
-        "*", risk_category(F.col("AttritionProb"), thresholds).alias("RiskCategory"))
+    return df.select("*", p.alias("LeavingProb")).select(
+        "*", risk_category(F.col("LeavingProb"), thresholds).alias("RiskCategory"))
 
 
-def explain(df: DataFrame, prob_col: str = "AttritionProb", thresholds: dict | None = None) -> DataFrame:
+def explain(df: DataFrame, prob_col: str = "LeavingProb", thresholds: dict | None = None) -> DataFrame:
     """Band, decision, confidence and both factor lists for every row."""
     p = F.col(prob_col)
     return df.select(

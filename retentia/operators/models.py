@@ -98,12 +98,12 @@ def prepare(feat: DataFrame, k_folds: int = 5, test_size: float = 0.2) -> Prepar
     matrix is persisted because every fit reads it many times.
     """
     names = model_feature_names(feat.columns)
-    base = feat.select("EmployeeID", F.col("AttritionBinary").cast("double").alias("label"),
-                       "AttritionBinary", *names)
-    split = PR.stratified_split(base, "AttritionBinary", test_size)
+    base = feat.select("EmployeeID", F.col("LeavingBinary").cast("double").alias("label"),
+                       "LeavingBinary", *names)
+    split = PR.stratified_split(base, "LeavingBinary", test_size)
     train = split.filter(F.col("is_test") == 0)
     enc = PR.encoding_maps(PR.fit_label_encoder(train, [c for c in R.CATEGORICAL if c in names]))
-    folds = PR.stratified_folds(train.select("EmployeeID", "AttritionBinary"), k_folds).select("EmployeeID", "fold")
+    folds = PR.stratified_folds(train.select("EmployeeID", "LeavingBinary"), k_folds).select("EmployeeID", "fold")
     cols = _fcols(len(names))
     mat = split.join(folds, "EmployeeID", "left").select(
         "EmployeeID", "label", "is_test", F.coalesce(F.col("fold"), F.lit(-1)).alias("fold"),
@@ -309,7 +309,7 @@ def calibrate_sigmoid(spec: ModelSpec, prep: Prepared, k: int = 5) -> Calibrated
 
 
 def score_all(res: TrainResult, use_calibrated: bool = True) -> DataFrame:
-    """Score every row (M9): EmployeeID, AttritionProb (4dp), RiskCategory."""
+    """Score every row (M9): EmployeeID, LeavingProb (4dp), RiskCategory."""
     from retentia.functions.numeric import np_round
     from retentia.operators.explain import risk_category
     data = res.prep.data
@@ -318,12 +318,12 @@ def score_all(res: TrainResult, use_calibrated: bool = True) -> DataFrame:
     else:
         s = res.fitted[res.best_name].score(data, ["EmployeeID", "label"])
     p = np_round(F.col("prob"), 4)
-    return s.select("EmployeeID", p.alias("AttritionProb")).select(
-        "*", risk_category(F.col("AttritionProb")).alias("RiskCategory"))
+    return s.select("EmployeeID", p.alias("LeavingProb")).select(
+        "*", risk_category(F.col("LeavingProb")).alias("RiskCategory"))
 
 
-def importance(res: TrainResult, name: str | None = None, top: int = 25) -> DataFrame:
-    """Tree impurity importance (M11) or |coefficient| on scaled input."""
+def importance(res: TrainResult, name: str | None = None, top: int | None = None) -> DataFrame:
+    """Tree impurity importance (M11) or |coefficient| on scaled input (M12), all features; ``top`` gives T3."""
     m = res.fitted[name or res.best_name]
     spark = res.prep.data.sparkSession
     if hasattr(m.model, "featureImportances"):
@@ -334,7 +334,8 @@ def importance(res: TrainResult, name: str | None = None, top: int = 25) -> Data
         kind = "abs_coefficient"
     rows = [(f, float(v), kind) for f, v in zip(res.prep.feature_names, vals)]
     df = spark.createDataFrame(rows, "feature string, importance double, kind string")
-    return df.orderBy(F.col("importance").desc(), "feature").limit(top)
+    df = df.orderBy(F.col("importance").desc(), "feature")
+    return df.limit(top) if top else df
 
 
 def permutation_importance(res: TrainResult, name: str | None = None, repeats: int = 10,

@@ -48,7 +48,7 @@ EMPLOYEE_COLUMNS = [
     "PerformanceRating", "AwardsReceived", "RecognitionsReceived", "TrainingLastYear",
     "Leaves_30d", "Leaves_90d", "Leaves_180d", "Leaves_365d", "SickLeave_Annual",
     "OverTime", "BusinessTravel", "NumCompaniesWorked", "WFH_DaysPerWeek",
-    "AttritionProb_True", "AttritionBinary", "Attrition",
+    "LeavingProb_True", "LeavingBinary", "Leaving",
 ]
 
 
@@ -64,25 +64,10 @@ def _map(d: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*pairs), key)
 
 
-def spread_keys(keys: DataFrame, key_col: str) -> DataFrame:
-    """Give the hash-heavy projection at least one task per core.
-
-    A scan with fewer splits than cores (one small file, one row group) would
-    run all rows in one task; round-robin the key column alone (8 bytes a
-    row) in that case. Large inputs already have enough splits: no-op.
-    """
-    spark = keys.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    keys = keys.select(key_col)
-    if keys.rdd.getNumPartitions() < want:
-        keys = keys.repartition(want)
-    return keys
-
-
 def draw_table(keys: DataFrame, key_col: str) -> DataFrame:
     """``_key`` plus one uniform column ``_u_<name>`` per draw."""
     k = F.col(key_col)
-    hashed = spread_keys(keys, key_col).select(k.alias("_key"), *[digest(k, t).alias(f"_h_{t}") for t in DRAW_TAGS])
+    hashed = keys.select(k.alias("_key"), *[digest(k, t).alias(f"_h_{t}") for t in DRAW_TAGS])
     return hashed.select("_key", *[slot(F.col(f"_h_{t}"), i).alias(f"_u_{n}") for n, (t, i) in DRAWS.items()])
 
 
@@ -90,7 +75,7 @@ def employees(keys: DataFrame, key_col: str = "o_orderkey", keep_key: bool = Fal
     """The 44-column employee table, one row per key.
 
     ``keys`` may be any table with a unique integral key column; ``EmployeeID``
-    is ``ML`` + zero-padded ``10000 + key``.
+    is ``E`` + zero-padded ``10000 + key``.
     """
     d = draw_table(keys, key_col)
     age_mu, age_sd, age_lo, age_hi = R.AGE_NORMAL
@@ -101,7 +86,7 @@ def employees(keys: DataFrame, key_col: str = "o_orderkey", keep_key: bool = Fal
     # level 1: independent attributes
     s1 = d.select(
         "*",
-        F.format_string("ML%05d", F.lit(10000).cast("bigint") + F.col("_key")).alias("EmployeeID"),
+        F.format_string("E%05d", F.lit(10000).cast("bigint") + F.col("_key")).alias("EmployeeID"),
         clip(normal(_u("age1"), _u("age2"), age_mu, age_sd).cast("int"), age_lo, age_hi).alias("Age"),
         choice(_u("gender"), R.GENDERS, R.GENDER_WEIGHTS).alias("Gender"),
         choice(_u("marital"), R.MARITAL, R.MARITAL_WEIGHTS).alias("MaritalStatus"),
@@ -182,9 +167,9 @@ def employees(keys: DataFrame, key_col: str = "o_orderkey", keep_key: bool = Fal
     out = s5.select(
         *(["_key"] if keep_key else []),
         *[c for c in EMPLOYEE_COLUMNS[:-3]],
-        np_round(F.col("_prob"), 4).alias("AttritionProb_True"),
-        label.alias("AttritionBinary"),
-        F.when(label == 1, F.lit("Yes")).otherwise(F.lit("No")).alias("Attrition"),
+        np_round(F.col("_prob"), 4).alias("LeavingProb_True"),
+        label.alias("LeavingBinary"),
+        F.when(label == 1, F.lit("Yes")).otherwise(F.lit("No")).alias("Leaving"),
     )
     return out
 

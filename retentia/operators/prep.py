@@ -1,9 +1,8 @@
 """Model-matrix preparation: label encoding, population-std scaling, class
 weights, exact stratified split and stratified folds.
 
-Encodings and scaler parameters are small fitted tables (one row per
-category / feature); they are collected only behind a size check and applied
-as literal maps / literal arithmetic, so transforming needs no join.
+Encodings are fitted tables (one row per category), joined to the data. Scaler
+parameters have one row per feature and are applied as literal arithmetic.
 """
 
 from __future__ import annotations
@@ -17,8 +16,6 @@ from retentia import reference_data as R
 from retentia.functions.draws import uniform
 from retentia.operators.ordered import rank_within
 
-MAX_ENCODING_ROWS = 100_000
-
 
 def fit_label_encoder(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, value, code): code = rank of the value among the column's sorted
@@ -32,11 +29,9 @@ def fit_label_encoder(df: DataFrame, cols: list[str] | None = None) -> DataFrame
 
 
 def encoding_maps(encodings: DataFrame) -> dict[str, dict[str, int]]:
-    rows = encodings.limit(MAX_ENCODING_ROWS + 1).collect()
-    if len(rows) > MAX_ENCODING_ROWS:
-        raise ValueError("encoding table too large to inline; join it instead")
+    """The encodings as a saved artifact holds them, for single records and streams; tables are encoded by join."""
     out: dict[str, dict[str, int]] = {}
-    for r in rows:
+    for r in encodings.collect():
         out.setdefault(r["column"], {})[r["value"]] = r["code"]
     return out
 
@@ -51,12 +46,25 @@ def encode_column(col: str, mapping: dict[str, int]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(col).cast("string")), F.lit(-1))
 
 
-def transform_labels(df: DataFrame, encodings: DataFrame | dict, suffix: str = "") -> DataFrame:
-    """Replace (or add with ``suffix``) each encoded column by its int code."""
-    maps = encodings if isinstance(encodings, dict) else encoding_maps(encodings)
+def transform_labels(df: DataFrame, encodings: DataFrame | dict, suffix: str = "", cols: list[str] | None = None) -> DataFrame:
+    """Replace (or add with ``suffix``) each encoded column by its int code; unseen or null -> -1.
+
+    An encoding table of any size is joined, one equi-join per column; a dict (a loaded
+    artifact) is applied as literal maps.
+    """
+    if isinstance(encodings, dict):
+        if suffix:
+            return df.select("*", *[encode_column(c, m).alias(c + suffix) for c, m in encodings.items() if c in df.columns])
+        return df.select(*[encode_column(c, encodings[c]).alias(c) if c in encodings else F.col(c) for c in df.columns])
+    cols = [c for c in (cols or R.CATEGORICAL) if c in df.columns]
+    out = df
+    for c in cols:
+        codes = encodings.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
+        out = out.join(codes, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
+    code = lambda c: F.coalesce(F.col(f"_c_{c}"), F.lit(-1))
     if suffix:
-        return df.select("*", *[encode_column(c, m).alias(c + suffix) for c, m in maps.items() if c in df.columns])
-    return df.select(*[encode_column(c, maps[c]).alias(c) if c in maps else F.col(c) for c in df.columns])
+        return out.select(*df.columns, *[code(c).alias(c + suffix) for c in cols])
+    return out.select(*[code(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -84,14 +92,14 @@ def scale_columns(df: DataFrame, params: DataFrame | dict, keep: list[str] | Non
     return df.select(*[F.col(k) for k in (keep or [])], *cols)
 
 
-def class_weights(df: DataFrame, label: str = "AttritionBinary") -> DataFrame:
+def class_weights(df: DataFrame, label: str = "LeavingBinary") -> DataFrame:
     """Balanced weights n / (2 * n_c) per class (M3)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     return counts.select(label, "n", (total / (F.lit(2.0) * F.col("n"))).alias("weight"))
 
 
-def with_class_weight(df: DataFrame, label: str = "AttritionBinary", name: str = "weight") -> DataFrame:
+def with_class_weight(df: DataFrame, label: str = "LeavingBinary", name: str = "weight") -> DataFrame:
     """Attach the balanced weight (two classes: the count table has two rows)."""
     w = class_weights(df, label).select(label, F.col("weight").alias(name))
     return df.join(F.broadcast(w), on=label, how="left")
@@ -101,7 +109,7 @@ def split_key(id_col: str = "EmployeeID", tag: str = "split") -> Column:
     return uniform(F.col(id_col), tag)
 
 
-def stratified_split(df: DataFrame, label: str = "AttritionBinary", test_size: float = 0.2,
+def stratified_split(df: DataFrame, label: str = "LeavingBinary", test_size: float = 0.2,
                      id_col: str = "EmployeeID", tag: str = "split") -> DataFrame:
     """Exact stratified split (R3): within each class, rows in hash order; the
     first ceil(test_size * n_class) go to test. Adds ``is_test`` (0/1)."""
@@ -114,7 +122,7 @@ def stratified_split(df: DataFrame, label: str = "AttritionBinary", test_size: f
     return ranked.select(*df.columns, is_test.alias("is_test"))
 
 
-def stratified_folds(df: DataFrame, k: int = 5, label: str = "AttritionBinary", id_col: str = "EmployeeID",
+def stratified_folds(df: DataFrame, k: int = 5, label: str = "LeavingBinary", id_col: str = "EmployeeID",
                      tag: str = "fold") -> DataFrame:
     """Stratified k-fold assignment (R4): fold = class rank (hash order) mod k."""
     keyed = df.select("*", split_key(id_col, tag).alias("_h"))

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from retentia import reference_data as R
 from retentia.functions.numeric import clip, sigmoid
 
-MAX_RULE_ROWS = 10_000   # a rules table is configuration; refuse anything larger
 
 
 @dataclass(frozen=True)
@@ -98,10 +97,8 @@ def rules_frame(spark: SparkSession, terms: list[Term] | None = None) -> DataFra
 
 
 def terms_from_frame(rules: DataFrame) -> list[Term]:
-    """Read a rules DataFrame back into terms (size-checked: config, not data)."""
-    rows = rules.limit(MAX_RULE_ROWS + 1).collect()
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(f"rules table larger than {MAX_RULE_ROWS} rows")
+    """Read a rules DataFrame (configuration: a row per rule and level) back into terms."""
+    rows = rules.collect()
     by_ord: dict[int, list] = {}
     for r in rows:
         by_ord.setdefault(r["ord"], []).append(r)

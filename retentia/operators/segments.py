@@ -2,9 +2,9 @@
 KPIs, personas, lookups and domain-ordered completion.
 
 Every aggregate is a partial + final hash aggregation (map-side combine);
-dimension tables are fixed domains of <= 11 rows and are broadcast; scalar
-ranges are scalar subqueries, never cross joins. Exact quantiles run on the
-distinct-value histogram, so no task ever holds a whole column.
+the fixed domains (<= 11 rows) are broadcast, any other dimension only if
+Catalyst finds it small; a histogram's range is fetched first (two scalars). Exact quantiles run on the
+distinct-value histogram in range partitions, so no task ever holds a whole column.
 """
 
 from __future__ import annotations
@@ -14,45 +14,49 @@ from pyspark.sql import functions as F
 
 from retentia import reference_data as R
 from retentia.functions.numeric import np_round, stable6
+from retentia.operators.ordered import running_totals
 
 # ----------------------------------------------------------------- dimensions
 
 
 def dim_band(spark: SparkSession) -> DataFrame:
     rows = [(b, i + 1, R.BAND_SALARY[b], float(R.BAND_LOGIT[b])) for i, b in enumerate(R.BANDS)]
-    return spark.createDataFrame(rows, "LevelBand string, band_ord int, band_salary long, band_logit double")
+    return F.broadcast(spark.createDataFrame(rows, "LevelBand string, band_ord int, band_salary long, band_logit double"))   # a fixed domain
 
 
 def dim_department(spark: SparkSession) -> DataFrame:
     rows = [(d, float(R.DEPARTMENT_MARKET[d]), float(R.DEPARTMENT_LOGIT[d])) for d in R.DEPARTMENTS]
-    return spark.createDataFrame(rows, "Department string, dept_market double, dept_logit double")
+    return F.broadcast(spark.createDataFrame(rows, "Department string, dept_market double, dept_logit double"))   # a fixed domain
 
 
 def dim_location(spark: SparkSession) -> DataFrame:
     rows = [(loc, float(R.LOCATION_COST[loc])) for loc in R.LOCATIONS]
-    return spark.createDataFrame(rows, "Location string, location_cost double")
+    return F.broadcast(spark.createDataFrame(rows, "Location string, location_cost double"))   # a fixed domain
 
 
 def dim_risk(spark: SparkSession) -> DataFrame:
     lower = {"Low": 0.0, **R.RISK_THRESHOLDS}
     rows = [(c, i + 1, float(lower[c])) for i, c in enumerate(R.RISK_ORDER)]
-    return spark.createDataFrame(rows, "RiskCategory string, risk_ord int, lower_bound double")
+    return F.broadcast(spark.createDataFrame(rows, "RiskCategory string, risk_ord int, lower_bound double"))   # a fixed domain
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Equi-lookup against a fixed-domain dimension (broadcast: <= 11 rows)."""
-    return df.join(F.broadcast(dim), on=key, how=how)
-
-
-def unmatched(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is missing from the dimension (a missing key is an error)."""
-    return df.join(F.broadcast(dim.select(key)), on=key, how="left_anti")
+    """Equi-lookup against a dimension (J1-J3). An inner lookup raises in the task that meets a row whose
+    key the dimension lacks, as a missing key is an error; ``how="left"`` keeps such rows with nulls.
+    Catalyst broadcasts the dimension if its size allows."""
+    if how != "inner":
+        return df.join(dim, on=key, how=how)
+    out = df.join(dim.withColumn("_found", F.lit(True)), on=key, how="left")
+    missing = F.raise_error(F.concat(F.lit(f"no {key} in the dimension: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))))
+    first = next(c for c in dim.columns if c != key)
+    checked = F.when(F.col("_found"), F.col(first)).otherwise(missing.cast(dim.schema[first].dataType))
+    return out.select(*[checked.alias(c) if c == first else F.col(c) for c in out.columns if c != "_found"])
 
 
 # ----------------------------------------------------------------- rates
 
 
-def rate_by(df: DataFrame, dim: str, outcome: str = "AttritionBinary") -> DataFrame:
+def rate_by(df: DataFrame, dim: str, outcome: str = "LeavingBinary") -> DataFrame:
     """Mean outcome by one dimension (null keys dropped, as pandas does), desc."""
     return (df.filter(F.col(dim).isNotNull())
             .groupBy(dim)
@@ -60,7 +64,7 @@ def rate_by(df: DataFrame, dim: str, outcome: str = "AttritionBinary") -> DataFr
             .orderBy(F.col("rate").desc(), F.col(dim)))
 
 
-def rate_all_dims(df: DataFrame, dims: list[str], outcome: str = "AttritionBinary") -> DataFrame:
+def rate_all_dims(df: DataFrame, dims: list[str], outcome: str = "LeavingBinary") -> DataFrame:
     """All dimensions in one scan: unpivot to (dimension, value) then one aggregate.
 
     The 13x expansion stays inside the map stage; the partial aggregate emits
@@ -84,7 +88,7 @@ def mean_by(df: DataFrame, dim: str, value: str, name: str = "mean") -> DataFram
 def complete_ordered(agg: DataFrame, dim: DataFrame, key: str, ord_col: str, fill: dict | None = None,
                      only_present: bool = False) -> DataFrame:
     """Reindex an aggregate to an ordered domain (J6): every member, fixed order."""
-    out = F.broadcast(dim.select(key, ord_col)).join(agg, on=key, how="inner" if only_present else "left")
+    out = dim.select(key, ord_col).join(agg, on=key, how="inner" if only_present else "left")
     if fill:
         out = out.fillna(fill)
     return out.orderBy(ord_col)
@@ -104,19 +108,19 @@ def risk_breakdown(df: DataFrame, spark: SparkSession, col: str = "RiskCategory"
 
 def outcome_by_risk(df: DataFrame, col: str = "RiskCategory") -> DataFrame:
     """Mean outcome and mean probability per risk category, 3dp."""
-    return df.groupBy(col).agg(np_round(F.avg("AttritionBinary"), 3).alias("observed_rate"),
-                               np_round(F.avg("AttritionProb"), 3).alias("mean_prob"),
+    return df.groupBy(col).agg(np_round(F.avg("LeavingBinary"), 3).alias("observed_rate"),
+                               np_round(F.avg("LeavingProb"), 3).alias("mean_prob"),
                                F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-def pivot_mean(df: DataFrame, row: str, col: str, values: list, value_col: str = "AttritionBinary",
+def pivot_mean(df: DataFrame, row: str, col: str, values: list, value_col: str = "LeavingBinary",
                scale: float = 100.0) -> DataFrame:
     """Mean x scale pivot with an explicit column list (no extra distinct job)."""
     return (df.groupBy(row).pivot(col, values)
             .agg(stable6(F.avg(value_col) * F.lit(scale))))
 
 
-def spread_of_rates(df: DataFrame, cols: list[str], outcome: str = "AttritionBinary") -> DataFrame:
+def spread_of_rates(df: DataFrame, cols: list[str], outcome: str = "LeavingBinary") -> DataFrame:
     """Per column: min, max and max-min of its group rates (A12), two-level."""
     rates = rate_all_dims(df, cols, outcome)
     return rates.groupBy("dimension").agg(
@@ -131,16 +135,17 @@ def quantiles_long(df: DataFrame, cols: list[str], qs: list[float]) -> DataFrame
     """Exact linear-interpolation quantiles (pandas/numpy default) per column.
 
     Works on the distinct-value histogram of each column: one aggregate by
-    (column, value), running counts over the (bounded) distinct values, then
-    the two order statistics around (n - 1) * q. Output: column, q, value.
+    (column, value), running counts over range partitions of (column, value), so
+    a column of all-distinct values is split, then the two order statistics
+    around (n - 1) * q. Output: column, q, value.
     """
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("kv"))
     hist = (stacked.select("kv.column", "kv.v").filter(F.col("v").isNotNull())
             .groupBy("column", "v").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("column").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.select("column", "v", F.sum("c").over(w).alias("cum"),
-                      F.sum("c").over(Window.partitionBy("column")).alias("n"))
+    total = hist.groupBy("column").agg(F.sum("c").alias("n"))
+    cum = running_totals(hist, "v", ["c"], descending=False, prefix="cum_", group_cols=["column"]) \
+        .select("column", "v", F.col("cum_c").alias("cum")).join(total, "column")
     aggs = []
     for i, q in enumerate(qs):
         h = (F.col("n") - 1) * F.lit(float(q))
@@ -157,7 +162,7 @@ def quantiles_long(df: DataFrame, cols: list[str], qs: list[float]) -> DataFrame
     return per.select("column", F.explode(F.array(*rows)).alias("r")).select("column", "r.q", "r.value")
 
 
-def prob_spread(df: DataFrame, col: str = "AttritionProb_True") -> DataFrame:
+def prob_spread(df: DataFrame, col: str = "LeavingProb_True") -> DataFrame:
     """min, max, mean, median, P10, P90 of one column (A13), one row."""
     base = df.agg(F.min(col).alias("min"), F.max(col).alias("max"), F.avg(col).alias("mean"))
     qs = quantiles_long(df, [col], [0.5, 0.1, 0.9]).groupBy().pivot("q", [0.5, 0.1, 0.9]).agg(F.first("value"))
@@ -231,12 +236,14 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 def grouped_density(df: DataFrame, group: str, col: str, bins: int) -> DataFrame:
     """Per-group density histogram, each group on its own [min, max].
 
-    The group range table has one row per group value (a fixed, small domain)
-    and is broadcast; empty bins come from exploding that table, not a join.
+    Rows of a NULL group are left out, as a group-by in pandas does. The group
+    range table has one row per group value; empty bins come from exploding
+    that table, not a join.
     """
+    df = df.filter(F.col(group).isNotNull())
     ranges = (df.filter(F.col(col).isNotNull()).groupBy(group)
               .agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(F.lit(1)).alias("N")))
-    r = F.broadcast(ranges)
+    r = ranges
     idx = F.least(F.floor((F.col(col) - F.col("lo")) * F.try_divide(F.lit(float(bins)), F.col("hi") - F.col("lo"))),
                   F.lit(bins - 1))
     counts = (df.select(group, col).filter(F.col(col).isNotNull()).join(r, group)
@@ -256,16 +263,16 @@ def grouped_density(df: DataFrame, group: str, col: str, bins: int) -> DataFrame
 def kpis(df: DataFrame) -> DataFrame:
     """Total, exits, rate, critical n/share, high+critical n/share."""
     n = F.count(F.lit(1))
-    exits = F.count_if(F.col("Attrition") == "Yes")
+    exits = F.count_if(F.col("Leaving") == "Yes")
     crit = F.count_if(F.col("RiskCategory") == "Critical")
     hp = F.count_if(F.col("RiskCategory").isin("High", "Critical"))
     return df.agg(n.cast("bigint").alias("total"), exits.cast("bigint").alias("exits"),
-                  stable6(exits / n).alias("attrition_rate"), crit.cast("bigint").alias("critical_n"),
+                  stable6(exits / n).alias("leave_rate"), crit.cast("bigint").alias("critical_n"),
                   stable6(crit / n).alias("critical_share"), hp.cast("bigint").alias("high_plus_n"),
                   stable6(hp / n).alias("high_plus_share"))
 
 
-def class_balance(df: DataFrame, label: str = "AttritionBinary") -> DataFrame:
+def class_balance(df: DataFrame, label: str = "LeavingBinary") -> DataFrame:
     return df.agg(F.count_if(F.col(label) == 0).cast("bigint").alias("stay"),
                   F.count_if(F.col(label) == 1).cast("bigint").alias("leave"),
                   stable6(F.avg(label)).alias("rate"))
@@ -302,12 +309,12 @@ def persona_stats(df: DataFrame, pred: Column) -> DataFrame:
     """Count, mean true probability, mean score and observed rate of a persona."""
     p = df.filter(pred)
     return p.agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                 stable6(F.avg("AttritionProb_True")).alias("mean_true_prob"),
-                 stable6(F.avg("AttritionProb")).alias("mean_score"),
-                 stable6(F.avg("AttritionBinary")).alias("observed_rate"))
+                 stable6(F.avg("LeavingProb_True")).alias("mean_true_prob"),
+                 stable6(F.avg("LeavingProb")).alias("mean_score"),
+                 stable6(F.avg("LeavingBinary")).alias("observed_rate"))
 
 
-def persona_dashboard(df: DataFrame, prob: str = "AttritionProb") -> DataFrame:
+def persona_dashboard(df: DataFrame, prob: str = "LeavingProb") -> DataFrame:
     """Both dashboard personas vs company mean in one pass (W3); empty persona -> NULL."""
     lo, hi = dashboard_low_persona(), dashboard_high_persona()
     return df.agg(F.count_if(lo).cast("bigint").alias("low_n"),
@@ -336,7 +343,7 @@ def lookup_filter(df: DataFrame, department: str = "All", risk: list[str] | None
 def top_by_risk(df: DataFrame, k: int = 200, cols: list[str] | None = None) -> DataFrame:
     """Highest-risk rows first, id tie-break, first k (T1: TakeOrderedAndProject)."""
     cols = cols or [c for c in R.LOOKUP_COLUMNS if c in df.columns]
-    return df.orderBy(F.col("AttritionProb").desc(), F.col("EmployeeID").asc()).limit(k).select(*cols)
+    return df.orderBy(F.col("LeavingProb").desc(), F.col("EmployeeID").asc()).limit(k).select(*cols)
 
 
 def employee_detail(df: DataFrame, employee_id: str, fields: list[str] | None = None) -> DataFrame:

@@ -83,14 +83,14 @@ for _fam in FE.FAMILIES:
 
 @query
 def q_scored_table(spark, sf):
-    return scored_table(spark, sf).select("EmployeeID", "AttritionProb", "RiskCategory")
+    return scored_table(spark, sf).select("EmployeeID", "LeavingProb", "RiskCategory")
 
 
 # =================================================================== segments
 from retentia.operators import explain as EX  # noqa: E402
 from retentia.operators import segments as SG  # noqa: E402
 
-DETAIL_ID = "ML10042"   # key 42 exists at every scale factor
+DETAIL_ID = "E10042"   # key 42 exists at every scale factor
 
 
 def _rate_query(dim: str) -> Query:
@@ -116,23 +116,23 @@ def q_rate_by_wfh(spark, sf):
 
 @query
 def q_risk_by_department(spark, sf):
-    return SG.mean_by(scored_table(spark, sf), "Department", "AttritionProb", "mean_prob")
+    return SG.mean_by(scored_table(spark, sf), "Department", "LeavingProb", "mean_prob")
 
 
 @query
 def q_risk_by_location(spark, sf):
-    return SG.mean_by(scored_table(spark, sf), "Location", "AttritionProb", "mean_prob")
+    return SG.mean_by(scored_table(spark, sf), "Location", "LeavingProb", "mean_prob")
 
 
 @query
 def q_risk_by_band(spark, sf):
-    agg = SG.mean_by(scored_table(spark, sf), "LevelBand", "AttritionProb", "mean_prob")
+    agg = SG.mean_by(scored_table(spark, sf), "LevelBand", "LeavingProb", "mean_prob")
     return SG.complete_ordered(agg, SG.dim_band(spark), "LevelBand", "band_ord", only_present=True)
 
 
 @query
-def q_attrition_counts(spark, sf):
-    return SG.value_counts(employees(spark, sf), "Attrition")
+def q_leaving_counts(spark, sf):
+    return SG.value_counts(employees(spark, sf), "Leaving")
 
 
 @query
@@ -162,8 +162,8 @@ def q_pivot_gender_overtime(spark, sf):
 
 
 @query
-def q_sat_dept_attrition(spark, sf):
-    p = SG.pivot_mean(employees(spark, sf), "Department", "Attrition", ["No", "Yes"], "JobSatisfaction", 1.0)
+def q_sat_dept_leaving(spark, sf):
+    p = SG.pivot_mean(employees(spark, sf), "Department", "Leaving", ["No", "Yes"], "JobSatisfaction", 1.0)
     return p.fillna({"No": 0.0, "Yes": 0.0})
 
 
@@ -174,7 +174,7 @@ def q_segment_spread(spark, sf):
 
 @query
 def q_prob_spread(spark, sf):
-    return SG.prob_spread(employees(spark, sf), "AttritionProb_True")
+    return SG.prob_spread(employees(spark, sf), "LeavingProb_True")
 
 
 @query
@@ -186,27 +186,27 @@ def q_describe(spark, sf):
 def q_prob_percentiles(spark, sf):
     """Custom percentiles of the true and the scorecard probability."""
     df = scored_table(spark, sf)
-    return SG.describe(df, ["AttritionProb_True", "AttritionProb"], (0.1, 0.25, 0.5, 0.75, 0.9), digits=4)
+    return SG.describe(df, ["LeavingProb_True", "LeavingProb"], (0.1, 0.25, 0.5, 0.75, 0.9), digits=4)
 
 
 @query
 def q_corr_with_prob(spark, sf):
-    return SG.corr_with(scored_table(spark, sf), R.DESCRIBE_COLUMNS, "AttritionProb")
+    return SG.corr_with(scored_table(spark, sf), R.DESCRIBE_COLUMNS, "LeavingProb")
 
 
 @query
 def q_hist_prob(spark, sf):
-    return SG.histogram(employees(spark, sf), "AttritionProb_True", 50)
+    return SG.histogram(employees(spark, sf), "LeavingProb_True", 50)
 
 
 @query
-def q_hist_ratio_by_attrition(spark, sf):
-    return SG.grouped_density(employees(spark, sf), "Attrition", "MarketRateRatio", 35)
+def q_hist_ratio_by_leaving(spark, sf):
+    return SG.grouped_density(employees(spark, sf), "Leaving", "MarketRateRatio", 35)
 
 
 @query
-def q_hist_prob_by_attrition(spark, sf):
-    return SG.grouped_density(scored_table(spark, sf), "Attrition", "AttritionProb", 50)
+def q_hist_prob_by_leaving(spark, sf):
+    return SG.grouped_density(scored_table(spark, sf), "Leaving", "LeavingProb", 50)
 
 
 @query
@@ -266,7 +266,7 @@ def q_employee_detail(spark, sf):
 @query
 def q_decision(spark, sf):
     df = scored_table(spark, sf)
-    return df.select("EmployeeID", "AttritionProb", EX.decision(F.col("AttritionProb")).alias("decision"))
+    return df.select("EmployeeID", "LeavingProb", EX.decision(F.col("LeavingProb")).alias("decision"))
 
 
 @query
@@ -337,7 +337,7 @@ def q_classification_report(spark, sf):
 @query
 def q_auc_true_prob(spark, sf):
     """AUC of the true probability: the ceiling any model can reach on this data."""
-    return EV.auc(scored_table(spark, sf), "AttritionBinary", "AttritionProb_True")
+    return EV.auc(scored_table(spark, sf), "LeavingBinary", "LeavingProb_True")
 
 
 # =================================================================== prep
@@ -372,18 +372,18 @@ def q_standard_scale(spark, sf):
 @query
 def q_class_weights(spark, sf):
     w = PR.class_weights(employees(spark, sf))
-    return w.select("AttritionBinary", "n", stable6(F.col("weight")).alias("weight"))
+    return w.select("LeavingBinary", "n", stable6(F.col("weight")).alias("weight"))
 
 
 @query
 def q_stratified_split(spark, sf):
-    emp = employees(spark, sf).select("EmployeeID", "AttritionBinary")
+    emp = employees(spark, sf).select("EmployeeID", "LeavingBinary")
     return PR.stratified_split(emp)
 
 
 @query
 def q_stratified_folds(spark, sf):
-    emp = employees(spark, sf).select("EmployeeID", "AttritionBinary")
+    emp = employees(spark, sf).select("EmployeeID", "LeavingBinary")
     train = PR.stratified_split(emp).filter(F.col("is_test") == 0).drop("is_test")
     return PR.stratified_folds(train, 5)
 
@@ -464,6 +464,11 @@ def q_importance_coef(spark, sf):
     return MD.importance(trained(spark, sf), "Logistic Regression")
 
 
+@query
+def q_importance_top25(spark, sf):
+    return MD.importance(trained(spark, sf), "Random Forest", top=25)
+
+
 @query
 def q_importance_permutation(spark, sf):
     return MD.permutation_importance(trained(spark, sf), "HistGradientBoosting", repeats=10)
@@ -477,14 +482,14 @@ from retentia.streaming.scoring import PROFILE_INPUTS, score_profiles  # noqa: E
 def q_risk_band(spark, sf):
     df = employees(spark, sf)
     p = F.rint(scorecard.prob_from_logit(scorecard.logit_column()) * 10000.0) / 10000.0
-    return df.select("EmployeeID", p.alias("AttritionProb")).select(
-        "*", EX.risk_category(F.col("AttritionProb")).alias("RiskCategory"))
+    return df.select("EmployeeID", p.alias("LeavingProb")).select(
+        "*", EX.risk_category(F.col("LeavingProb")).alias("RiskCategory"))
 
 
 @query
 def q_confidence(spark, sf):
     df = scored_table(spark, sf)
-    return df.select("EmployeeID", stable6(EX.confidence(F.col("AttritionProb"))).alias("confidence"))
+    return df.select("EmployeeID", stable6(EX.confidence(F.col("LeavingProb"))).alias("confidence"))
 
 
 @query
@@ -515,7 +520,7 @@ def q_profile_scores(spark, sf):
     """Profile records scored one by one as the live form / stream does (Z1 batch twin)."""
     prof = employees(spark, sf).select("EmployeeID", *PROFILE_INPUTS)
     out = score_profiles(prof)
-    return out.select("EmployeeID", "AttritionProb", "RiskCategory", "Decision",
+    return out.select("EmployeeID", "LeavingProb", "RiskCategory", "Decision",
                       stable6(F.col("Confidence")).alias("Confidence"),
                       F.array_join("RiskFactors", "|").alias("RiskFactors"),
                       F.array_join("RetentionFactors", "|").alias("RetentionFactors"))
@@ -539,7 +544,7 @@ _P_QUERIES = {
                            "AvgSatisfaction"],
     "q_wfh_days": ["Location", "WFH_DaysPerWeek"],
     "q_employee_id": [],
-    "q_label_assignment": ["AttritionProb_True", "AttritionBinary", "Attrition"],
+    "q_label_assignment": ["LeavingProb_True", "LeavingBinary", "Leaving"],
 }
 
 

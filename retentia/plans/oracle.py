@@ -80,7 +80,7 @@ ORACLES["q_features"] = with_base(f"SELECT EmployeeID, {', '.join(_FEATURES)} FR
 for _fam, _cols in FAMILIES.items():
     ORACLES[f"q_feat_{_fam}"] = with_base(f"SELECT EmployeeID, {', '.join(_cols)} FROM feat")
 
-ORACLES["q_scored_table"] = with_base("SELECT EmployeeID, AttritionProb, RiskCategory FROM scored")
+ORACLES["q_scored_table"] = with_base("SELECT EmployeeID, LeavingProb, RiskCategory FROM scored")
 
 
 # =================================================================== segments
@@ -89,29 +89,29 @@ from retentia import reference_data as R  # noqa: E402
 for _dim in R.RATE_DIMENSIONS + ["WFH_DaysPerWeek"]:
     _name = "q_rate_by_wfh" if _dim == "WFH_DaysPerWeek" else f"q_rate_by_{_dim}"
     ORACLES[_name] = with_base(f"""
-SELECT {_dim}, CAST(count(*) AS BIGINT) AS n, {_r6('avg(AttritionBinary)')} AS rate
+SELECT {_dim}, CAST(count(*) AS BIGINT) AS n, {_r6('avg(LeavingBinary)')} AS rate
 FROM emp WHERE {_dim} IS NOT NULL GROUP BY {_dim}""")
 
 ORACLES["q_rate_all_dims"] = with_base(" UNION ALL ".join(
     f"""SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, CAST(count(*) AS BIGINT) AS n,
-    {_r6('avg(AttritionBinary)')} AS rate FROM emp WHERE {d} IS NOT NULL GROUP BY {d}"""
+    {_r6('avg(LeavingBinary)')} AS rate FROM emp WHERE {d} IS NOT NULL GROUP BY {d}"""
     for d in R.RATE_DIMENSIONS))
 
 for _dim, _name in [("Department", "q_risk_by_department"), ("Location", "q_risk_by_location")]:
     ORACLES[_name] = with_base(
-        f"SELECT {_dim}, {_r6('avg(AttritionProb)')} AS mean_prob FROM scored GROUP BY {_dim}")
+        f"SELECT {_dim}, {_r6('avg(LeavingProb)')} AS mean_prob FROM scored GROUP BY {_dim}")
 
 _BAND_DIM = "(VALUES " + ", ".join(f"('{b}', {i + 1})" for i, b in enumerate(R.BANDS)) + ") AS d(LevelBand, band_ord)"
 
 ORACLES["q_risk_by_band"] = with_base(f"""
 SELECT d.LevelBand, d.band_ord, s.mean_prob
 FROM {_BAND_DIM}
-JOIN (SELECT LevelBand, {_r6('avg(AttritionProb)')} AS mean_prob FROM scored GROUP BY LevelBand) s
+JOIN (SELECT LevelBand, {_r6('avg(LeavingProb)')} AS mean_prob FROM scored GROUP BY LevelBand) s
   ON s.LevelBand = d.LevelBand""")
 
-ORACLES["q_attrition_counts"] = with_base(f"""
-SELECT Attrition, n, {_r6('n / sum(n) OVER ()')} AS share
-FROM (SELECT Attrition, CAST(count(*) AS BIGINT) AS n FROM emp GROUP BY Attrition)""")
+ORACLES["q_leaving_counts"] = with_base(f"""
+SELECT Leaving, n, {_r6('n / sum(n) OVER ()')} AS share
+FROM (SELECT Leaving, CAST(count(*) AS BIGINT) AS n FROM emp GROUP BY Leaving)""")
 
 ORACLES["q_risk_breakdown"] = with_base("""
 SELECT d.RiskCategory, d.risk_ord, CAST(coalesce(c.n, 0) AS BIGINT) AS n
@@ -121,13 +121,13 @@ LEFT JOIN (SELECT RiskCategory, count(*) AS n FROM scored GROUP BY RiskCategory)
 
 ORACLES["q_outcome_by_risk"] = with_base("""
 SELECT RiskCategory,
-  round_even(avg(AttritionBinary) * 1000.0, 0) / 1000.0 AS observed_rate,
-  round_even(avg(AttritionProb) * 1000.0, 0) / 1000.0 AS mean_prob,
+  round_even(avg(LeavingBinary) * 1000.0, 0) / 1000.0 AS observed_rate,
+  round_even(avg(LeavingProb) * 1000.0, 0) / 1000.0 AS mean_prob,
   CAST(count(*) AS BIGINT) AS n
 FROM scored GROUP BY RiskCategory""")
 
 
-def _pivot(row: str, col: str, values: list, value_col: str = "AttritionBinary", scale: str = "100.0") -> str:
+def _pivot(row: str, col: str, values: list, value_col: str = "LeavingBinary", scale: str = "100.0") -> str:
     cells = ", ".join(f"{_r6(f'avg({value_col}) FILTER (WHERE {col} = {chr(39)}{v}{chr(39)}) * {scale}')} AS \"{v}\""
                       for v in values)
     return f"SELECT {row}, {cells} FROM emp GROUP BY {row}"
@@ -138,22 +138,22 @@ ORACLES["q_pivot_band_shift"] = with_base(f"""
 SELECT d.LevelBand, d.band_ord, p.Day, p.Night, p.Rotational, p.Flexible
 FROM {_BAND_DIM} JOIN ({_pivot("LevelBand", "ShiftType", R.SHIFTS)}) p ON p.LevelBand = d.LevelBand""")
 ORACLES["q_pivot_gender_overtime"] = with_base(_pivot("Gender", "OverTime", ["No", "Yes"]))
-ORACLES["q_sat_dept_attrition"] = with_base(f"""
+ORACLES["q_sat_dept_leaving"] = with_base(f"""
 SELECT Department, coalesce("No", 0.0) AS "No", coalesce("Yes", 0.0) AS "Yes"
-FROM ({_pivot("Department", "Attrition", ["No", "Yes"], "JobSatisfaction", "1.0")})""")
+FROM ({_pivot("Department", "Leaving", ["No", "Yes"], "JobSatisfaction", "1.0")})""")
 
 ORACLES["q_segment_spread"] = with_base(f"""
 SELECT dimension, min(rate) AS min_rate, max(rate) AS max_rate, {_r6('max(rate) - min(rate)')} AS spread
 FROM (""" + " UNION ALL ".join(
-    f"SELECT '{d}' AS dimension, {_r6('avg(AttritionBinary)')} AS rate FROM emp GROUP BY {d}"
-    for d in R.SPREAD_COLUMNS) + ") GROUP BY dimension")
+    f"SELECT '{d}' AS dimension, {_r6('avg(LeavingBinary)')} AS rate FROM emp GROUP BY {d}"
+    for d in ["Gender", "Department", "LevelBand", "ShiftType", "OverTime", "MaritalStatus"]) + ") GROUP BY dimension")
 
 ORACLES["q_prob_spread"] = with_base(f"""
-SELECT {_r6('min(AttritionProb_True)')} AS min, {_r6('max(AttritionProb_True)')} AS max,
-  {_r6('avg(AttritionProb_True)')} AS mean,
-  {_r6('quantile_cont(AttritionProb_True, 0.5)')} AS median,
-  {_r6('quantile_cont(AttritionProb_True, 0.1)')} AS p10,
-  {_r6('quantile_cont(AttritionProb_True, 0.9)')} AS p90
+SELECT {_r6('min(LeavingProb_True)')} AS min, {_r6('max(LeavingProb_True)')} AS max,
+  {_r6('avg(LeavingProb_True)')} AS mean,
+  {_r6('quantile_cont(LeavingProb_True, 0.5)')} AS median,
+  {_r6('quantile_cont(LeavingProb_True, 0.1)')} AS p10,
+  {_r6('quantile_cont(LeavingProb_True, 0.9)')} AS p90
 FROM emp""")
 
 
@@ -173,10 +173,10 @@ def _describe(cols: list[str], table: str, pcts: list[float], digits: int) -> st
 
 ORACLES["q_describe"] = with_base(_describe(R.DESCRIBE_COLUMNS, "emp", [0.25, 0.5, 0.75], 3))
 ORACLES["q_prob_percentiles"] = with_base(
-    _describe(["AttritionProb_True", "AttritionProb"], "scored", [0.1, 0.25, 0.5, 0.75, 0.9], 4))
+    _describe(["LeavingProb_True", "LeavingProb"], "scored", [0.1, 0.25, 0.5, 0.75, 0.9], 4))
 
 ORACLES["q_corr_with_prob"] = with_base(" UNION ALL ".join(
-    f"SELECT '{c}' AS feature, {_r6(f'corr({c}, AttritionProb)')} AS corr FROM scored"
+    f"SELECT '{c}' AS feature, {_r6(f'corr({c}, LeavingProb)')} AS corr FROM scored"
     for c in R.DESCRIBE_COLUMNS))
 
 def _hist_grouped(table: str, group: str, col: str, bins: int) -> str:
@@ -199,21 +199,21 @@ def _with_extra(ctes_and_select: str) -> str:
 
 
 ORACLES["q_hist_prob"] = _with_extra(f"""
-_r AS (SELECT min(AttritionProb_True) AS lo, max(AttritionProb_True) AS hi FROM emp),
+_r AS (SELECT min(LeavingProb_True) AS lo, max(LeavingProb_True) AS hi FROM emp),
 _c AS (
-  SELECT CAST(coalesce(least(floor((AttritionProb_True - r.lo) * (50.0 / nullif(r.hi - r.lo, 0))), 49), 0) AS INTEGER) AS bin,
+  SELECT CAST(coalesce(least(floor((LeavingProb_True - r.lo) * (50.0 / nullif(r.hi - r.lo, 0))), 49), 0) AS INTEGER) AS bin,
          count(*) AS cnt
-  FROM emp, _r r WHERE AttritionProb_True IS NOT NULL GROUP BY 1)
+  FROM emp, _r r WHERE LeavingProb_True IS NOT NULL GROUP BY 1)
 SELECT b.bin, {_r6('r.lo + b.bin * ((r.hi - r.lo) / 50.0)')} AS bin_lo,
   {_r6('r.lo + (b.bin + 1) * ((r.hi - r.lo) / 50.0)')} AS bin_hi, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count
 FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(50)) b CROSS JOIN _r r LEFT JOIN _c c ON c.bin = b.bin""")
-ORACLES["q_hist_ratio_by_attrition"] = _with_extra(_hist_grouped("emp", "Attrition", "MarketRateRatio", 35))
-ORACLES["q_hist_prob_by_attrition"] = _with_extra(_hist_grouped("scored", "Attrition", "AttritionProb", 50))
+ORACLES["q_hist_ratio_by_leaving"] = _with_extra(_hist_grouped("emp", "Leaving", "MarketRateRatio", 35))
+ORACLES["q_hist_prob_by_leaving"] = _with_extra(_hist_grouped("scored", "Leaving", "LeavingProb", 50))
 
 ORACLES["q_kpis"] = with_base(f"""
 SELECT CAST(count(*) AS BIGINT) AS total,
-  CAST(count(*) FILTER (WHERE Attrition = 'Yes') AS BIGINT) AS exits,
-  {_r6("count(*) FILTER (WHERE Attrition = 'Yes') / count(*)")} AS attrition_rate,
+  CAST(count(*) FILTER (WHERE Leaving = 'Yes') AS BIGINT) AS exits,
+  {_r6("count(*) FILTER (WHERE Leaving = 'Yes') / count(*)")} AS leave_rate,
   CAST(count(*) FILTER (WHERE RiskCategory = 'Critical') AS BIGINT) AS critical_n,
   {_r6("count(*) FILTER (WHERE RiskCategory = 'Critical') / count(*)")} AS critical_share,
   CAST(count(*) FILTER (WHERE RiskCategory IN ('High', 'Critical')) AS BIGINT) AS high_plus_n,
@@ -221,8 +221,8 @@ SELECT CAST(count(*) AS BIGINT) AS total,
 FROM scored""")
 
 ORACLES["q_class_balance"] = with_base(f"""
-SELECT CAST(count(*) FILTER (WHERE AttritionBinary = 0) AS BIGINT) AS stay,
-  CAST(count(*) FILTER (WHERE AttritionBinary = 1) AS BIGINT) AS leave, {_r6('avg(AttritionBinary)')} AS rate
+SELECT CAST(count(*) FILTER (WHERE LeavingBinary = 0) AS BIGINT) AS stay,
+  CAST(count(*) FILTER (WHERE LeavingBinary = 1) AS BIGINT) AS leave, {_r6('avg(LeavingBinary)')} AS rate
 FROM emp""")
 
 ORACLES["q_distinct_departments"] = with_base(
@@ -234,8 +234,8 @@ _HIGH = ("MaritalStatus = 'Single' AND Department = 'Sales' AND MarketRateRatio
          "AND ShiftType IN ('Night', 'Rotational')")
 for _name, _pred in [("q_persona_low", _LOW), ("q_persona_high", _HIGH)]:
     ORACLES[_name] = with_base(f"""
-SELECT CAST(count(*) AS BIGINT) AS n, {_r6('avg(AttritionProb_True)')} AS mean_true_prob,
-  {_r6('avg(AttritionProb)')} AS mean_score, {_r6('avg(AttritionBinary)')} AS observed_rate
+SELECT CAST(count(*) AS BIGINT) AS n, {_r6('avg(LeavingProb_True)')} AS mean_true_prob,
+  {_r6('avg(LeavingProb)')} AS mean_score, {_r6('avg(LeavingBinary)')} AS observed_rate
 FROM scored WHERE {_pred}""")
 
 _DLOW = ("Gender = 'Female' AND MaritalStatus = 'Married' AND Location = 'WFH' AND PromotionsLast3Yrs >= 1 "
@@ -243,10 +243,10 @@ _DLOW = ("Gender = 'Female' AND MaritalStatus = 'Married' AND Location = 'WFH' A
 _DHIGH = "MaritalStatus = 'Single' AND Department = 'Sales' AND MarketRateRatio < 0.85 AND OverTime = 'Yes'"
 ORACLES["q_persona_dashboard"] = with_base(f"""
 SELECT CAST(count(*) FILTER (WHERE {_DLOW}) AS BIGINT) AS low_n,
-  {_r6(f'avg(AttritionProb) FILTER (WHERE {_DLOW})')} AS low_mean,
+  {_r6(f'avg(LeavingProb) FILTER (WHERE {_DLOW})')} AS low_mean,
   CAST(count(*) FILTER (WHERE {_DHIGH}) AS BIGINT) AS high_n,
-  {_r6(f'avg(AttritionProb) FILTER (WHERE {_DHIGH})')} AS high_mean,
-  {_r6('avg(AttritionProb)')} AS company_mean
+  {_r6(f'avg(LeavingProb) FILTER (WHERE {_DHIGH})')} AS high_mean,
+  {_r6('avg(LeavingProb)')} AS company_mean
 FROM scored""")
 
 _LOOKUP = ", ".join(R.LOOKUP_COLUMNS)
@@ -255,17 +255,17 @@ SELECT {_LOOKUP} FROM scored
 WHERE Department = 'Engineering' AND RiskCategory IN ('Critical', 'High') AND LevelBand IN ('P1A', 'P1B', 'P2A')""")
 ORACLES["q_lookup_top200"] = with_base(f"""
 SELECT {_LOOKUP} FROM scored WHERE RiskCategory IN ('Critical', 'High')
-ORDER BY AttritionProb DESC, EmployeeID ASC LIMIT 200""")
+ORDER BY LeavingProb DESC, EmployeeID ASC LIMIT 200""")
 ORACLES["q_lookup_ids"] = with_base("""
 SELECT EmployeeID FROM scored WHERE RiskCategory IN ('Critical', 'High')
-ORDER BY AttritionProb DESC, EmployeeID ASC LIMIT 50""")
+ORDER BY LeavingProb DESC, EmployeeID ASC LIMIT 50""")
 
 ORACLES["q_employee_detail"] = with_base(" UNION ALL ".join(
-    f"SELECT EmployeeID, {i} AS pos, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM scored WHERE EmployeeID = 'ML10042'"
+    f"SELECT EmployeeID, {i} AS pos, '{f}' AS field, CAST({f} AS VARCHAR) AS value FROM scored WHERE EmployeeID = 'E10042'"
     for i, f in enumerate(R.DETAIL_FIELDS)))
 
 ORACLES["q_decision"] = with_base(
-    "SELECT EmployeeID, AttritionProb, CAST(AttritionProb >= 0.40 AS INTEGER) AS decision FROM scored")
+    "SELECT EmployeeID, LeavingProb, CAST(LeavingProb >= 0.40 AS INTEGER) AS decision FROM scored")
 
 ORACLES["q_band_lookup"] = with_base("SELECT e.LevelBand, e.EmployeeID, d.band_ord, d.band_salary, d.band_logit FROM emp e JOIN (VALUES " + ", ".join(
     f"('{b}', {i + 1}, CAST({R.BAND_SALARY[b]} AS BIGINT), CAST({R.BAND_LOGIT[b]!r} AS DOUBLE))" for i, b in enumerate(R.BANDS))
@@ -280,12 +280,12 @@ ORACLES["q_location_lookup"] = with_base("SELECT e.Location, e.EmployeeID, d.loc
 ORACLES["q_band_rate_complete"] = with_base(f"""
 SELECT d.LevelBand, d.band_ord, CAST(coalesce(s.n, 0) AS BIGINT) AS n, coalesce(s.rate, 0.0) AS rate
 FROM {_BAND_DIM}
-LEFT JOIN (SELECT LevelBand, count(*) AS n, {_r6('avg(AttritionBinary)')} AS rate FROM emp GROUP BY LevelBand) s
+LEFT JOIN (SELECT LevelBand, count(*) AS n, {_r6('avg(LeavingBinary)')} AS rate FROM emp GROUP BY LevelBand) s
   ON s.LevelBand = d.LevelBand""")
 
 
 # =================================================================== evaluation
-_COUNTS = "(SELECT AttritionProb AS s, sum(AttritionBinary) AS pos, count(*) - sum(AttritionBinary) AS neg FROM scored GROUP BY 1)"
+_COUNTS = "(SELECT LeavingProb AS s, sum(LeavingBinary) AS pos, count(*) - sum(LeavingBinary) AS neg FROM scored GROUP BY 1)"
 
 ORACLES["q_roc_curve"] = with_base(f"""
 SELECT CAST('inf' AS DOUBLE) AS threshold, CAST(0 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp,
@@ -301,22 +301,22 @@ def _mann_whitney(score: str) -> str:
 SELECT {_r6('(sum(avg_rank) FILTER (WHERE y = 1) - p * (p + 1) / 2.0) / (p * (cnt - p))')} AS auc
 FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS avg_rank,
              sum(y) OVER () AS p, count(*) OVER () AS cnt
-      FROM (SELECT AttritionBinary AS y, {score} AS s FROM scored))
+      FROM (SELECT LeavingBinary AS y, {score} AS s FROM scored))
 GROUP BY p, cnt"""
 
 
-ORACLES["q_auc"] = with_base(_mann_whitney("AttritionProb"))
-ORACLES["q_auc_true_prob"] = with_base(_mann_whitney("AttritionProb_True"))
+ORACLES["q_auc"] = with_base(_mann_whitney("LeavingProb"))
+ORACLES["q_auc_true_prob"] = with_base(_mann_whitney("LeavingProb_True"))
 
 ORACLES["q_average_precision"] = with_base(f"""
 SELECT {_r6('sum(pos * cp / (cp + cn)) / sum(pos)')} AS average_precision
 FROM (SELECT s, pos, sum(pos) OVER (ORDER BY s DESC) AS cp, sum(neg) OVER (ORDER BY s DESC) AS cn FROM {_COUNTS})""")
 
 _CONF = """(SELECT
-  count(*) FILTER (WHERE AttritionBinary = 1 AND AttritionProb >= 0.40) AS tp,
-  count(*) FILTER (WHERE AttritionBinary = 0 AND AttritionProb >= 0.40) AS fp,
-  count(*) FILTER (WHERE AttritionBinary = 1 AND AttritionProb < 0.40) AS fn,
-  count(*) FILTER (WHERE AttritionBinary = 0 AND AttritionProb < 0.40) AS tn FROM scored)"""
+  count(*) FILTER (WHERE LeavingBinary = 1 AND LeavingProb >= 0.40) AS tp,
+  count(*) FILTER (WHERE LeavingBinary = 0 AND LeavingProb >= 0.40) AS fp,
+  count(*) FILTER (WHERE LeavingBinary = 1 AND LeavingProb < 0.40) AS fn,
+  count(*) FILTER (WHERE LeavingBinary = 0 AND LeavingProb < 0.40) AS tn FROM scored)"""
 
 ORACLES["q_threshold_metrics"] = with_base(f"""
 SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn,
@@ -332,7 +332,7 @@ UNION ALL SELECT 0, 1, CAST(fp AS BIGINT) FROM {_CONF}
 UNION ALL SELECT 1, 0, CAST(fn AS BIGINT) FROM {_CONF}
 UNION ALL SELECT 1, 1, CAST(tp AS BIGINT) FROM {_CONF}""")
 
-ORACLES["q_brier"] = with_base(f"SELECT {_r6('avg((AttritionProb - AttritionBinary) ^ 2)')} AS brier FROM scored")
+ORACLES["q_brier"] = with_base(f"SELECT {_r6('avg((LeavingProb - LeavingBinary) ^ 2)')} AS brier FROM scored")
 
 ORACLES["q_classification_report"] = _with_extra(f"""
 m AS (SELECT tp, fp, fn, tn,
@@ -372,22 +372,22 @@ ORACLES["q_standard_scale"] = _with_extra(
         for f in _MODEL_FEATURES))
 
 ORACLES["q_class_weights"] = with_base(f"""
-SELECT AttritionBinary, CAST(count(*) AS BIGINT) AS n, {_r6('sum(count(*)) OVER () / (2.0 * count(*))')} AS weight
-FROM emp GROUP BY AttritionBinary""")
+SELECT LeavingBinary, CAST(count(*) AS BIGINT) AS n, {_r6('sum(count(*)) OVER () / (2.0 * count(*))')} AS weight
+FROM emp GROUP BY LeavingBinary""")
 
 _SPLIT = """
-SELECT EmployeeID, AttritionBinary, CAST(rn < (n + 4) // 5 AS INTEGER) AS is_test
-FROM (SELECT EmployeeID, AttritionBinary,
-        row_number() OVER (PARTITION BY AttritionBinary ORDER BY h, EmployeeID) - 1 AS rn,
-        count(*) OVER (PARTITION BY AttritionBinary) AS n
-      FROM (SELECT EmployeeID, AttritionBinary,
+SELECT EmployeeID, LeavingBinary, CAST(rn < (n + 4) // 5 AS INTEGER) AS is_test
+FROM (SELECT EmployeeID, LeavingBinary,
+        row_number() OVER (PARTITION BY LeavingBinary ORDER BY h, EmployeeID) - 1 AS rn,
+        count(*) OVER (PARTITION BY LeavingBinary) AS n
+      FROM (SELECT EmployeeID, LeavingBinary,
               CAST(CAST('0x' || substr(md5('42:split:' || EmployeeID), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS h
             FROM emp))"""
 ORACLES["q_stratified_split"] = with_base(_SPLIT)
 ORACLES["q_stratified_folds"] = with_base(f"""
-SELECT EmployeeID, AttritionBinary,
-  CAST((row_number() OVER (PARTITION BY AttritionBinary ORDER BY h, EmployeeID) - 1) % 5 AS INTEGER) AS fold
-FROM (SELECT EmployeeID, AttritionBinary,
+SELECT EmployeeID, LeavingBinary,
+  CAST((row_number() OVER (PARTITION BY LeavingBinary ORDER BY h, EmployeeID) - 1) % 5 AS INTEGER) AS fold
+FROM (SELECT EmployeeID, LeavingBinary,
         CAST(CAST('0x' || substr(md5('42:fold:' || EmployeeID), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS h
       FROM ({_SPLIT}) WHERE is_test = 0)""")
 
@@ -412,9 +412,9 @@ _RET_N = ("CAST((MaritalStatus = 'Married')::INT + (WFH_DaysPerWeek >= 3)::INT +
           "+ (AwardsReceived >= 2)::INT + (MarketRateRatio >= 1.05)::INT + (JobSatisfaction >= 4)::INT "
           "+ (YearsAtCompany >= 10)::INT AS INTEGER)")
 
-ORACLES["q_risk_band"] = with_base("SELECT EmployeeID, AttritionProb, RiskCategory FROM scored")
+ORACLES["q_risk_band"] = with_base("SELECT EmployeeID, LeavingProb, RiskCategory FROM scored")
 ORACLES["q_confidence"] = with_base(
-    f"SELECT EmployeeID, {_r6('greatest(AttritionProb, 1.0 - AttritionProb)')} AS confidence FROM scored")
+    f"SELECT EmployeeID, {_r6('greatest(LeavingProb, 1.0 - LeavingProb)')} AS confidence FROM scored")
 ORACLES["q_risk_factors"] = with_base(
     f"SELECT EmployeeID, {_RISK_SQL} AS risk_factors, {_RISK_N} AS n_risk_factors FROM emp")
 ORACLES["q_retention_factors"] = with_base(
@@ -425,8 +425,8 @@ SELECT EmployeeID, LevelBandNum, least(YearsInCurrentRole, YearsAtCompany) AS Ye
   AvgSatisfaction
 FROM emp""")
 ORACLES["q_profile_scores"] = with_base(f"""
-SELECT EmployeeID, AttritionProb, RiskCategory, CAST(AttritionProb >= 0.40 AS INTEGER) AS Decision,
-  {_r6('greatest(AttritionProb, 1.0 - AttritionProb)')} AS Confidence,
+SELECT EmployeeID, LeavingProb, RiskCategory, CAST(LeavingProb >= 0.40 AS INTEGER) AS Decision,
+  {_r6('greatest(LeavingProb, 1.0 - LeavingProb)')} AS Confidence,
   {_RISK_SQL} AS RiskFactors, {_RET_SQL} AS RetentionFactors
 FROM scored""")
 

@@ -66,7 +66,7 @@ _u AS (
 ),
 _e1 AS (
   SELECT *,
-    printf('ML%05d', 10000 + _key) AS EmployeeID,
+    printf('E%05d', 10000 + _key) AS EmployeeID,
     least(greatest(CAST(trunc(34.0 + 8.0 * {_z('u_age1', 'u_age2')}) AS INTEGER), 22), 60) AS Age,
     {_choice('u_gender', R.GENDERS, R.GENDER_WEIGHTS)} AS Gender,
     {_choice('u_marital', R.MARITAL, R.MARITAL_WEIGHTS)} AS MaritalStatus,
@@ -179,9 +179,9 @@ emp AS (
     WorkLifeBalance, AvgSatisfaction, PerformanceRating, AwardsReceived, RecognitionsReceived,
     TrainingLastYear, Leaves_30d, Leaves_90d, Leaves_180d, Leaves_365d, SickLeave_Annual, OverTime,
     BusinessTravel, NumCompaniesWorked, WFH_DaysPerWeek,
-    round_even(prob_true * 10000.0, 0) / 10000.0 AS AttritionProb_True,
-    CAST(u_label < prob_true AS INTEGER) AS AttritionBinary,
-    CASE WHEN u_label < prob_true THEN 'Yes' ELSE 'No' END AS Attrition,
+    round_even(prob_true * 10000.0, 0) / 10000.0 AS LeavingProb_True,
+    CAST(u_label < prob_true AS INTEGER) AS LeavingBinary,
+    CASE WHEN u_label < prob_true THEN 'Yes' ELSE 'No' END AS Leaving,
     logit AS _logit
   FROM _e6
 )"""
@@ -224,7 +224,7 @@ feat AS (
 SCORED_CTE = """
 scored AS (
   SELECT *,
-    round_even(1.0 / (1.0 + exp(-least(greatest(_logit, -2.94), 0.2))) * 10000.0, 0) / 10000.0 AS AttritionProb,
+    round_even(1.0 / (1.0 + exp(-least(greatest(_logit, -2.94), 0.2))) * 10000.0, 0) / 10000.0 AS LeavingProb,
     CASE WHEN round_even(1.0 / (1.0 + exp(-least(greatest(_logit, -2.94), 0.2))) * 10000.0, 0) / 10000.0 >= 0.45 THEN 'Critical'
          WHEN round_even(1.0 / (1.0 + exp(-least(greatest(_logit, -2.94), 0.2))) * 10000.0, 0) / 10000.0 >= 0.32 THEN 'High'
          WHEN round_even(1.0 / (1.0 + exp(-least(greatest(_logit, -2.94), 0.2))) * 10000.0, 0) / 10000.0 >= 0.18 THEN 'Medium'

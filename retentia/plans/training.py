@@ -21,9 +21,9 @@ def run(spark: SparkSession, sf_dir: str, out_dir: str, sizes: MD.Sizes | None =
         fmt: str = "parquet") -> dict:
     feat = feature_table(spark, sf_dir)
     personas = {
-        "low": SG.persona_stats(feat.select("*", F.lit(None).cast("double").alias("AttritionProb")),
+        "low": SG.persona_stats(feat.select("*", F.lit(None).cast("double").alias("LeavingProb")),
                                 SG.low_risk_persona()).first().asDict(),
-        "high": SG.persona_stats(feat.select("*", F.lit(None).cast("double").alias("AttritionProb")),
+        "high": SG.persona_stats(feat.select("*", F.lit(None).cast("double").alias("LeavingProb")),
                                  SG.high_risk_persona()).first().asDict(),
     }
     res = MD.train_all(feat, sizes, k=k, calibrate=True)

@@ -90,7 +90,7 @@ LOGIT_NOISE_SD = 0.4
 LOGIT_CLIP = (-2.94, 0.20)
 
 # --------------------------------------------------------------------------
-# FIXED VALUES: log-odds coefficients (positive = more attrition risk)
+# FIXED VALUES: log-odds coefficients (positive = more leaving risk)
 # --------------------------------------------------------------------------
 COEF = {
     "intercept": -2.8,
@@ -127,14 +127,14 @@ PAY_GAP_CLIP = (-2.0, 3.0)
 # --------------------------------------------------------------------------
 # FIXED VALUES: modelling and serving constants
 # --------------------------------------------------------------------------
-DROP_COLS = ["EmployeeID", "Attrition", "AttritionBinary", "AttritionProb_True"]
+DROP_COLS = ["EmployeeID", "Leaving", "LeavingBinary", "LeavingProb_True"]
 CATEGORICAL = ["Gender", "MaritalStatus", "Education", "LevelBand",
                "Department", "Location", "ShiftType", "OverTime", "BusinessTravel"]
 DECISION_THRESHOLD = 0.40
 RISK_THRESHOLDS = {"Critical": 0.45, "High": 0.32, "Medium": 0.18}
 RISK_ORDER = ["Low", "Medium", "High", "Critical"]
 
-# Thirteen dimensions offered for the attrition-rate-by-segment view.
+# Thirteen dimensions offered for the leaving-rate-by-segment view.
 RATE_DIMENSIONS = ["Gender", "Department", "LevelBand", "Location", "ShiftType",
                    "MaritalStatus", "OverTime", "BusinessTravel",
                    "JobSatisfaction", "ManagerRating", "WorkLifeBalance",
@@ -145,14 +145,14 @@ DESCRIBE_COLUMNS = ["Age", "Salary_Annual", "MarketRateRatio", "YearsAtCompany",
                     "ManagerRating", "WorkLifeBalance", "AvgSatisfaction",
                     "WFH_DaysPerWeek", "PromotionsLast3Yrs", "HikePercentLast"]
 # Segment-spread columns of the persona validation.
-SPREAD_COLUMNS = ["Department", "LevelBand", "ShiftType", "OverTime", "MaritalStatus"]
+SPREAD_COLUMNS = ["Gender", "Department", "LevelBand", "ShiftType", "OverTime", "MaritalStatus"]
 # Lookup page: display columns and deep-dive fields.
 LOOKUP_COLUMNS = ["EmployeeID", "Gender", "Department", "LevelBand", "Location",
                   "ShiftType", "OverTime", "MarketRateRatio", "JobSatisfaction",
-                  "YearsSinceLastPromo", "AttritionProb", "RiskCategory", "Attrition"]
+                  "YearsSinceLastPromo", "LeavingProb", "RiskCategory", "Leaving"]
 DETAIL_FIELDS = ["Department", "LevelBand", "Location", "ShiftType", "OverTime",
                  "YearsAtCompany", "YearsSinceLastPromo", "PromotionsLast3Yrs",
-                 "WorkLifeBalance", "ManagerRating", "AwardsReceived", "Attrition"]
+                 "WorkLifeBalance", "ManagerRating", "AwardsReceived", "Leaving"]
 
 # Serving defaults for a profile record (one-record scoring and the stream).
 PROFILE_DEFAULTS = {"Salary_Annual": 1_000_000, "TeamSize": 10}

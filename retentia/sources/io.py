@@ -24,9 +24,9 @@ EMPLOYEE_SCHEMA = T.StructType(
         "Gender": T.StringType(), "MaritalStatus": T.StringType(), "Education": T.StringType(),
         "LevelBand": T.StringType(), "Department": T.StringType(), "Location": T.StringType(),
         "ShiftType": T.StringType(), "OverTime": T.StringType(), "BusinessTravel": T.StringType(),
-        "Attrition": T.StringType(), "Salary_Annual": T.LongType(), "MarketRateRatio": T.DoubleType(),
+        "Leaving": T.StringType(), "Salary_Annual": T.LongType(), "MarketRateRatio": T.DoubleType(),
         "HikePercentLast": T.DoubleType(), "BonusPct": T.DoubleType(), "AvgSatisfaction": T.DoubleType(),
-        "AttritionProb_True": T.DoubleType(),
+        "LeavingProb_True": T.DoubleType(),
     }.get(c, _INT), True) for c in EMPLOYEE_COLUMNS[1:]])
 
 
@@ -122,6 +122,7 @@ METADATA_SCHEMA = T.StructType([
     T.StructField("is_calibrated", T.BooleanType()),
     T.StructField("all_models", T.MapType(T.StringType(), METRIC_STRUCT)),
     T.StructField("trained_on", T.StringType()),
+    T.StructField("dataset_size", T.LongType()),
 ])
 
 
@@ -149,6 +150,7 @@ def metadata_record(res) -> dict:
                            "test_recall": _r4(m["test_recall"]), "test_acc": _r4(m["test_accuracy"]),
                            "brier_score": _r4(m["test_brier"])} for n, m in res.metrics.items()},
         "trained_on": _dt.datetime.now(_dt.timezone.utc).isoformat(),
+        "dataset_size": res.prep.data.count(),
     }
 
 

@@ -7,14 +7,15 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 
 from retentia.operators import explain, features, population, scorecard
-from retentia.session import ensure_checkpoint_dir
+from retentia.session import write_once
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 # The scored table is computed once per (application, data folder) and
 # written as Parquet under the session's spark.checkpoint.dir (the cluster's
-# shared folder; a local one is set only when unset, as in tests). Queries read
+# shared folder; a local one is set only when unset, as in tests). It is keyed
+# by the source's files, sizes and times, so a changed source is built anew. Queries read
 # it back, as the dashboard reads its scored file: column pruning and filter
 # pushdown apply, lost executors lose nothing, and the file scan is a leaf for
 # the optimizer (joins and filters over the ~150 stacked aliased population
@@ -31,13 +32,11 @@ def clear_cache() -> None:
     _CACHE.clear()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared checkpoint folder and read it back."""
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{root}/retentia-tables/{spark.sparkContext.applicationId}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def source_state(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a source's files: a changed source has another state."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return "|".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in fs.listStatus(p)))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,13 +51,13 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """features + AttritionProb (scorecard probability, 4dp) + RiskCategory (67 columns)."""
+    """features + LeavingProb (scorecard probability, 4dp) + RiskCategory (67 columns)."""
     if not _CACHE_ON["enabled"]:
         return _scored(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir)
+    state = source_state(spark, f"{sf_dir.rstrip('/')}/orders.parquet")
+    key = (spark.sparkContext.applicationId, hashlib.md5(state.encode()).hexdigest())
     if key not in _CACHE:
-        tag = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
-        _CACHE[key] = materialize(_scored(spark, sf_dir), f"scored-{tag}")
+        _CACHE[key] = write_once(_scored(spark, sf_dir), "scored")
     return _CACHE[key]
 
 
@@ -71,5 +70,5 @@ def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     if _CACHE_ON["enabled"]:
-        return scored_table(spark, sf_dir).drop("AttritionProb", "RiskCategory")
+        return scored_table(spark, sf_dir).drop("LeavingProb", "RiskCategory")
     return features.engineer(employees(spark, sf_dir))

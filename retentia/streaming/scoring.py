@@ -49,21 +49,21 @@ def score_profiles(df: DataFrame, fitted=None, encodings: dict | None = None,
         from retentia.operators.prep import encode_column
         # the model's feature order (metadata feature_names), absent ones as 0
         names = feature_names or features.MODEL_FEATURES
-        aligned = features.align_features(full, names, keep=["EmployeeID"])
-        mat = aligned.select("EmployeeID", *[(encode_column(n, encodings[n]) if n in (encodings or {}) else F.col(n))
-                                            .cast("double").alias(f"f_{i}") for i, n in enumerate(names)])
-        probs = fitted.score(mat, ["EmployeeID"])
-        scored = explain.score_with(full.join(probs.select("EmployeeID", "prob"), "EmployeeID"), F.col("prob")) \
-            .drop("prob")
+        value = lambda n: encode_column(n, encodings[n]) if n in (encodings or {}) else F.col(n)
+        mat = full.select("*", *[(value(n) if n in full.columns else F.lit(0)).cast("double").alias(f"f_{i}")
+                                 for i, n in enumerate(names)])
+        # every column rides along: no join, so no state in a stream and no repeated id multiplies rows
+        scored = explain.score_with(fitted.score(mat, full.columns), F.col("prob")).drop("prob", "margin")
     return explain.explain(scored).select(
-        "EmployeeID", "AttritionProb", "RiskCategory", "Decision", "Confidence", "RiskFactors", "RetentionFactors")
+        "EmployeeID", "LeavingProb", "RiskCategory", "Decision", "Confidence", "RiskFactors", "RetentionFactors")
 
 
 def start_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                 fitted=None, encodings: dict | None = None, fmt: str = "parquet", available_now: bool = True):
+                 fitted=None, encodings: dict | None = None, fmt: str = "parquet", available_now: bool = True,
+                 feature_names: list[str] | None = None):
     """readStream -> score_profiles -> append to ``sink_dir`` (exactly-once via the checkpoint)."""
     stream = spark.readStream.schema(PROFILE_SCHEMA).format(fmt).load(source_dir)
-    out = score_profiles(stream, fitted, encodings)
+    out = score_profiles(stream, fitted, encodings, feature_names)
     w = (out.writeStream.outputMode("append").format("parquet")
          .option("path", sink_dir).option("checkpointLocation", checkpoint_dir))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")

@@ -16,8 +16,8 @@ def test_auc_all_equal_scores(spark):
 
 def test_auc_symmetry_and_evaluator(spark):
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    df = scored_table(spark, SF_SMALL).select(F.col("AttritionBinary").cast("double").alias("label"),
-                                              F.col("AttritionProb").alias("p"))
+    df = scored_table(spark, SF_SMALL).select(F.col("LeavingBinary").cast("double").alias("label"),
+                                              F.col("LeavingProb").alias("p"))
     a = EV.auc(df, "label", "p").first()["auc"]
     b = EV.auc(df.select("label", (1 - F.col("p")).alias("p")), "label", "p").first()["auc"]
     assert abs(a + b - 1.0) < 1e-6
@@ -55,10 +55,10 @@ def test_constant_column_scales_to_zero(spark):
 
 
 def test_split_and_folds_proportions(spark):
-    emp = employees(spark, SF_SMALL).select("EmployeeID", "AttritionBinary")
+    emp = employees(spark, SF_SMALL).select("EmployeeID", "LeavingBinary")
     sp = PR.stratified_split(emp)
-    per = {r["AttritionBinary"]: (r["n"], r["t"]) for r in
-           sp.groupBy("AttritionBinary").agg(F.count("*").alias("n"), F.sum("is_test").alias("t")).collect()}
+    per = {r["LeavingBinary"]: (r["n"], r["t"]) for r in
+           sp.groupBy("LeavingBinary").agg(F.count("*").alias("n"), F.sum("is_test").alias("t")).collect()}
     for n, t in per.values():
         assert t == -(-n // 5)
     folds = PR.stratified_folds(sp.filter("is_test = 0"), 5)
@@ -70,5 +70,5 @@ def test_empty_persona_and_corr_constant(spark):
     df = scored_table(spark, SF_SMALL)
     empty = SG.persona_stats(df.filter(F.lit(False)), SG.low_risk_persona()).first()
     assert empty["n"] == 0 and empty["mean_score"] is None
-    c = SG.corr_with(df.select("*", F.lit(1.0).alias("K")), ["K", "Age"], "AttritionProb").collect()
+    c = SG.corr_with(df.select("*", F.lit(1.0).alias("K")), ["K", "Age"], "LeavingProb").collect()
     assert {r["feature"]: r["corr"] for r in c}["K"] is None

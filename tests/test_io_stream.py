@@ -46,6 +46,6 @@ def test_stream_equals_batch(spark):
     q.awaitTermination(120)
     streamed = spark.read.parquet(f"{d}/out")
     batch = score_profiles(spark.read.parquet(f"{d}/in"))
-    cols = ["EmployeeID", "AttritionProb", "RiskCategory", "Decision"]
+    cols = ["EmployeeID", "LeavingProb", "RiskCategory", "Decision"]
     assert streamed.count() == batch.count() == prof.count()
     assert streamed.select(*cols).exceptAll(batch.select(*cols)).count() == 0

@@ -49,7 +49,7 @@ def test_train_all_small(spark):
     assert res.best_name == max(res.metrics, key=lambda n: res.metrics[n]["cv_auc"])
     s = MD.score_all(res)
     assert s.count() == res.prep.data.count()
-    assert s.filter((F.col("AttritionProb") < 0) | (F.col("AttritionProb") > 1)).count() == 0
+    assert s.filter((F.col("LeavingProb") < 0) | (F.col("LeavingProb") > 1)).count() == 0
     imp = MD.importance(res, "Random Forest").collect()
     assert len(imp) == 25 and imp[0]["importance"] >= imp[-1]["importance"]
 
@@ -71,9 +71,9 @@ def test_pipeline_artifacts_round_trip(spark):
     enc = IO.load_encodings(spark, f"{out}/encodings")
     prof = employees(spark, SF_SMALL).select("EmployeeID", *PROFILE_INPUTS)
     live = score_profiles(prof, cal, enc, meta["feature_names"]).select(
-        "EmployeeID", F.col("AttritionProb").alias("live"))
-    both = live.join(scored.select("EmployeeID", "AttritionProb"), "EmployeeID")
+        "EmployeeID", F.col("LeavingProb").alias("live"))
+    both = live.join(scored.select("EmployeeID", "LeavingProb"), "EmployeeID")
     # serving defaults change a few inputs (salary, team, manager years, total years): close, not equal
     assert both.count() == 1500
-    close = both.filter(F.abs(F.col("live") - F.col("AttritionProb")) <= 0.05).count()
+    close = both.filter(F.abs(F.col("live") - F.col("LeavingProb")) <= 0.05).count()
     assert close >= 0.9 * 1500

@@ -28,7 +28,7 @@ def test_draws_match_python_md5(spark):
 def test_columns_match_python_recomputation(spark):
     emp = {r["EmployeeID"]: r for r in employees(spark, SF_SMALL).collect()}
     for k in range(40):
-        row = emp[f"ML{10000 + k:05d}"]
+        row = emp[f"E{10000 + k:05d}"]
         cum = cumulative(R.BAND_WEIGHTS)
         band = next(b for b, c in zip(R.BANDS, cum) if _u(k, "org", 0) < c) if _u(k, "org", 0) < cum[-2] else None
         if band is not None:
@@ -46,14 +46,14 @@ def test_invariants(spark):
         | (F.col("YearsWithCurrManager") > F.col("YearsInCurrentRole"))
         | (F.col("Leaves_30d") > F.col("Leaves_90d")) | (F.col("Leaves_90d") > F.col("Leaves_180d"))
         | (F.col("Leaves_180d") > F.col("Leaves_365d"))
-        | (F.col("AttritionProb_True") < 0.05) | (F.col("AttritionProb_True") > 0.55)
-        | ((F.col("AttritionBinary") == 1) != (F.col("Attrition") == "Yes"))
+        | (F.col("LeavingProb_True") < 0.05) | (F.col("LeavingProb_True") > 0.55)
+        | ((F.col("LeavingBinary") == 1) != (F.col("Leaving") == "Yes"))
         | ((F.col("Location") == "WFH") & (F.col("WFH_DaysPerWeek") != 5))
         | (F.col("Age") < 22) | (F.col("Age") > 60)).count()
     assert bad == 0
     n = emp.count()
     assert n == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
-    rate = emp.agg(F.avg("AttritionBinary")).first()[0]
+    rate = emp.agg(F.avg("LeavingBinary")).first()[0]
     assert 0.15 < rate < 0.40      # measured base rate, not the "about 20%" comment
     assert emp.select("EmployeeID").distinct().count() == n
 

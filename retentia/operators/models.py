@@ -50,10 +50,6 @@ class Sizes:
     def full() -> "Sizes":
         return Sizes()
 
-    @staticmethod
-    def quick() -> "Sizes":
-        return Sizes(lr_iter=100, forest_trees=20, gbt_iter=10, hist_iter=10)
-
 
 def model_specs(sizes: Sizes | None = None) -> list[ModelSpec]:
     s = sizes or Sizes.full()
@@ -189,16 +185,21 @@ def _parallel(fns: list[Callable[[], object]], workers: int | None = None) -> li
         return list(pool.map(lambda f: f(), fns))
 
 
-def cross_validate(spec: ModelSpec, prep: Prepared, k: int = 5) -> list[float]:
-    """Stratified k-fold AUCs on the training split (M5); folds fit concurrently."""
+def fold_fits(spec: ModelSpec, prep: Prepared, k: int = 5) -> list[tuple[Fitted, float]]:
+    """The model fitted without each fold, and its AUC on that fold; folds fit concurrently."""
     train = prep.data.filter(F.col("is_test") == 0)
 
-    def one(f: int) -> float:
+    def one(f: int) -> tuple[Fitted, float]:
         m = fit(spec, train.filter(F.col("fold") != f), prep.columns)
-        return _auc_of(m.score(train.filter(F.col("fold") == f), ["label"]))
+        return m, _auc_of(m.score(train.filter(F.col("fold") == f), ["label"]))
     return _parallel([lambda f=f: one(f) for f in range(k)])
 
 
+def cross_validate(spec: ModelSpec, prep: Prepared, k: int = 5) -> list[float]:
+    """Stratified k-fold AUCs on the training split (M5)."""
+    return [auc for _, auc in fold_fits(spec, prep, k)]
+
+
 def test_metrics(scored: DataFrame, threshold: float = R.DECISION_THRESHOLD) -> dict:
     """Held-out metrics of one score column (threshold metrics, AUC, AP, Brier)."""
     scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
@@ -220,35 +221,53 @@ class TrainResult:
     calibrated_metrics: dict | None = None
 
 
+class Training:
+    """One training run whose models are fitted when first asked for; the fold models serve the
+    cross-validation (M5) and, for the winner, the calibration (M8)."""
+
+    def __init__(self, feat: DataFrame, sizes: Sizes | None = None, k: int = 5):
+        self.prep, self.k = prepare(feat, k), k
+        self.specs = {s.name: s for s in model_specs(sizes)}
+        self._models: dict[str, tuple[Fitted, dict, list[Fitted]]] = {}
+        self._results: dict[bool, TrainResult] = {}
+
+    def model(self, name: str) -> tuple[Fitted, dict, list[Fitted]]:
+        """The model on the whole training split, its metrics, and its fold models."""
+        if name not in self._models:
+            spec, data = self.specs[name], self.prep.data
+            # the k fold fits and the final fit are independent: run them together
+            folds, m = _parallel([lambda: fold_fits(spec, self.prep, self.k),
+                                  lambda: fit(spec, data.filter(F.col("is_test") == 0), self.prep.columns)], 2)
+            tm = test_metrics(m.score(data.filter(F.col("is_test") == 1), ["label"]))
+            cv = [auc for _, auc in folds]
+            mean = sum(cv) / len(cv)
+            std = math.sqrt(sum((a - mean) ** 2 for a in cv) / len(cv))
+            self._models[name] = (m, {"cv_auc": mean, "cv_auc_std": std, "cv_aucs": cv, "needs_scale": spec.needs_scale,
+                                      **{f"test_{c}": v for c, v in tm.items()}}, [f for f, _ in folds])
+        return self._models[name]
+
+    def result(self, calibrate: bool = True) -> TrainResult:
+        """All five models, the best by CV AUC (M6/M7), and the winner calibrated (M8)."""
+        if calibrate not in self._results:
+            # models one after another: each already runs its folds concurrently
+            done = {n: self.model(n) for n in self.specs}
+            metrics = {n: met for n, (_, met, _) in done.items()}
+            best = max(metrics, key=lambda n: metrics[n]["cv_auc"])   # first max, like max() over a dict
+            res = TrainResult(self.prep, {n: m for n, (m, _, _) in done.items()}, metrics, best)
+            if calibrate:
+                res.calibrated = calibrate_sigmoid(self.specs[best], self.prep, self.k, done[best][2])
+                test = self.prep.data.filter(F.col("is_test") == 1)
+                res.calibrated_metrics = test_metrics(res.calibrated.score(test, ["label"]))
+            self._results[calibrate] = res
+        return self._results[calibrate]
+
+    def release(self) -> None:
+        """Give the matrix' memory back; fitted models stay usable."""
+        self.prep.data.unpersist()
+
+
 def train_all(feat: DataFrame, sizes: Sizes | None = None, k: int = 5, calibrate: bool = True) -> TrainResult:
-    """Fit all five models, CV + held-out metrics, pick best by CV AUC (M6/M7),
-    then calibrate the winner (M8)."""
-    prep = prepare(feat, k)
-    train = prep.data.filter(F.col("is_test") == 0)
-    test = prep.data.filter(F.col("is_test") == 1)
-    fitted, metrics = {}, {}
-
-    def one(spec: ModelSpec):
-        # the k fold fits and the final fit are independent: run them together
-        cv, m = _parallel([lambda: cross_validate(spec, prep, k), lambda: fit(spec, train, prep.columns)], 2)
-        tm = test_metrics(m.score(test, ["label"]))
-        mean = sum(cv) / len(cv)
-        std = math.sqrt(sum((a - mean) ** 2 for a in cv) / len(cv))
-        return spec.name, m, {"cv_auc": mean, "cv_auc_std": std, "cv_aucs": cv, "needs_scale": spec.needs_scale,
-                              **{f"test_{k2}": v for k2, v in tm.items()}}
-
-    # models one after another (each already runs its folds concurrently; running
-    # the five pipelines at once oversubscribed 8 cores: 305 s vs 275 s at sf0.01)
-    for spec in model_specs(sizes):
-        name, m, met = one(spec)
-        fitted[name], metrics[name] = m, met
-    best = max(metrics, key=lambda n: metrics[n]["cv_auc"])   # first max, like max() over a dict
-    res = TrainResult(prep, fitted, metrics, best)
-    if calibrate:
-        spec = next(s for s in model_specs(sizes) if s.name == best)
-        res.calibrated = calibrate_sigmoid(spec, prep, k)
-        res.calibrated_metrics = test_metrics(res.calibrated.score(test, ["label"]))
-    return res
+    return Training(feat, sizes, k).result(calibrate)
 
 
 # ----------------------------------------------------------------- calibration
@@ -293,15 +312,16 @@ def platt(scored: DataFrame) -> tuple[float, float]:
     return float(lr.coefficients[0]), float(lr.intercept)
 
 
-def calibrate_sigmoid(spec: ModelSpec, prep: Prepared, k: int = 5) -> Calibrated:
-    """Sigmoid calibration, k-fold ensemble (M8): fit the base model on k-1
-    folds, Platt on the held-out fold, average the k calibrated probabilities."""
+def calibrate_sigmoid(spec: ModelSpec, prep: Prepared, k: int = 5, folds: list[Fitted] | None = None) -> Calibrated:
+    """Sigmoid calibration, k-fold ensemble (M8): the base model fitted on k-1
+    folds (``folds`` if they are at hand), Platt on the held-out fold, average the
+    k calibrated probabilities."""
     train = prep.data.filter(F.col("is_test") == 0)
+    folds = folds or [m for m, _ in fold_fits(spec, prep, k)]
 
     def one(f: int):
-        m = fit(spec, train.filter(F.col("fold") != f), prep.columns)
-        a, b = platt(m.score(train.filter(F.col("fold") == f), ["label"]))
-        return (m, a, b)
+        a, b = platt(folds[f].score(train.filter(F.col("fold") == f), ["label"]))
+        return (folds[f], a, b)
     return Calibrated(_parallel([lambda f=f: one(f) for f in range(k)]))
 
 
@@ -322,24 +342,22 @@ def score_all(res: TrainResult, use_calibrated: bool = True) -> DataFrame:
         "*", risk_category(F.col("LeavingProb")).alias("RiskCategory"))
 
 
-def importance(res: TrainResult, name: str | None = None, top: int | None = None) -> DataFrame:
+def importance(m: Fitted, prep: Prepared, top: int | None = None) -> DataFrame:
     """Tree impurity importance (M11) or |coefficient| on scaled input (M12), all features; ``top`` gives T3."""
-    m = res.fitted[name or res.best_name]
-    spark = res.prep.data.sparkSession
+    spark = prep.data.sparkSession
     if hasattr(m.model, "featureImportances"):
         vals = m.model.featureImportances.toArray().tolist()
         kind = "impurity"
     else:
         vals = [abs(v) for v in m.model.coefficients.toArray().tolist()]
         kind = "abs_coefficient"
-    rows = [(f, float(v), kind) for f, v in zip(res.prep.feature_names, vals)]
+    rows = [(f, float(v), kind) for f, v in zip(prep.feature_names, vals)]
     df = spark.createDataFrame(rows, "feature string, importance double, kind string")
     df = df.orderBy(F.col("importance").desc(), "feature")
     return df.limit(top) if top else df
 
 
-def permutation_importance(res: TrainResult, name: str | None = None, repeats: int = 10,
-                           threshold: float = 0.5) -> DataFrame:
+def permutation_importance(m: Fitted, prep: Prepared, repeats: int = 10, threshold: float = 0.5) -> DataFrame:
     """Accuracy drop when one feature is permuted (M13), mean over repeats.
 
     Repeat r permutes the test rows by pairing the i-th row in id-hash order
@@ -349,9 +367,8 @@ def permutation_importance(res: TrainResult, name: str | None = None, repeats: i
     """
     from retentia.functions.draws import uniform
     from retentia.operators.ordered import rank_within
-    m = res.fitted[name or res.best_name]
-    cols = res.prep.columns
-    test = res.prep.data.filter(F.col("is_test") == 1).select("EmployeeID", "label", *cols)
+    cols = prep.columns
+    test = prep.data.filter(F.col("is_test") == 1).select("EmployeeID", "label", *cols)
     base = m.score(test, ["label"])
     base_acc = base.agg(F.avg(((F.col("prob") >= threshold).cast("double") == F.col("label")).cast("double"))).first()[0]
     reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
@@ -375,7 +392,7 @@ def permutation_importance(res: TrainResult, name: str | None = None, repeats: i
     imp = acc.groupBy("j").agg((F.lit(base_acc) - F.avg("acc")).alias("importance"),
                                F.stddev_pop("acc").alias("importance_std"))
     spark = test.sparkSession
-    names = spark.createDataFrame([(i, n) for i, n in enumerate(res.prep.feature_names)], "j int, feature string")
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(prep.feature_names)], "j int, feature string")
     return F.broadcast(names).join(imp, "j").select("feature", "importance", "importance_std") \
         .orderBy(F.col("importance").desc(), "feature")
 

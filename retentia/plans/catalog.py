@@ -394,18 +394,26 @@ from retentia.operators import models as MD  # noqa: E402
 _TRAINED: dict[tuple[str, str], MD.TrainResult] = {}
 
 
-def trained(spark, sf) -> MD.TrainResult:
-    """One training run per (application, data folder), shared by the model
-    queries. Quick sizes keep a verify run short; library defaults are full."""
+def training(spark, sf) -> MD.Training:
+    """One run at the published sizes per (application, data folder), shared by the model queries;
+    each fits only the models it needs."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
-        _TRAINED[key] = MD.train_all(feature_table(spark, sf), MD.Sizes.quick(), k=5, calibrate=True)
+        _TRAINED[key] = MD.Training(feature_table(spark, sf))
     return _TRAINED[key]
 
 
+def trained(spark, sf) -> MD.TrainResult:
+    return training(spark, sf).result()
+
+
 def _model_query(model_name: str, qname: str) -> Query:
     def q(spark, sf):
-        return MD.comparison_frame(trained(spark, sf)).filter(F.col("model") == model_name)
+        _, met, _ = training(spark, sf).model(model_name)
+        cols = ["cv_auc", "cv_auc_std", "test_auc", "test_f1", "test_recall", "test_precision", "test_accuracy",
+                "test_average_precision", "test_brier"]
+        return spark.createDataFrame([(model_name, *[float(met[c]) for c in cols])],
+                                     "model string, " + ", ".join(f"{c} double" for c in cols))
     q.__name__ = qname
     return q
 
@@ -456,22 +464,26 @@ def q_score_all(spark, sf):
 
 @query
 def q_importance_tree(spark, sf):
-    return MD.importance(trained(spark, sf), "Random Forest")
+    run = training(spark, sf)
+    return MD.importance(run.model("Random Forest")[0], run.prep)
 
 
 @query
 def q_importance_coef(spark, sf):
-    return MD.importance(trained(spark, sf), "Logistic Regression")
+    run = training(spark, sf)
+    return MD.importance(run.model("Logistic Regression")[0], run.prep)
 
 
 @query
 def q_importance_top25(spark, sf):
-    return MD.importance(trained(spark, sf), "Random Forest", top=25)
+    run = training(spark, sf)
+    return MD.importance(run.model("Random Forest")[0], run.prep, top=25)
 
 
 @query
 def q_importance_permutation(spark, sf):
-    return MD.permutation_importance(trained(spark, sf), "HistGradientBoosting", repeats=10)
+    run = training(spark, sf)
+    return MD.permutation_importance(run.model("HistGradientBoosting")[0], run.prep, repeats=10)
 
 
 # =================================================================== explain / profiles

@@ -50,8 +50,9 @@ def test_train_all_small(spark):
     s = MD.score_all(res)
     assert s.count() == res.prep.data.count()
     assert s.filter((F.col("LeavingProb") < 0) | (F.col("LeavingProb") > 1)).count() == 0
-    imp = MD.importance(res, "Random Forest").collect()
-    assert len(imp) == 25 and imp[0]["importance"] >= imp[-1]["importance"]
+    imp = MD.importance(res.fitted["Random Forest"], res.prep).collect()
+    assert len(imp) == 61 and imp[0]["importance"] >= imp[-1]["importance"]
+    assert [r["feature"] for r in MD.importance(res.fitted["Random Forest"], res.prep, top=25).collect()] == [r["feature"] for r in imp[:25]]
 
 
 def test_pipeline_artifacts_round_trip(spark):
@@ -77,3 +78,25 @@ def test_pipeline_artifacts_round_trip(spark):
     assert both.count() == 1500
     close = both.filter(F.abs(F.col("live") - F.col("LeavingProb")) <= 0.05).count()
     assert close >= 0.9 * 1500
+
+
+def test_stream_with_a_model_keeps_every_row_and_no_state(spark, tmp_path):
+    from retentia.sources.tables import employees
+    from retentia.streaming.scoring import PROFILE_SCHEMA, score_profiles, start_stream
+    run = MD.Training(feature_table(spark, SF_SMALL), MD.Sizes(lr_iter=30, forest_trees=3, gbt_iter=2, hist_iter=2), k=3)
+    m, _, folds = run.model("Logistic Regression")
+    cal = MD.calibrate_sigmoid(run.specs["Logistic Regression"], run.prep, 3, folds)
+    prof = employees(spark, SF_SMALL).select("EmployeeID", *[F.col(f.name).cast(f.dataType) for f in PROFILE_SCHEMA.fields[1:]]).limit(20)
+    twice = prof.union(prof)
+    twice.write.parquet(str(tmp_path / "in"))
+    for model, order in ((cal, run.prep.feature_names), (m, run.prep.feature_names)):
+        batch = score_profiles(twice, model, run.prep.encodings, order)
+        assert batch.count() == 40 and "Join" not in batch._jdf.queryExecution().executedPlan().toString()
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    q = start_stream(spark, str(tmp_path / "in"), out, ck, cal, run.prep.encodings, feature_names=run.prep.feature_names)
+    q.awaitTermination()
+    assert not q.lastProgress["stateOperators"]
+    key = ["EmployeeID", "LeavingProb", "RiskCategory", "Decision"]
+    rows = lambda df: sorted(map(tuple, df.select(*key).collect()))
+    assert rows(spark.read.parquet(out)) == rows(score_profiles(twice, cal, run.prep.encodings, run.prep.feature_names))
+    run.release()

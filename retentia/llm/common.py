@@ -7,6 +7,7 @@ and retries the work; the JVM moves a few long rows instead of many short ones.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -35,8 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into a new folder under the shared one and read it back: lineage is cut
-    and lost executors lose nothing."""
+    and lost executors lose nothing.
+
+    Shuffle files of lineage that earlier calls cut are dropped by Spark's cleaner when the driver collects
+    garbage; asking for that here keeps the disk from holding every stage's files until the job ends.
+    """
     spark = df.sparkSession
+    for _ in range(2):          # the first pass frees the plans, the second what only they held
+        gc.collect()
+        spark._jvm.System.gc()
     path = f"{shared_dir(spark)}/retentia/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -34,9 +34,13 @@ from .common import BLOB_SCHEMA, gather, n_parts, scatter, slices, stash, utf8
 from .hashing import U64, byte_windows, mix, sliding
 
 GRAM = 16
-#: lo, hi: first and last of the string starts whose sampled gram is this one.
-SAMPLE = np.dtype([("gram", "<u8"), ("run", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
-STRING = np.dtype([("string", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i4")])
+#: lo, more: first string start whose sampled gram is this one, and how many follow it. run: 48 bits within a gram.
+SAMPLE = np.dtype([("gram", "<u8"), ("run", "V6"), ("doc", "<i8"), ("row", "<u4"), ("lo", "<i4"), ("more", "u1")])
+STRING = np.dtype([("string", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("at", "<i4")])
+#: A gram with more classes than this is dealt out string by string, not as one bucket.
+HOT_GRAM = 64
+#: Keys of at most so many copies (12 bytes each) are sent to all executors; more are joined by shuffle.
+SEND_IDS = 1_000_000
 
 
 def cover_sample(b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +70,7 @@ def _sample(parts: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches, "data", 6 << 20):
             out = []
-            for doc, row, data in zip(pdf.doc_id, pdf.row, pdf.data):
+            for doc, row, data in zip(pdf.doc, pdf.row, pdf.data):
                 b = np.frombuffer(data, np.uint8)
                 if len(b) < width:
                     continue
@@ -75,8 +79,8 @@ def _sample(parts: int, width: int):
                 w = byte_windows(b, width)
                 total = np.r_[U64(0), np.cumsum(mix(w + U64(0x9E3779B97F4A7C15)))]
                 rec = np.empty(len(gram), SAMPLE)
-                rec["gram"], rec["doc"], rec["row"], rec["lo"], rec["hi"] = gram, doc, row, lo, hi
-                rec["run"] = mix(total[hi + 1] - total[lo] + (hi - lo).astype(U64))
+                rec["gram"], rec["doc"], rec["row"], rec["lo"], rec["more"] = gram, doc, row, lo, hi - lo
+                rec["run"] = _six(mix(total[hi + 1] - total[lo] + (hi - lo).astype(U64)))
                 out.append(rec)
             if out:
                 rec = np.concatenate(out)
@@ -94,53 +98,103 @@ def _firsts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _runs(rec: np.ndarray, lo: np.ndarray, hi: np.ndarray, tag: int) -> pd.DataFrame:
-    return pd.DataFrame({"row": rec["row"], "doc": rec["doc"], "lo": lo, "hi": hi, "tag": np.full(len(rec), tag, np.int32)})
+def _six(x: np.ndarray) -> np.ndarray:
+    """The low 48 bits as six bytes."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
+
+
+def _eight(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :6] = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """tag 0: string starts that repeat a smaller document's; tag 1: starts to compare one by one."""
+    """tag 0: string starts that repeat a smaller document's; 1: starts to compare in the gram's bucket; 2: one by one."""
     rec = gather(pdf.blob, SAMPLE)
-    rec = rec[np.lexsort((rec["doc"], rec["run"], rec["gram"]))]
-    new_gram, new_run = _firsts(rec["gram"]), _firsts(rec["gram"], rec["run"])
-    run = np.cumsum(new_run) - 1
-    least = rec["doc"][new_run][run]
+    run = _eight(rec["run"])
+    order = np.lexsort((rec["doc"], run, rec["gram"]))
+    rec, run = rec[order], run[order]
+    new_gram, new_run = _firsts(rec["gram"]), _firsts(rec["gram"], run)
+    least = rec["doc"][new_run][np.cumsum(new_run) - 1]
     repeat = rec["doc"] > least
     gram = np.cumsum(new_gram) - 1
-    classes = np.bincount(gram[new_run], minlength=gram[-1] + 1 if len(gram) else 0)
-    ask = ~repeat & (classes[gram] > 1)    # of each class its least document; the others repeat that one anyway
-    return pd.concat([_runs(rec[m], rec["lo"][m], rec["hi"][m], t) for t, m in ((0, repeat), (1, ask))], ignore_index=True)
+    classes = np.bincount(gram[new_run])[gram] if len(gram) else gram
+    # of each class its least document is asked about; the others repeat that one anyway
+    tag = np.where(repeat, 0, np.where(classes > HOT_GRAM, 2, 1)).astype(np.int32)
+    keep = repeat | (classes > 1)
+    rec = rec[keep]
+    return pd.DataFrame({"doc": rec["doc"], "row": rec["row"].astype(np.int64), "lo": rec["lo"], "hi": rec["lo"] + rec["more"], "tag": tag[keep],
+                         "gram": np.where(tag[keep] == 1, rec["gram"].astype(np.int64), 0)})
+
+
+def _context(width: int) -> np.dtype:
+    """An asked run with its bytes: those of all its strings."""
+    return np.dtype([("gram", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("lo", "<i4"), ("more", "u1"), ("bytes", "u1", 2 * width - GRAM)])
 
 
 def _strings(parts: int, width: int):
+    """Reducers below ``parts`` get runs with their bytes, by gram; the others strings, by hash."""
+    ctx = _context(width)
+    span = 2 * width - GRAM
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches, "data", 3 << 20):
-            out = []
-            for doc, row, data, runs in zip(pdf.doc_id, pdf.row, pdf.data, pdf.runs):
-                w = byte_windows(np.frombuffer(data, np.uint8), width)
-                lo, hi = (np.array([r[k] for r in runs], np.int64) for k in ("lo", "hi"))
-                n = hi - lo + 1
-                at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
-                rec = np.empty(len(at), STRING)
-                rec["string"], rec["doc"], rec["row"], rec["at"] = w[at], doc, row, at
-                out.append(rec)
-            rec = np.concatenate(out)
-            yield scatter(rec["string"] % U64(parts), rec)
+            out, near = [], []
+            for doc, row, data, runs in zip(pdf.doc, pdf.row, pdf.data, pdf.runs):
+                lo, hi, tag, gram = (np.array([r[k] for r in runs], np.int64) for k in ("lo", "hi", "tag", "gram"))
+                b = np.frombuffer(data, np.uint8)
+                one = tag == 1
+                if one.any():
+                    rec = np.empty(int(one.sum()), ctx)
+                    rec["gram"], rec["doc"], rec["row"], rec["lo"], rec["more"] = gram[one].astype(U64), doc, row, lo[one], (hi - lo)[one]
+                    size = (hi - lo)[one] + width
+                    at = lo[one][:, None] + np.arange(span)
+                    rec["bytes"] = np.where(np.arange(span) < size[:, None], b[np.minimum(at, len(b) - 1)], 0)
+                    near.append(rec)
+                if not one.all():
+                    lo, n = lo[~one], (hi - lo + 1)[~one]
+                    at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
+                    rec = np.empty(len(at), STRING)
+                    rec["string"], rec["doc"], rec["row"], rec["at"] = byte_windows(b, width)[at], doc, row, at
+                    out.append(rec)
+            if near:
+                rec = np.concatenate(near)
+                yield scatter(rec["gram"] % U64(parts), rec)
+            if out:
+                rec = np.concatenate(out)
+                yield scatter(rec["string"] % U64(parts) + U64(parts), rec)
     return run
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    rec = gather(pdf.blob, STRING)
-    rec = rec[np.lexsort((rec["doc"], rec["string"]))]
-    new = _firsts(rec["string"])
-    rec = rec[rec["doc"] > rec["doc"][new][np.cumsum(new) - 1]]
-    rec = rec[np.lexsort((rec["at"], rec["row"]))]
-    new = _firsts(rec["row"])
-    if len(rec):
-        new[1:] |= rec["at"][1:] > rec["at"][:-1] + 1
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(rec)] - 1 if len(rec) else first
-    return pd.DataFrame({"row": rec["row"][first], "lo": rec["at"][first], "hi": rec["at"][last]})
+def _in_bucket(rec: np.ndarray, width: int) -> np.ndarray:
+    """The strings of runs that came with their bytes."""
+    span = rec.dtype["bytes"].shape[0]
+    n = rec["more"].astype(np.int64) + 1
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    own = np.repeat(np.arange(len(rec)), n)
+    out = np.empty(len(own), STRING)
+    out["string"] = byte_windows(np.ascontiguousarray(rec["bytes"]).ravel(), width)[own * span + step] if len(own) else 0
+    out["doc"], out["row"], out["at"] = rec["doc"][own], rec["row"][own], rec["lo"][own] + step
+    return out
+
+
+def _merge(parts: int, width: int):
+    """Sort a bucket's strings; starts whose string a smaller document has, in runs."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        near = int(pdf.part.iloc[0]) < parts
+        rec = _in_bucket(gather(pdf.blob, _context(width)), width) if near else gather(pdf.blob, STRING)
+        rec = rec[np.lexsort((rec["doc"], rec["string"]))]
+        new = _firsts(rec["string"])
+        rec = rec[rec["doc"] > rec["doc"][new][np.cumsum(new) - 1]]
+        rec = rec[np.lexsort((rec["at"], rec["row"], rec["doc"]))]
+        new = _firsts(rec["doc"], rec["row"])
+        if len(rec):
+            new[1:] |= rec["at"][1:] > rec["at"][:-1] + 1
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(rec)] - 1 if len(rec) else first
+        return pd.DataFrame({"doc": rec["doc"][first], "row": rec["row"][first].astype(np.int64), "lo": rec["at"][first], "hi": rec["at"][last]})
+    return run
 
 
 def merge_runs(lo: np.ndarray, hi: np.ndarray, width: int, n: int) -> list[tuple[int, int]]:
@@ -158,12 +212,12 @@ def _pieces(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for row, n, whole, runs in zip(pdf["__row"], pdf.n, pdf.whole, pdf.runs):
+            for doc, row, n, whole, runs in zip(pdf["__doc"], pdf["__row"], pdf.n, pdf.whole, pdf.runs):
                 spans = [(0, n)] if whole else merge_runs(*(np.array([r[k] for r in runs], np.int64) for k in ("lo", "hi")), width, n)
                 edge = [0, *(x for s in spans for x in s), n]
-                rows.append((row, sum(b - a for a, b in spans), len(spans),
+                rows.append((doc, row, sum(b - a for a, b in spans), len(spans),
                              [{"at": a, "size": b - a} for a, b in zip(edge[::2], edge[1::2]) if b > a]))
-            yield pd.DataFrame(rows, columns=["__row", "__removed", "__spans", "__pieces"])
+            yield pd.DataFrame(rows, columns=["__doc", "__row", "__removed", "__spans", "__pieces"])
     return run
 
 
@@ -173,30 +227,33 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
         raise ValueError(f"width must be {GRAM} or more")
     spark = docs.sparkSession
     data = utf8().alias("data")
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("__row")
+    key = F.crc32(utf8()).alias("__row")
     # documents with equal texts: all but the smallest go as a whole
-    texts = docs.where("doc_id is not null").select("doc_id", key, data) \
-        .select("doc_id", "__row", F.md5("data").alias("m"), F.octet_length("data").alias("n")).where(F.col("n") >= width)
-    first = texts.groupBy("m", "n").agg(F.min("doc_id").alias("least"))
-    sizes = stash(texts.join(first, ["m", "n"]).select("__row", "n", (F.col("doc_id") > F.col("least")).alias("whole")).distinct(), "sizes")
-    body = sizes.where("not whole").agg(F.sum("n")).first()[0] or 0
-    copies = sizes.where("whole").select("__row")
-    source = docs.where("doc_id is not null").select("doc_id", key, data).where(F.octet_length("data") >= width) \
-        .join(copies, "__row", "left_anti").select("doc_id", F.col("__row").alias("row"), "data")
-
-    # 40 bytes for each sampled position, one in 18 bytes: buckets of about 20 MB
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("__doc"), key, data) \
+        .select("__doc", "__row", F.md5("data").alias("m"), F.octet_length("data").alias("n")).where(F.col("n") >= width)
+    first = texts.groupBy("m", "n").agg(F.min("__doc").alias("least"))
+    sizes = stash(texts.join(first, ["m", "n"]).select("__doc", "__row", "n", (F.col("__doc") > F.col("least")).alias("whole")).distinct(), "sizes")
+    total = sizes.groupBy("whole").agg(F.sum("n").alias("n"), F.count("*").alias("c")).collect()
+    body = sum(r.n for r in total if not r.whole)
+    copies = sizes.where("whole").select(F.col("__doc").alias("doc"), F.col("__row").alias("row"))
+    if sum(r.c for r in total if r.whole) <= SEND_IDS:
+        copies = F.broadcast(copies)
+    source = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), key.alias("row"), data).where(F.octet_length("data") >= width) \
+        .join(copies, ["doc", "row"], "left_anti")
+
+    # 31 bytes for each sampled position, one in 18 bytes: buckets of about 15 MB
     parts = n_parts(spark, body, 8 << 20)
     found = stash(source.mapInPandas(_sample(parts, width), BLOB_SCHEMA).groupBy("part")
-                  .applyInPandas(_bucket, "row long, doc long, lo int, hi int, tag int"), "buckets")
-    runs = F.collect_list(F.struct("lo", "hi")).alias("runs")
-    asked = found.where("tag = 1").groupBy("row").agg(runs)
-    strings = source.join(asked, "row").mapInPandas(_strings(parts, width), BLOB_SCHEMA)
-    more = stash(strings.groupBy("part").applyInPandas(_merge, "row long, lo int, hi int"), "strings")
-    covered = found.where("tag = 0").select("row", "lo", "hi").union(more).groupBy(F.col("row").alias("__row")).agg(runs)
-    marks = sizes.join(covered, "__row", "left").where("whole or runs is not null") \
-        .mapInPandas(_pieces(width), "__row long, __removed long, __spans long, __pieces array<struct<at: int, size: int>>")
+                  .applyInPandas(_bucket, "doc long, row long, lo int, hi int, tag int, gram long"), "buckets")
+    asked = found.where("tag > 0").groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi", "tag", "gram")).alias("runs"))
+    strings = source.join(asked, ["doc", "row"]).mapInPandas(_strings(parts, width), BLOB_SCHEMA)
+    more = stash(strings.groupBy("part").applyInPandas(_merge(parts, width), "doc long, row long, lo int, hi int"), "strings")
+    covered = found.where("tag = 0").select("doc", "row", "lo", "hi").union(more) \
+        .groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    marks = stash(sizes.join(covered, ["__doc", "__row"], "left").where("whole or runs is not null")
+                  .mapInPandas(_pieces(width), "__doc long, __row long, __removed long, __spans long, __pieces array<struct<at: int, size: int>>"), "marks")
     cut = lambda k, p: F.concat(k, F.substring("__data", p["at"] + 1, p["size"]))
-    return docs.withColumn("__row", key).join(stash(marks, "marks"), "__row", "left").withColumn("__data", utf8()) \
+    return docs.withColumns({"__row": key, "__doc": F.col("doc_id")}).join(marks, ["__doc", "__row"], "left").withColumn("__data", utf8()) \
         .withColumn("__kept", F.when(F.col("__pieces").isNull(), F.col("__data"))
                     .otherwise(F.aggregate("__pieces", F.lit("").cast("binary"), cut)))
 

@@ -28,6 +28,8 @@ from .common import stash
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENCE, ROUNDS = 8, 0.95, 3
+#: Additions to at most so many documents are sent to all executors; more are joined by shuffle.
+SEND_ROWS = 200_000
 AROUND = 40                                    # code points of context on either side
 
 #: The base forms; starts that a run's own start would have taken are ruled out, so each run is read once.
@@ -172,6 +174,8 @@ def _searched(spans: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<kind:int,s:int,e:int>>")
     chosen = F.array_sort(F.aggregate("all", F.struct(F.lit(0).alias("end"), empty.alias("out")), step, lambda acc: acc["out"]))
     added = stash(added.select("__id", chosen.alias("__added")), "added")
+    if added.count() <= SEND_ROWS:
+        added = F.broadcast(added)
     return spans.join(added, "__id", "left").withColumns({"__base": plain("__base"), "__added": F.coalesce("__added", empty)}) \
         .drop("__id", "__loose")
 

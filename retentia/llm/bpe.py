@@ -155,7 +155,7 @@ class Bpe:
         self.index.update(zip(hashes, range(n, n + len(words))))
         self.used += len(ids)
 
-    def look_up(self, c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def look_up(self, c: np.ndarray, start: np.ndarray, end: np.ndarray, may_forget: bool = True) -> np.ndarray:
         """Entry number of each pre-token; new ones are learnt. A pre-token is known by its 64-bit hash."""
         up, down = powers(len(c) + 1)
         total = np.zeros(len(c) + 1, U64)
@@ -165,7 +165,7 @@ class Bpe:
         keys = uniq.tolist()
         known = [self.index.get(x, -1) for x in keys]
         if -1 in known:
-            if len(self.index) + known.count(-1) > REMEMBER and self.index:
+            if may_forget and len(self.index) + known.count(-1) > REMEMBER and self.index:
                 self.forget()
                 known = [-1] * len(keys)
             new = [i for i, x in enumerate(known) if x < 0]

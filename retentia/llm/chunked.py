@@ -52,11 +52,99 @@ def boundaries(c: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+#: Pre-tokens around a seam that a group cuts anew at first, and the least a chunk must have for that.
+REACH, LEAST_PIECES = 8, 24
+#: Code points that are encoded as one group.
+GROUP = 1_000_000
+
+
 class ChunkEncoder:
-    """Whole texts' ids by chunks, over a remembered-pre-token encoder."""
+    """Whole texts' ids by chunks, over a remembered-pre-token encoder.
+
+    A group of texts has its new chunks cut together, then its seams. A text whose seams need more is done alone.
+    """
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.cache, self.encoded, self.met = bpe, {}, 0, 0
+        self.bpe, self.encoded, self.met = bpe, 0, 0
+        self.forget()
+
+    def forget(self) -> None:
+        self.cache: dict[bytes, tuple] = {}
+        self.known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        out, group, size = [], [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size > GROUP:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _together(self, parts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pre-token starts and entries of each part, cut as texts of their own."""
+        if not parts:
+            return []
+        stop = np.array([_END_CODE], np.uint32)
+        c = np.concatenate([x for p in parts for x in (p, stop)])
+        at = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        start, end = self.bpe.level.cut(c)
+        ix = self.bpe.look_up(c, start, end, may_forget=False)
+        n = np.searchsorted(start, at)
+        return [((start[a:b] - x).astype(np.int32), ix[a:b].astype(np.int32)) for a, b, x in zip(n, n[1:], at)]
+
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
+        from . import bpe as module
+        codes = [self.bpe.level.codes(t) for t in texts]
+        if len(self.bpe.index) + sum(len(c) for c in codes if c is not None) // 3 > module.REMEMBER or len(self.known) > KEEP:
+            self.bpe.forget()
+            self.forget()
+        chunks, fresh = [], {}
+        for c in codes:
+            cut = [] if c is None or not len(c) else [*boundaries(c).tolist(), len(c)]
+            own = [c[a:b] for a, b in zip(cut, cut[1:])]
+            keys = [x.tobytes() for x in own]
+            chunks.append((own, keys))
+            self.met += len(keys)
+            fresh |= {k: x for k, x in zip(keys, own) if k not in self.known}
+        self.encoded += len(fresh)
+        self.known |= zip(fresh, self._together(list(fresh.values())))
+        seams, windows = [], []
+        for d, (own, keys) in enumerate(chunks):
+            cuts = [self.known[k] for k in keys]
+            if len(own) > 1 and min(len(s) for s, _ in cuts) < LEAST_PIECES:
+                seams.append(None)
+                continue
+            seams.append(range(len(windows), len(windows) + max(len(own) - 1, 0)))
+            for x, y, (s, _), (t, _) in zip(own, own[1:], cuts, cuts[1:]):
+                windows.append(np.r_[x[s[-2]:], y[:t[REACH]]])
+        cuts_of = self._together(windows)
+        out: list[np.ndarray | None] = []
+        for (own, keys), at in zip(chunks, seams):
+            if at is None:
+                out.append(None)
+                continue
+            pieces, frm = [], 0
+            for k, w in enumerate(at):
+                (s, ix), (t, _) = self.known[keys[k]], self.known[keys[k + 1]]
+                ws, wx = cuts_of[w]
+                seam = len(own[k]) - int(s[-2])
+                theirs = {int(v) + seam: j for j, v in enumerate(t[:REACH].tolist())}
+                # the last two new pre-tokens may still change
+                agree = next(((n, theirs[v]) for n, v in enumerate(ws[:-2].tolist()) if v in theirs), None)
+                if agree is None:
+                    pieces = None
+                    break
+                pieces += [ix[frm:-2], wx[:agree[0]]]
+                frm = agree[1]
+            out.append(None if pieces is None else np.concatenate([*pieces, self.known[keys[-1]][1][frm:]]) if keys else np.zeros(0, np.int32))
+        ours = [x for x in out if x is not None]
+        ids, upto = self.bpe.ids_of(np.concatenate(ours)) if ours else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        edge = np.r_[0, upto][np.cumsum([0, *map(len, ours)])]
+        done = iter(np.split(ids, edge[1:-1])) if ours else iter(())
+        done = [next(done) if x is not None else None for x in out]
+        return [self.bpe.whole(t) if c is None else x if x is not None else self.encode(t) for t, c, x in zip(texts, codes, done)]
 
     def _cut(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.bpe.level.cut(np.r_[c, np.uint32(_END_CODE)])
@@ -147,8 +235,8 @@ def _round_trip(model):
         names = list(map(str, range(len(table))))
         for pdf in slices(batches, "text", 4 << 20):
             rows = []
-            for doc, text in zip(pdf.doc_id, pdf.text):
-                ids = enc.encode(text).tolist()
+            for doc, ids in zip(pdf.doc_id, enc.encode_all(pdf.text.tolist())):
+                ids = ids.tolist()
                 rows.append((doc, len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(),
                              hashlib.sha256(decode(table, ids).encode()).hexdigest()))
             out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -161,7 +249,7 @@ def _encoded(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = chunk_encoder(*model.value)
         for pdf in slices(batches, "text", 2 << 20):
-            out = pd.DataFrame({"doc_id": pdf.doc_id, "ids": [enc.encode(t) for t in pdf.text]})
+            out = pd.DataFrame({"doc_id": pdf.doc_id, "ids": enc.encode_all(pdf.text.tolist())})
             out["doc_id"] = out.doc_id.astype("Int64")
             yield out
     return run

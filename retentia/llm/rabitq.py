@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,11 +45,14 @@ def layout(n: int, cosine: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
 
 
+@lru_cache(maxsize=64)
+def _turns(dim: int, count: int) -> np.ndarray:
+    return np.concatenate([rotation(dim, 1000 + k) for k in range(-(-count // dim))])[:count].T
+
+
 def _signs(x: np.ndarray, count: int) -> np.ndarray:
     """``count`` sign bits of random rotations of each row."""
-    dim = x.shape[1]
-    turns = np.concatenate([rotation(dim, 1000 + k) for k in range(-(-count // dim))])[:count]
-    return x @ turns.T > 0
+    return x @ _turns(x.shape[1], count) > 0
 
 
 def band_keys(x: np.ndarray, bits: int, bands: int) -> np.ndarray:

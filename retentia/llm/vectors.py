@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +16,9 @@ def takes_part(column: str = "embedding") -> Column:
     return F.coalesce(c.isNotNull() & (F.size(c) > 0) & sound, F.lit(False))
 
 
+@lru_cache(maxsize=64)
 def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix."""
+    """A random orthogonal matrix, made once per worker."""
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
 

@@ -92,6 +92,39 @@ def test_search_recall_scores_and_edges(spark):
     assert adsearch.search(frame(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_search_gives_k_rows_on_skewed_vectors(spark, seed):
+    """A third of copies, thirty clusters and forty outliers in small lists: five rows for every query."""
+    rng = np.random.default_rng(seed)
+    n, centre = 6000, rng.normal(size=(30, 16))
+    x = centre[rng.integers(0, 30, n)] + 0.02 * rng.normal(size=(n, 16))
+    x[:n // 3] = centre[0]
+    x[-40:] = 5 * rng.normal(size=(40, 16))
+    data = [(k, [float(v) for v in r]) for k, r in enumerate(x.astype(np.float32))]
+    got = adsearch.search(frame(spark, data), (F.col("vec_id") % 50 == 0) | (F.col("vec_id") >= n - 40)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append(r.rank)
+    assert set(by) == {*range(0, n, 50), *range(n - 40, n)}
+    assert all(sorted(ranks) == [1, 2, 3, 4, 5] for ranks in by.values())
+
+
+def test_search_counts_candidates_of_other_ids(spark):
+    """One id holds nearly all rows; its copies are no candidates of its own query."""
+    rng = np.random.default_rng(3)
+    data = [(0, [float(v) for v in r]) for r in 1 + 0.01 * rng.normal(size=(1500, 8))]
+    data += [(k, [float(v) for v in r]) for k, r in enumerate(rng.normal(size=(7, 8)), 1)]
+    got = adsearch.search(frame(spark, data), F.col("vec_id") == 0).collect()
+    assert sorted(r.rank for r in got) == [1, 2, 3, 4, 5] and 0 not in {r.vec_id for r in got}
+
+
+def test_the_scan_keeps_at_least_k():
+    """Rows of one distance that all lies in the first coordinates: each looks too far early, k stay all the same."""
+    x = np.zeros((400, 64))
+    x[:, :16] = vectors.unit(np.random.default_rng(0).normal(size=(400, 16)))
+    assert len(adsearch.scan(np.zeros(64), x, 5)) >= 5
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_the_scan_keeps_the_nearest(seed):
     rng = np.random.default_rng(seed)

@@ -5,10 +5,12 @@
 3. Looser forms of the kinds (spelt-out at signs, defanged addresses, numbers without a prefix or with
    another grouping) give candidate instances, with the same three patterns each.
 4. Patterns and instances form a weighted graph. Over ``ROUNDS`` rounds a pattern's score is the mean
-   score of its occurrences' instances (seeds 1, candidates what their patterns gave them), and a
-   candidate's score is that of its best pattern.
-5. Patterns with at least ``SUPPORT`` different seeds in as many documents and a score of
-   ``CONFIDENCE`` or more discover the candidates beside them.
+   score of its occurrences' instances (seeds 1, candidates what their patterns gave them). What a pattern takes
+   from a candidate is the score of the candidate's best unrelated pattern (neither that pattern, nor a part of it,
+   nor one that has it as a part), or the pattern's own share of seeds: its own vote counts once and does not
+   grow over the rounds.
+5. Patterns with at least ``SUPPORT`` different seeds in as many documents (counted exactly) vote, and with a
+   score of ``CONFIDENCE`` or more they discover the candidates beside them.
 
 Base spans stay whatever the graph says. Positions are code points. Patterns of unbounded repetition
 are possessive, so a text's length costs neither stack nor backtracking.
@@ -130,29 +132,54 @@ def _edges(spans: DataFrame, column: str, seed: int) -> DataFrame:
                     F.lit(seed).alias("seed"))
 
 
+def _votes(graph: DataFrame, patterns: DataFrame, alone: DataFrame) -> DataFrame:
+    """``graph`` with the score of each instance as its pattern may count it: seeds 1, candidates by their unrelated
+    patterns and by the pattern's score from seeds ``alone``."""
+    of = F.substring("pattern", 1, 1)
+    words = F.split("pattern", " ")
+    left = F.when(of != "r", F.get(words, F.lit(1)))
+    right = F.when(of == "r", F.get(words, F.lit(1))).when(of == "b", F.get(words, F.lit(2)))
+    # of the patterns of a class, the best and the best with another key: what remains if one key is left out
+    classes = {"l": (of == "l", left), "r": (of == "r", right), "b": (of == "b", F.col("pattern")), "lb": (of != "r", left), "rb": (of != "l", right)}
+    seen = graph.where("seed = 0").select("kind", "pattern", "v").join(patterns.select("kind", "pattern", "score"), ["kind", "pattern"])
+    best = seen.groupBy("kind", "v").agg(*[F.max(F.when(one, F.struct("score", key.alias("key")))).alias(c) for c, (one, key) in classes.items()])
+    best = stash(best, "best-patterns")
+    next_best = seen.join(best, ["kind", "v"]).groupBy("kind", "v").agg(
+        *[F.max(F.when(one & (key != F.col(f"{c}.key")), F.col("score"))).alias(f"{c}2") for c, (one, key) in classes.items()])
+
+    def without(c: str) -> Column:
+        return F.when(F.col(f"{c}.key") != classes[c][1], F.col(f"{c}.score")).otherwise(F.col(f"{c}2"))
+    vote = F.when(of == "l", F.greatest(without("lb"), F.col("r.score"))).when(of == "r", F.greatest(without("rb"), F.col("l.score"))) \
+        .otherwise(F.greatest(without("l"), without("r"), without("b")))
+    both = best.join(next_best, ["kind", "v"])
+    own = alone.select("kind", "pattern", F.col("score").alias("own"))
+    return graph.join(both, ["kind", "v"], "left").join(own, ["kind", "pattern"], "left").select("kind", "pattern", "v", "seed", "n",
+        F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce(F.greatest(vote, "own"), F.lit(0.0))).alias("score"))
+
+
 def _discoveries(spans: DataFrame) -> DataFrame:
     """__id, kind, s, e of candidates beside a pattern of high confidence."""
     occ = stash(_edges(spans, "__base", 1).union(_edges(spans, "__loose", 0)), "occurrences")
     # a pattern that no seed of the kind has, or that has no candidate beside it, plays no part
     both = occ.groupBy("kind", "pattern").agg(F.sum("seed").alias("ones"), F.sum(1 - F.col("seed")).alias("others")).where("ones > 0 and others > 0")
-    graph = stash(occ.join(both.select("kind", "pattern"), ["kind", "pattern"])
-                  .groupBy("kind", "pattern", "v", "seed").agg(F.count("*").alias("n"), F.approx_count_distinct("__id").alias("docs")), "graph")
+    graph = stash(occ.join(both.select("kind", "pattern"), ["kind", "pattern"]).groupBy("kind", "pattern", "v", "seed").agg(F.count("*").alias("n")), "graph")
+    docs = occ.where("seed = 1").select("kind", "pattern", "__id").distinct().groupBy("kind", "pattern").agg(F.count("*").alias("docs"))
+    docs = stash(docs.join(both.select("kind", "pattern"), ["kind", "pattern"]), "seed-docs")
     # the pattern's occurrences with seeds of other kinds count against it
     against = occ.where("seed = 1").groupBy("pattern", "kind").agg(F.count("*").alias("n"))
     foreign = against.withColumn("all", F.sum("n").over(Window.partitionBy("pattern"))).select("pattern", "kind", (F.col("all") - F.col("n")).alias("foreign"))
     foreign = stash(foreign.join(both.select("kind", "pattern"), ["kind", "pattern"]), "foreign")
-    score = graph.select("kind", "v", "seed").distinct().withColumn("score", F.col("seed").cast("double"))
-    patterns = None
-    for _ in range(ROUNDS):
-        patterns = stash(graph.join(score, ["kind", "v", "seed"]).groupBy("kind", "pattern").agg(
-            F.sum(F.col("n") * F.col("score")).alias("good"), F.sum("n").alias("n"),
-            F.sum("seed").alias("seeds"), F.sum(F.col("seed") * F.col("docs")).alias("docs"))
-            .join(foreign, ["kind", "pattern"], "left")
-            .select("kind", "pattern", "seeds", "docs", (F.col("good") / (F.col("n") + F.coalesce("foreign", F.lit(0)))).alias("score")), "patterns")
-        best = graph.where("seed = 0").join(patterns.where(F.col("seeds") >= SUPPORT), ["kind", "pattern"]).groupBy("kind", "v", "seed").agg(F.max("score").alias("score"))
-        score = stash(graph.select("kind", "v", "seed").distinct().join(best, ["kind", "v", "seed"], "left")
-                      .withColumn("score", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("score", F.lit(0.0)))), "instances")
-    sure = patterns.where((F.col("seeds") >= SUPPORT) & (F.col("docs") >= SUPPORT) & (F.col("score") >= CONFIDENCE))
+    alone = None
+    voted = graph.withColumn("score", F.col("seed").cast("double"))
+    for k in range(ROUNDS):
+        patterns = stash(voted.groupBy("kind", "pattern").agg(F.sum(F.col("n") * F.col("score")).alias("good"), F.sum("n").alias("n"), F.sum("seed").alias("seeds"))
+                         .join(docs, ["kind", "pattern"]).join(foreign, ["kind", "pattern"], "left")
+                         .select("kind", "pattern", "seeds", "docs", (F.col("good") / (F.col("n") + F.coalesce("foreign", F.lit(0)))).alias("score")), "patterns")
+        supported = patterns.where((F.col("seeds") >= SUPPORT) & (F.col("docs") >= SUPPORT))
+        alone = supported if k == 0 else alone
+        if k < ROUNDS - 1:
+            voted = stash(_votes(graph, supported, alone), "votes")
+    sure = supported.where(F.col("score") >= CONFIDENCE)
     return occ.where("seed = 0").join(sure.select("kind", "pattern"), ["kind", "pattern"]).select("__id", "kind", "s", "e").distinct()
 
 

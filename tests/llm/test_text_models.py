@@ -74,6 +74,36 @@ def test_pii_patterns_discover_unseen_identifiers(documents):
     assert got[101] and not got[200]
 
 
+def test_pii_patterns_need_seeds_in_eight_documents(documents):
+    """Sixty seeds listed in one document qualify nothing; the same contexts in eight documents do."""
+    late = [(100, "again contact j0 (at) host0 (dot) com today")]
+    line = "write contact u{0}@host{0}.com today\n"
+    spans = lambda rows: {r.doc_id: r.spans for r in pii.digests(documents(rows + late)).collect()}[100]
+    assert not spans([(1, "".join(line.format(k) for k in range(60)))])
+    assert not spans([(i, "".join(line.format(k) for k in range(9 * i, 9 * i + 9))) for i in range(7)])
+    assert not spans([(i, line.format("x")) for i in range(60)])
+    found = spans([(i, "".join(line.format(k) for k in range(9 * i, 9 * i + 9))) for i in range(8)])
+    a, b = map(int, found.split(":")[1:])
+    assert late[0][1][a:b] == "j0 (at) host0 (dot) com"
+
+
+def test_pii_patterns_do_not_confirm_themselves(documents):
+    """Two thirds of what follows a word are seeds; nothing else speaks for the remaining third."""
+    rows = [(k, f"see contact u{k}@host{k}.com t{k} end") for k in range(66)]
+    rows += [(100 + k, f"see contact j{k} (at) host{k} (dot) com w{k} end") for k in range(34)]
+    got = {r.doc_id: r.spans for r in pii.digests(documents(rows)).collect()}
+    assert all(got[k] for k in range(66)) and not any(got[100 + k] for k in range(34))
+
+
+def test_pii_votes_of_related_patterns_do_not_grow(spark):
+    graph = spark.createDataFrame([(0, p, "v", 0, 1) for p in ("l x", "r y", "b x y", "l z", "r q")] + [(0, "l x", "s", 1, 3), (0, "l x", "alone", 0, 1)],
+                                  "kind int, pattern string, v string, seed int, n long")
+    patterns = spark.createDataFrame([(0, "l x", 0.9), (0, "b x y", 0.8), (0, "r y", 0.7), (0, "l z", 0.5)], "kind int, pattern string, score double")
+    alone = spark.createDataFrame([(0, "l x", 0.6), (0, "b x y", 0.4)], "kind int, pattern string, score double")
+    got = {(r.pattern, r.v): r.score for r in pii._votes(graph, patterns, alone).collect()}
+    assert got == {("l x", "v"): 0.7, ("r y", "v"): 0.9, ("b x y", "v"): 0.5, ("l z", "v"): 0.9, ("r q", "v"): 0.9, ("l x", "s"): 1.0, ("l x", "alone"): 0.6}
+
+
 def test_pii_redaction_takes_effect(documents):
     docs = documents([(1, "é😀 a@b.cd, +1 (743) 555-3824 and 1.2.3.4!"), (2, None), (3, "clean 12"), (4, "")], extra=True)
     got = pii.redact(docs)

@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings: blockwise suffix buckets over a covering sample.
+"""Exact removal of repeated byte strings: hash groups over a covering sample.
 
 A byte goes if a ``width``-byte string that covers it also starts in a document with a smaller doc_id.
 
@@ -7,14 +7,14 @@ A byte goes if a ``width``-byte string that covers it also starts in a document
   offset. The sample here has that property for the strings that matter and is far sparser: of all
   ``GRAM``-byte grams in a ``width``-byte string the ones with the least hash are sampled, so equal
   strings have a sampled gram at the same offset, one position in about 18.
-* Buckets. Suffixes are dealt into buckets by the hash of their sampled gram; a task sorts one bucket
-  at a time. In a bucket the ties are resolved by the rank of the sample's run (all strings that the
-  sampled position stands for): equal runs are one class and need no further comparison.
+* Buckets. Records are dealt into buckets by the hash of their sampled gram. In a bucket they are grouped by
+  gram and by the hash of the run (all strings that the sampled position stands for): equal runs are one class
+  and need no further comparison. No suffix is ordered and nothing has a rank; hashing replaces both.
 * Long ties. Only classes that share a gram but not the run are compared string by string: one member of each
   is dealt out by string hash, and each string bucket is sorted and merged on its own.
 
 Memory of a task is bounded by its bucket, whose number follows the corpus' bytes. A third of all rows
-with one text is one row here; a gram that a third of all texts hold is a small part of its bucket.
+with one text is one row here; all occurrences of one gram are in one bucket, so a hot gram is not bounded.
 
 Defined cases: null texts are empty; rows with a null doc_id keep their whole text and remove
 nothing elsewhere; rows that repeat a doc_id don't remove each other's strings (no smaller doc_id),

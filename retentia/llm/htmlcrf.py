@@ -11,7 +11,7 @@ marks, every labelled page is learnt from in several guises: with its containers
 words, and with notices, adverts, forms, sidebars and reader comments put in, made of other blocks' text.
 
 Defined cases: a null html is an empty page with empty text; broken markup is read as far as it goes, an
-unclosed comment or script runs to the end of the page; pages of any length are read whole; a table without
+unclosed comment, script, style, title, textarea or iframe runs to the end of the page, all other tags are left to the field; pages of any length are read whole; a table without
 labelled pages keeps blocks outside the usual containers; repeated rows give repeated rows.
 """
 
@@ -34,7 +34,7 @@ _BLOCK = set("address article aside blockquote body center dd details dialog dir
              "head header hgroup hr html li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul button "
              "label legend title iframe canvas video audio".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style noscript template textarea svg math iframe object title select".split())
+_RAW = set("script style title textarea iframe".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TAG = re.compile(r"<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<d>[!?][^>]*)>|(?P<e>/?)(?P<n>[a-zA-Z][^\s/>]*)(?P<a>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _ATTR = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)

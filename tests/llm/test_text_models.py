@@ -139,6 +139,16 @@ def test_html_main_text(spark):
     assert text[900] == text[901] == text[902] == text[903] == ""
 
 
+def test_html_keeps_formulas_and_what_follows_an_open_tag(spark):
+    rng = random.Random(6)
+    rows = [(k, f"u{k}", page(rng, "article" if k % 4 else "div")[0]) for k in range(240)]
+    rows += [(900, "u", f"<article><p>{STORY}</p><p>{STORY}<math><mi>x</mi><mo>=</mo><mn>17</mn></math></p></article>"),
+             (901, "u", f"<article><p>{STORY}</p><object data=f><p>{STORY}</p><select><p>{STORY}</p></article>")]
+    text = {r.page_id: r.text for r in htmlcrf.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text[900] == f"{STORY.strip()}\n{STORY}x=17"
+    assert text[901].count(STORY.strip()) == 3
+
+
 def test_html_without_labelled_pages(spark):
     rows = [(1, "u", f"<div>{STORY}</div><nav>menu</nav>")]
     make = lambda r: spark.createDataFrame(r, "page_id long, url string, html string")
@@ -151,6 +161,12 @@ def test_blocks_cut_and_decode():
     assert got == ["a <b> c d", "efg", "h", "i", "j"]
 
 
+def test_only_raw_text_is_no_block():
+    got = [b[2] for b in htmlcrf.blocks("<p>a <math><mi>x</mi></math> b</p><noscript><p>c</p></noscript><svg><title>no</title><text>d</text></svg><p>"
+                                        "<textarea>no</textarea><iframe>no</iframe><style>no</style><object><p>e<p><select><option>f<p>g")]
+    assert got == ["a x b", "c", "d", "e", "f", "g"]
+
+
 def test_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(0)
     e, y = rng.normal(size=(5, 2)), [0, 1, 1, 0, 1]

@@ -79,9 +79,14 @@ def model_specs(sizes: Sizes | None = None) -> list[ModelSpec]:
 class Prepared:
     data: DataFrame                    # EmployeeID, label, is_test, fold, weight, f_0..f_60
     feature_names: list[str]
-    encodings: dict
+    encoder: DataFrame                 # column, value, code
     columns: list[str] = field(default_factory=list)   # internal matrix column names
 
+    @property
+    def encodings(self) -> dict:
+        """The encodings as maps, collected when an artifact is saved."""
+        return PR.encoding_maps(self.encoder)
+
 
 def _fcols(n: int) -> list[str]:
     return [f"f_{i}" for i in range(n)]
@@ -98,13 +103,13 @@ def prepare(feat: DataFrame, k_folds: int = 5, test_size: float = 0.2) -> Prepar
                        "LeavingBinary", *names)
     split = PR.stratified_split(base, "LeavingBinary", test_size)
     train = split.filter(F.col("is_test") == 0)
-    enc = PR.encoding_maps(PR.fit_label_encoder(train, [c for c in R.CATEGORICAL if c in names]))
+    coded = [c for c in R.CATEGORICAL if c in names]
+    enc = PR.fit_label_encoder(train, coded)
     folds = PR.stratified_folds(train.select("EmployeeID", "LeavingBinary"), k_folds).select("EmployeeID", "fold")
     cols = _fcols(len(names))
-    mat = split.join(folds, "EmployeeID", "left").select(
+    mat = PR.transform_labels(split.join(folds, "EmployeeID", "left"), enc, cols=coded).select(
         "EmployeeID", "label", "is_test", F.coalesce(F.col("fold"), F.lit(-1)).alias("fold"),
-        *[(PR.encode_column(n, enc[n]) if n in enc else F.col(n)).cast("double").alias(c)
-          for n, c in zip(names, cols)])
+        *[F.col(n).cast("double").alias(c) for n, c in zip(names, cols)])
     mat = mat.persist(StorageLevel.MEMORY_AND_DISK)
     return Prepared(mat, names, enc, cols)
 

@@ -19,13 +19,13 @@ from retentia.operators.ordered import rank_within
 
 def fit_label_encoder(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, value, code): code = rank of the value among the column's sorted
-    distinct strings, 0-based (M1). One scan; the ranked table is tiny."""
+    distinct strings, 0-based (M1). One scan; the values are ranked by ranges."""
     cols = [c for c in (cols or R.CATEGORICAL) if c in df.columns]
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("kv"))
     distinct = pairs.select("kv.column", "kv.value").filter(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return distinct.select("column", "value", (F.dense_rank().over(w) - 1).cast("int").alias("code"))
+    ranked = rank_within(distinct, ["column"], ["value"], rank_col="code")
+    return ranked.select("column", "value", F.col("code").cast("int").alias("code"))
 
 
 def encoding_maps(encodings: DataFrame) -> dict[str, dict[str, int]]:

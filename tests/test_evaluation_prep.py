@@ -46,6 +46,19 @@ def test_unseen_category_encodes_minus_one(spark):
     assert [r[0] for r in out.collect()] == [1, -1, -1]
 
 
+def test_label_codes_are_ranked_by_ranges(spark, monkeypatch):
+    """A free text column: no window over all values of a column, and the codes run on over the ranges."""
+    import re
+
+    from retentia.operators import ordered
+    monkeypatch.setattr(ordered, "ROWS_PER_PART", 100)
+    df = spark.range(900).select(F.format_string("t%d", F.col("id")).alias("Gender"), F.format_string("u%d", F.col("id") % 7).alias("Location"))
+    enc = PR.fit_label_encoder(df, ["Gender", "Location"])
+    assert not re.search(r"windowspecdefinition\(column#\d+, value#", enc._jdf.queryExecution().optimizedPlan().toString())
+    want = {("Gender", v, k) for k, v in enumerate(sorted(f"t{i}" for i in range(900)))} | {("Location", f"u{k}", k) for k in range(7)}
+    assert {tuple(r) for r in enc.collect()} == want and dict(enc.dtypes)["code"] == "int"
+
+
 def test_constant_column_scales_to_zero(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0), (4.0, 5.0)], "x double, c double")
     p = PR.fit_scaler(df, ["x", "c"])

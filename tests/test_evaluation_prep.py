@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from retentia.operators import evaluation as EV
 from retentia.operators import prep as PR
 from retentia.operators import segments as SG

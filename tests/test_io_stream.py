@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from retentia.sources import io as IO
 from retentia.sources.tables import employees
 from retentia.streaming.scoring import PROFILE_INPUTS, score_profiles, start_stream

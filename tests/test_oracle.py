@@ -6,7 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 
 # the training-data queries are tested in tests/llm
 OURS = re.compile(r"[qt]_")

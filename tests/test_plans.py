@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 
 SQL_QUERIES = sorted(n for n in entry.oracle_sql() if n[:2] in ("q_", "t_"))
 

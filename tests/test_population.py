@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from retentia import reference_data as R
 from retentia.functions.draws import cumulative, poisson_cdf
 from retentia.operators.population import DRAWS, draw_table

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_paths import SF_SMALL
 from retentia.operators import features as FE
 from retentia.operators import scorecard as SC
 from retentia.sources.tables import employees

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adsearch, chunked, htmlcrf, minhash, packing, pii, rabitq, suffix, tokenstore, toxicity
+from . import adsearch, chunked, htmlcrf, minhash, packing, pii, rabitq, suffix, tokenstore, toxicity, veccodes
 from .bpe import public_path
 from .common import ship
 
@@ -59,8 +59,13 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.look_up(spark, path, docs.select("doc_id"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.digests(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op4_pii, op5_embedding_dedup, op6_bpe, op7_html, op8_ann, op9_suffix_dedup, op10_token_store)
+    f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op4_pii, op5_embedding_dedup, op6_bpe, op7_html, op8_ann, op9_suffix_dedup, op10_token_store,
+                            op11_vector_codes)
 }
 
 ORACLES: dict[str, str] = {}
@@ -115,3 +120,26 @@ n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
 SELECT v.vec_id, coalesce(n.n, 0) AS n_links, m.root AS component_id, v.vec_id = m.root AS kept
 FROM v LEFT JOIN n ON n.a = v.r JOIN m ON m.node = v.vec_id
 """
+
+
+def _codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """The rounds written out, a pair of tables (codebook c, assignment a) each; every value is an integer."""
+    steps = [f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label,
+  list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, i, e[part * (len(e) // {parts}) + i + 1] AS x
+  FROM v, unnest(range({parts})) AS t(part), unnest(range(len(e) // {parts})) AS u(i)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS k, i, x AS c FROM p WHERE r <= {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} AS MATERIALIZED (SELECT r, part, arg_min(k, d * {entries} + k) AS k, min(d) AS d
+  FROM (SELECT r, part, k, sum((x - c) * (x - c))::BIGINT AS d FROM p JOIN c{n} USING (part, i) GROUP BY ALL) GROUP BY r, part)""")
+        if n < rounds:
+            steps.append(f"""s{n} AS (SELECT part, k, i, sum(x)::BIGINT AS s, count(*) AS m FROM p JOIN a{n} USING (r, part) GROUP BY ALL),
+c{n + 1} AS MATERIALIZED (SELECT part, k, i, coalesce((s - ((s % m) + m) % m) // m, c) AS c FROM c{n} LEFT JOIN s{n} USING (part, k, i))""")
+    steps.append(f"""o AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+b AS (SELECT sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY part, k, i), '')) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM o JOIN v USING (r), b""")
+    return ",\n".join(steps[:-1]) + ",\n" + steps[-1]
+
+
+ORACLES["op11_vector_codes"] = _codes_sql(veccodes.PARTS, veccodes.ENTRIES, veccodes.ROUNDS, veccodes.SCALE)

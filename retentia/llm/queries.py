@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adsearch, chunked, htmlcrf, minhash, packing, pii, rabitq, suffix, tokenstore, toxicity, veccodes
+from . import adsearch, chunked, convtrie, htmlcrf, minhash, packing, pii, quality, rabitq, suffix, tokenstore, toxicity, veccodes
 from .bpe import public_path
 from .common import ship
 
@@ -63,9 +63,17 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return veccodes.digests(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rules(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_minhash, op2_toxicity, op3_packing, op4_pii, op5_embedding_dedup, op6_bpe, op7_html, op8_ann, op9_suffix_dedup, op10_token_store,
-                            op11_vector_codes)
+                            op11_vector_codes, op12_quality_rules, op13_conversation_trie)
 }
 
 ORACLES: dict[str, str] = {}
@@ -143,3 +151,29 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 
 
 ORACLES["op11_vector_codes"] = _codes_sql(veccodes.PARTS, veccodes.ENTRIES, veccodes.ROUNDS, veccodes.SCALE)
+
+#: CRC-32 by its table of 256 remainders; a node is the path of 32 hex digits a turn.
+ORACLES["op13_conversation_trie"] = """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+conv AS MATERIALIZED (SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: xor(a // 256, tab[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), crc),
+k AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+t AS MATERIALIZED (SELECT c, turn, substr(sha256(length(role) || ':' || role || text), 1, 32) AS x,
+  len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM k),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, x) AS o FROM t),
+e AS (SELECT conv.c, 0 AS part, o, x, w FROM conv JOIN o ON o.c = conv.c - conv.c % 20 AND o <= h
+      UNION ALL SELECT c, 1, o, x, w FROM conv JOIN o USING (c) WHERE o > h),
+s AS (SELECT c, w, row_number() OVER u AS d, string_agg(x, '') OVER u AS path FROM e WINDOW u AS (PARTITION BY c ORDER BY part, o)),
+p AS MATERIALIZED (SELECT c, w, d, path FROM s UNION ALL SELECT c, 0, 0, '' FROM conv),
+l AS (SELECT c, max(d) AS n FROM p GROUP BY c),
+m AS MATERIALIZED (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends_sha256 FROM p JOIN l USING (c) GROUP BY path, d),
+ch AS (SELECT substr(path, 1, 32 * (d - 1)) AS path, d - 1 AS d, count(*) AS n_children FROM m WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT m.*, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN ch USING (path, d)),
+up AS (SELECT substr(path, 1, 32 * a) AS path, a AS d, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * w)::BIGINT AS saved_tokens
+  FROM f, unnest(range(d + 1)) AS r(a) GROUP BY 1, 2)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM f JOIN up USING (path, d) LEFT JOIN m q ON q.d = f.d - 1 AND q.path = substr(f.path, 1, 32 * q.d)
+"""

@@ -138,3 +138,25 @@ def metrics_row(df: DataFrame, label: str, score: str, threshold: float = R.DECI
     tm["average_precision"] = average_precision(df, label, score).first()["average_precision"]
     tm["brier"] = brier(df, label, score).first()["brier"]
     return tm
+
+
+def grouped_metrics(df: DataFrame, groups: list[str], label: str = "LeavingBinary", score: str = "LeavingProb",
+                    threshold: float = R.DECISION_THRESHOLD) -> DataFrame:
+    """All headline metrics of each group in one pass (a row per group): counts and rates at the threshold, exact ROC-AUC with ties
+    half, average precision and Brier score. Rows are first added up by distinct score."""
+    y = F.col(label).cast("bigint")
+    counts = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+              .groupBy(*groups, F.col(score).cast("double").alias("score"))
+              .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
+    cum = running_totals(counts, "score", ["pos", "neg"], descending=True, group_cols=groups)
+    s, hit = F.col("score"), F.col("score") >= F.lit(threshold)
+    one = cum.groupBy(*groups).agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(hit, 0).otherwise(F.col("pos"))).alias("fn"), F.sum(F.when(hit, 0).otherwise(F.col("neg"))).alias("tn"),
+        F.try_divide(F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / F.lit(2.0))), F.sum("pos") * F.sum("neg")).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))), F.sum("pos")).alias("average_precision"),
+        F.try_divide(F.sum(F.col("pos") * F.pow(s - 1, 2) + F.col("neg") * F.pow(s, 2)), F.sum(F.col("pos") + F.col("neg"))).alias("brier"))
+    precision, recall, f1, accuracy = _rates()
+    return one.select(*groups, "tp", "fp", "fn", "tn", stable6(precision).alias("precision"), stable6(recall).alias("recall"),
+                      stable6(f1).alias("f1"), stable6(accuracy).alias("accuracy"), "auc", stable6(F.col("average_precision")).alias("average_precision"),
+                      stable6(F.col("brier")).alias("brier"))

@@ -1,23 +1,22 @@
 """Classifiers, cross-validation, selection, calibration, scoring and importance.
 
-Spark ML estimators do the fitting (distributed ``treeAggregate`` passes);
-this module only prepares the matrix, loops over folds/models on the driver
-(a handful of fits, never over rows) and evaluates with the exact operators
-of ``evaluation``. Library defaults are the published model sizes; smaller
-sizes can be passed for quick runs.
+The five models are fitted for all folds and the whole training split together: the logistic ones by Newton steps whose scans serve
+every fit (``linear``), the tree models from histograms of a matrix that is binned once (``ensembles``). This module prepares
+the matrix, holds the published sizes, and evaluates every model and fold in one grouped pass. Any other Spark ML classifier
+can be wrapped in a ``ModelSpec`` and fitted by ``fit``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       LogisticRegressionModel, RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,17 +24,24 @@ from pyspark.sql import functions as F
 from retentia import reference_data as R
 from retentia.operators import evaluation as EV
 from retentia.operators import prep as PR
+from retentia.operators.ensembles import Binned, Fit, TreeEnsemble, bin_rows, fit_trees
 from retentia.operators.features import model_feature_names
+from retentia.operators.linear import LinearModel, Moments, fit_logistics, fold_moments, platt_all
+from retentia.operators.trees import TreeRule
+from retentia.session import ship, write_once
 
 SEED = 42
 
 
 @dataclass
 class ModelSpec:
+    """A model: ``linear`` settings, a tree ``rule``, or ``make``, which gives a Spark ML estimator for a sum of weights."""
     name: str
     needs_scale: bool
     balanced: bool
-    make: Callable[[float], object]      # sum of training weights -> estimator
+    make: Callable[[float], object] | None = None
+    rule: TreeRule | None = None
+    linear: dict | None = None
 
 
 @dataclass
@@ -53,22 +59,14 @@ class Sizes:
 
 def model_specs(sizes: Sizes | None = None) -> list[ModelSpec]:
     s = sizes or Sizes.full()
-    common = dict(featuresCol="features", labelCol="label")
     return [
-        # sklearn: C * sum(w * loss) + ||b||^2 / 2  ==  Spark: sum(w * loss) / W + regParam * ||b||^2 / 2
-        ModelSpec("Logistic Regression", True, True, lambda w: LogisticRegression(
-            maxIter=s.lr_iter, regParam=1.0 / (0.5 * w), elasticNetParam=0.0, standardization=False,
-            weightCol="weight", tol=1e-4, **common)),
-        ModelSpec("Decision Tree", False, True, lambda w: DecisionTreeClassifier(
-            maxDepth=8, minInstancesPerNode=20, weightCol="weight", maxBins=64, seed=SEED, **common)),
-        ModelSpec("Random Forest", False, True, lambda w: RandomForestClassifier(
-            numTrees=s.forest_trees, maxDepth=12, minInstancesPerNode=10, featureSubsetStrategy="sqrt",
-            weightCol="weight", maxBins=64, seed=SEED, **common)),
-        ModelSpec("Gradient Boosting", False, False, lambda w: GBTClassifier(
-            maxIter=s.gbt_iter, maxDepth=5, stepSize=0.05, subsamplingRate=0.8, seed=SEED, **common)),
-        ModelSpec("HistGradientBoosting", False, True, lambda w: GBTClassifier(
-            maxIter=s.hist_iter, maxDepth=6, maxBins=255, stepSize=0.05, weightCol="weight", seed=SEED,
-            **common)),
+        ModelSpec("Logistic Regression", True, True, linear={"c": 0.5, "max_iter": s.lr_iter}),
+        ModelSpec("Decision Tree", False, True, rule=TreeRule("gini", 1, 8, 20, True)),
+        # n_features 0: the square root of the number of columns
+        ModelSpec("Random Forest", False, True, rule=TreeRule("gini", s.forest_trees, 12, 10, True, n_features=0, bootstrap=True)),
+        ModelSpec("Gradient Boosting", False, False, rule=TreeRule("residual", s.gbt_iter, 5, 1, False, rate=0.05, subsample=0.8)),
+        ModelSpec("HistGradientBoosting", False, True, rule=TreeRule("newton", s.hist_iter, 6, 20, True, rate=0.05, max_leaves=31,
+                                                                    min_weight=1e-3)),
     ]
 
 
@@ -81,6 +79,12 @@ class Prepared:
     feature_names: list[str]
     encoder: DataFrame                 # column, value, code
     columns: list[str] = field(default_factory=list)   # internal matrix column names
+    binned: Binned | None = None                       # made when a tree model is first fitted
+    moments: dict[int, Moments] | None = None          # by fold, made when a linear model is first fitted
+
+    @property
+    def train(self) -> DataFrame:
+        return self.data.filter(F.col("is_test") == 0)
 
     @property
     def encodings(self) -> dict:
@@ -143,23 +147,32 @@ def _vector(cols: list[str], scale: dict | None) -> Column:
 @dataclass
 class Fitted:
     spec: ModelSpec
-    model: object
+    model: object                      # LinearModel, TreeEnsemble or a Spark ML model
     scale: dict | None
     columns: list[str]
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        x = df.select("*", _vector(self.columns, self.scale))
-        return self.model.transform(x)
-
     def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """keep + prob (positive-class probability) + margin (decision value)."""
-        out = self.transform(df)
+        """keep + prob (positive-class probability) + margin (decision value of a linear model, else the probability)."""
+        if isinstance(self.model, LinearModel):
+            return df.select(*keep, self.model.margin(self.columns).alias("margin")).select(*keep, _sigmoid(F.col("margin")).alias("prob"), "margin")
+        if isinstance(self.model, TreeEnsemble):
+            return df.select(*keep, self.model.column(df.sparkSession, self.columns).alias("prob")).select(*keep, "prob", F.col("prob").alias("margin"))
+        out = self.model.transform(df.select("*", _vector(self.columns, self.scale)))
         prob = vector_to_array(F.col("probability"))[1]
         raw = vector_to_array(F.col("rawPrediction"))
-        # Platt uses the decision value for the linear model, the probability for trees
         margin = (raw[1] - raw[0]) / F.lit(2.0) if isinstance(self.model, LogisticRegressionModel) else prob
         return out.select(*keep, prob.alias("prob"), margin.alias("margin"))
 
+    def margin(self, df: DataFrame) -> Column:
+        """The margin as a column of ``df``; for linear and tree models."""
+        if isinstance(self.model, LinearModel):
+            return self.model.margin(self.columns)
+        return self.model.column(df.sparkSession, self.columns)
+
+
+def _sigmoid(margin: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+
 
 def fit(spec: ModelSpec, train: DataFrame, cols: list[str]) -> Fitted:
     """Fit one model; the scaler (if any) is fitted on this training set only."""
@@ -176,28 +189,73 @@ def fit(spec: ModelSpec, train: DataFrame, cols: list[str]) -> Fitted:
     return Fitted(spec, model, scale, cols)
 
 
-def _auc_of(scored: DataFrame) -> float:
-    """Exact ROC-AUC (ties half) via the built-in evaluator with numBins=0: one
-    distributed sort; equals ``evaluation.auc`` (checked in tests)."""
-    ev = BinaryClassificationEvaluator(rawPredictionCol="prob", labelCol="label", metricName="areaUnderROC",
-                                       numBins=0)
-    return float(ev.evaluate(scored))
+def _binned(prep: Prepared) -> Binned:
+    if prep.binned is None:
+        prep.binned = bin_rows(prep.train, prep.columns)
+    return prep.binned
+
+
+def _moments(prep: Prepared) -> dict[int, Moments]:
+    if prep.moments is None:
+        prep.moments = fold_moments(prep.train, prep.columns)
+    return prep.moments
+
+
+def fit_many(specs: list[ModelSpec], prep: Prepared, without: list[int | None]) -> dict[str, list[Fitted]]:
+    """Each spec fitted once per entry of ``without`` (the fold left out; None: none), all tree models together."""
+    out: dict[str, list[Fitted]] = {}
+    trees = [s for s in specs if s.rule is not None]
+    if trees:
+        data = _binned(prep)
+        rules = [replace(s.rule, n_features=int(math.sqrt(len(prep.columns)))) if s.rule.n_features == 0 else s.rule for s in trees]
+        models = iter(fit_trees(data, [Fit.of(r, data.counts, f, SEED) for r in rules for f in without]))
+        out |= {s.name: [Fitted(s, next(models), None, prep.columns) for _ in without] for s in trees}
+    for s in specs:
+        if s.linear is not None:
+            found, _ = fit_logistics(prep.train, prep.columns, without, balanced=s.balanced, folds=_moments(prep), **s.linear)
+            out[s.name] = [Fitted(s, m, {c: (a, b) for c, a, b in zip(prep.columns, m.mean.tolist(), m.std.tolist())}, prep.columns) for m in found]
+        elif s.rule is None:
+            rest = lambda f: prep.train if f is None else prep.train.filter(F.col("fold") != f)
+            out[s.name] = [fit(s, rest(f), prep.columns) for f in without]
+    return out
 
 
-def _parallel(fns: list[Callable[[], object]], workers: int | None = None) -> list:
-    """Run independent fits as concurrent Spark jobs from driver threads."""
-    with ThreadPoolExecutor(max_workers=workers or len(fns)) as pool:
-        return list(pool.map(lambda f: f(), fns))
+def held_out_scores(models: dict[str, list[Fitted]], prep: Prepared) -> DataFrame:
+    """Written table (model, fold, label, prob, margin): every training row scored by the models that have not seen its fold."""
+    ship(prep.train.sparkSession)
+    parts = []
+    for name, folds in models.items():
+        if all(isinstance(m.model, LinearModel) for m in folds):
+            parts.append((name, LinearModel.margin_by({f: m.model for f, m in enumerate(folds)}, F.col("fold"), F.array(*prep.columns)), True))
+        elif all(isinstance(m.model, TreeEnsemble) for m in folds):
+            parts.append((name, _by_fold([m.model for m in folds], prep), False))
+        else:
+            raise TypeError("held-out scores need linear or tree models")
+    wide = prep.train.select("fold", "label", *[c.alias(f"m_{i}") for i, (_, c, _) in enumerate(parts)])
+    rows = [F.struct(F.lit(name).alias("model"), (_sigmoid(F.col(f"m_{i}")) if linear else F.col(f"m_{i}")).alias("prob"),
+                     F.col(f"m_{i}").alias("margin")) for i, (name, _, linear) in enumerate(parts)]
+    return write_once(wide.select("fold", "label", F.inline(F.array(*rows))), "held-out")
+
+
+def _by_fold(models: list[TreeEnsemble], prep: Prepared) -> Column:
+    sent = prep.train.sparkSession.sparkContext.broadcast(models)
+
+    @F.pandas_udf("double")
+    def score(fold: pd.Series, *series: pd.Series) -> pd.Series:
+        x, out = np.column_stack([s.to_numpy(np.float64) for s in series]), np.full(len(fold), np.nan)
+        for f, model in enumerate(sent.value):
+            rows = (fold == f).to_numpy()
+            out[rows] = model.probability(model.raw(x[rows]))
+        return pd.Series(out)
+    return score(F.col("fold"), *[F.col(c) for c in prep.columns])
 
 
 def fold_fits(spec: ModelSpec, prep: Prepared, k: int = 5) -> list[tuple[Fitted, float]]:
-    """The model fitted without each fold, and its AUC on that fold; folds fit concurrently."""
-    train = prep.data.filter(F.col("is_test") == 0)
-
-    def one(f: int) -> tuple[Fitted, float]:
-        m = fit(spec, train.filter(F.col("fold") != f), prep.columns)
-        return m, _auc_of(m.score(train.filter(F.col("fold") == f), ["label"]))
-    return _parallel([lambda f=f: one(f) for f in range(k)])
+    """The model fitted without each fold, and its AUC on that fold."""
+    folds = fit_many([spec], prep, list(range(k)))
+    scored = held_out_scores(folds, prep)
+    auc = {r.fold: r.auc for r in EV.grouped_metrics(scored, ["fold"], "label", "prob").collect()}
+    return [(m, auc[f]) for f, m in enumerate(folds[spec.name])]
 
 
 def cross_validate(spec: ModelSpec, prep: Prepared, k: int = 5) -> list[float]:
@@ -207,13 +265,7 @@ def cross_validate(spec: ModelSpec, prep: Prepared, k: int = 5) -> list[float]:
 
 def test_metrics(scored: DataFrame, threshold: float = R.DECISION_THRESHOLD) -> dict:
     """Held-out metrics of one score column (threshold metrics, AUC, AP, Brier)."""
-    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
-    out = EV.threshold_metrics(scored, "label", "prob", threshold).first().asDict()
-    out["auc"] = _auc_of(scored)
-    out["average_precision"] = EV.average_precision(scored, "label", "prob").first()["average_precision"]
-    out["brier"] = EV.brier(scored, "label", "prob").first()["brier"]
-    scored.unpersist()
-    return out
+    return EV.grouped_metrics(scored, [], "label", "prob", threshold).first().asDict()
 
 
 @dataclass
@@ -234,33 +286,44 @@ class Training:
         self.prep, self.k = prepare(feat, k), k
         self.specs = {s.name: s for s in model_specs(sizes)}
         self._models: dict[str, tuple[Fitted, dict, list[Fitted]]] = {}
+        self._held_out: dict[str, DataFrame] = {}
         self._results: dict[bool, TrainResult] = {}
 
+    def _fit(self, names: list[str]) -> None:
+        """Fit and evaluate ``names`` together: all folds and the whole training split at once."""
+        fits = fit_many([self.specs[n] for n in names], self.prep, [*range(self.k), None])
+        held = held_out_scores({n: fits[n][:-1] for n in names}, self.prep)
+        cv = {(r.model, r.fold): r.auc for r in EV.grouped_metrics(held, ["model", "fold"], "label", "prob").collect()}
+        test = self.prep.data.filter(F.col("is_test") == 1)
+        scored = [fits[n][-1].score(test, ["label"]).select(F.lit(n).alias("model"), "label", "prob") for n in names]
+        scored = write_once(reduce(DataFrame.unionByName, scored), "test-scores")
+        found = {r.model: r.asDict() for r in EV.grouped_metrics(scored, ["model"], "label", "prob", R.DECISION_THRESHOLD).collect()}
+        for n in names:
+            aucs = [cv[n, f] for f in range(self.k)]
+            mean = sum(aucs) / len(aucs)
+            met = {"cv_auc": mean, "cv_auc_std": math.sqrt(sum((a - mean) ** 2 for a in aucs) / len(aucs)), "cv_aucs": aucs,
+                   "needs_scale": self.specs[n].needs_scale, **{f"test_{c}": v for c, v in found[n].items() if c != "model"}}
+            self._models[n] = (fits[n][-1], met, fits[n][:-1])
+            self._held_out[n] = held.filter(F.col("model") == n)
+
     def model(self, name: str) -> tuple[Fitted, dict, list[Fitted]]:
         """The model on the whole training split, its metrics, and its fold models."""
         if name not in self._models:
-            spec, data = self.specs[name], self.prep.data
-            # the k fold fits and the final fit are independent: run them together
-            folds, m = _parallel([lambda: fold_fits(spec, self.prep, self.k),
-                                  lambda: fit(spec, data.filter(F.col("is_test") == 0), self.prep.columns)], 2)
-            tm = test_metrics(m.score(data.filter(F.col("is_test") == 1), ["label"]))
-            cv = [auc for _, auc in folds]
-            mean = sum(cv) / len(cv)
-            std = math.sqrt(sum((a - mean) ** 2 for a in cv) / len(cv))
-            self._models[name] = (m, {"cv_auc": mean, "cv_auc_std": std, "cv_aucs": cv, "needs_scale": spec.needs_scale,
-                                      **{f"test_{c}": v for c, v in tm.items()}}, [f for f, _ in folds])
+            self._fit([name])
         return self._models[name]
 
     def result(self, calibrate: bool = True) -> TrainResult:
         """All five models, the best by CV AUC (M6/M7), and the winner calibrated (M8)."""
         if calibrate not in self._results:
-            # models one after another: each already runs its folds concurrently
-            done = {n: self.model(n) for n in self.specs}
+            missing = [n for n in self.specs if n not in self._models]
+            if missing:
+                self._fit(missing)
+            done = {n: self._models[n] for n in self.specs}
             metrics = {n: met for n, (_, met, _) in done.items()}
             best = max(metrics, key=lambda n: metrics[n]["cv_auc"])   # first max, like max() over a dict
             res = TrainResult(self.prep, {n: m for n, (m, _, _) in done.items()}, metrics, best)
             if calibrate:
-                res.calibrated = calibrate_sigmoid(self.specs[best], self.prep, self.k, done[best][2])
+                res.calibrated = _calibrated(done[best][2], self._held_out[best])
                 test = self.prep.data.filter(F.col("is_test") == 1)
                 res.calibrated_metrics = test_metrics(res.calibrated.score(test, ["label"]))
             self._results[calibrate] = res
@@ -284,50 +347,31 @@ class Calibrated:
     members: list[tuple[Fitted, float, float]]
 
     def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        probs = []
-        cur = df
-        for i, (m, a, b) in enumerate(self.members):
-            s = m.score(cur, [*cur.columns])
-            cur = s.select(*cur.columns, (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col("margin") + F.lit(b)))))
-                           .alias(f"_p{i}"))
-            probs.append(F.col(f"_p{i}"))
-        mean = probs[0]
-        for p in probs[1:]:
-            mean = mean + p
-        return cur.select(*keep, (mean / F.lit(float(len(probs)))).alias("prob"))
+        models = [m.model for m, _, _ in self.members]
+        if all(isinstance(m, LinearModel) for m in models):
+            x = F.array(*self.members[0][0].columns)
+            margins = [LinearModel.margin_by({0: m}, F.lit(0), x) for m in models]
+        else:
+            margins = [m.margin(df) for m, _, _ in self.members]
+        probs = [_sigmoid(F.lit(a) * z + F.lit(b)) for z, (_, a, b) in zip(margins, self.members)]
+        return df.select(*keep, (reduce(lambda x, y: x + y, probs) / F.lit(float(len(probs)))).alias("prob"))
 
 
 def platt(scored: DataFrame) -> tuple[float, float]:
-    """Fit P(y=1 | f) = 1 / (1 + exp(-(a f + b))) with Platt's smoothed targets.
+    """Fit P(y=1 | f) = 1 / (1 + exp(-(a f + b))) of (label, margin) with Platt's smoothed targets."""
+    return platt_all(scored.select(F.lit(0).alias("fold"), "label", "margin"))[0]
 
-    Rows are duplicated as (1, t) and (0, 1 - t) weighted observations, so a
-    plain weighted logistic regression on one feature finds the optimum.
-    """
-    row = scored.agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).first()
-    n_pos, n = float(row["p"]), float(row["n"])
-    n_neg = n - n_pos
-    t_pos, t_neg = (n_pos + 1.0) / (n_pos + 2.0), 1.0 / (n_neg + 2.0)
-    t = F.when(F.col("label") == 1.0, F.lit(t_pos)).otherwise(F.lit(t_neg))
-    dup = scored.select(F.explode(F.array(
-        F.struct(F.lit(1.0).alias("label"), t.alias("weight"), F.col("margin").alias("m")),
-        F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - t).alias("weight"), F.col("margin").alias("m")),
-    )).alias("r")).select("r.label", "r.weight", array_to_vector(F.array("r.m")).alias("features"))
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.0,
-                            standardization=False, maxIter=200, tol=1e-10).fit(dup)
-    return float(lr.coefficients[0]), float(lr.intercept)
 
+def _calibrated(folds: list[Fitted], held_out: DataFrame) -> Calibrated:
+    ab = platt_all(held_out)
+    return Calibrated([(m, *ab[f]) for f, m in enumerate(folds)])
 
-def calibrate_sigmoid(spec: ModelSpec, prep: Prepared, k: int = 5, folds: list[Fitted] | None = None) -> Calibrated:
-    """Sigmoid calibration, k-fold ensemble (M8): the base model fitted on k-1
-    folds (``folds`` if they are at hand), Platt on the held-out fold, average the
-    k calibrated probabilities."""
-    train = prep.data.filter(F.col("is_test") == 0)
-    folds = folds or [m for m, _ in fold_fits(spec, prep, k)]
 
-    def one(f: int):
-        a, b = platt(folds[f].score(train.filter(F.col("fold") == f), ["label"]))
-        return (folds[f], a, b)
-    return Calibrated(_parallel([lambda f=f: one(f) for f in range(k)]))
+def calibrate_sigmoid(spec: ModelSpec, prep: Prepared, k: int = 5, folds: list[Fitted] | None = None) -> Calibrated:
+    """Sigmoid calibration, k-fold ensemble (M8): the base model fitted on k-1 folds (``folds`` if they are at hand), Platt
+    on the held-out folds, all at once; the k calibrated probabilities are averaged."""
+    folds = folds or fit_many([spec], prep, list(range(k)))[spec.name]
+    return _calibrated(folds, held_out_scores({spec.name: folds}, prep))
 
 
 # ----------------------------------------------------------------- scoring / importance
@@ -350,11 +394,12 @@ def score_all(res: TrainResult, use_calibrated: bool = True) -> DataFrame:
 def importance(m: Fitted, prep: Prepared, top: int | None = None) -> DataFrame:
     """Tree impurity importance (M11) or |coefficient| on scaled input (M12), all features; ``top`` gives T3."""
     spark = prep.data.sparkSession
+    plain = lambda v: getattr(v, "toArray", lambda: v)().tolist()  # noqa: E731   a Spark ML vector or an array
     if hasattr(m.model, "featureImportances"):
-        vals = m.model.featureImportances.toArray().tolist()
+        vals = plain(m.model.featureImportances)
         kind = "impurity"
     else:
-        vals = [abs(v) for v in m.model.coefficients.toArray().tolist()]
+        vals = [abs(v) for v in plain(m.model.coefficients)]
         kind = "abs_coefficient"
     rows = [(f, float(v), kind) for f, v in zip(prep.feature_names, vals)]
     df = spark.createDataFrame(rows, "feature string, importance double, kind string")
@@ -362,43 +407,72 @@ def importance(m: Fitted, prep: Prepared, top: int | None = None) -> DataFrame:
     return df.limit(top) if top else df
 
 
+#: Rows of one block of the permutation.
+PERMUTED_ROWS = 20_000
+
+
+def permutation_shift(n: int, repeat: int) -> int:
+    """How far repeat ``repeat`` turns the hash order of ``n`` rows: 1 to n - 1."""
+    return 1 + (repeat * 2_654_435_761 + SEED) % (n - 1) if n > 1 else 0
+
+
 def permutation_importance(m: Fitted, prep: Prepared, repeats: int = 10, threshold: float = 0.5) -> DataFrame:
-    """Accuracy drop when one feature is permuted (M13), mean over repeats.
+    """Accuracy drop when one feature is permuted (M13), mean and deviation over repeats.
 
-    Repeat r permutes the test rows by pairing the i-th row in id-hash order
-    with the i-th row in the (r)-hash order. Both orders come from the exact
-    distributed ranker, once for all repeats (grouped by repeat); every
-    (feature, repeat) copy is then scored in a single pass.
+    The test rows are ranked in a hash order of their ids, and a permutation pairs each row with the one a fixed number of ranks
+    on. Rows travel as blocks of ranks, a donor block or two for each block and repeat; no row is copied per feature. Inside a
+    block only the trees that split on a feature are walked again with the donor's value (``TreeEnsemble.permuted_hits``).
     """
     from retentia.functions.draws import uniform
     from retentia.operators.ordered import rank_within
-    cols = prep.columns
-    test = prep.data.filter(F.col("is_test") == 1).select("EmployeeID", "label", *cols)
-    base = m.score(test, ["label"])
-    base_acc = base.agg(F.avg(((F.col("prob") >= threshold).cast("double") == F.col("label")).cast("double"))).first()[0]
-    reps = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-    # row order: by id hash, the same for every repeat
-    rows = rank_within(test.select("*", F.lit(0).alias("_g"), uniform(F.col("EmployeeID"), "perm-id").alias("_h")),
-                       ["_g"], ["_h", "EmployeeID"], rank_col="_rk", size_col="_n").drop("_g", "_h", "_n")
-    # donor order: one hash order per repeat, ranked within the repeat
-    donors = test.select("EmployeeID", F.array(*cols).alias("_donor"), reps)
-    donors = donors.select("*", uniform(F.concat_ws(":", F.col("repeat").cast("string"), F.col("EmployeeID")),
-                                        "perm").alias("_h"))
-    donors = rank_within(donors, ["repeat"], ["_h", "EmployeeID"], rank_col="_rk", size_col="_n") \
-        .select("repeat", "_rk", "_donor")
-    paired = rows.select("*", reps).join(donors, ["repeat", "_rk"])
-    exploded = paired.select("label", "repeat", *cols, "_donor",
-                             F.explode(F.sequence(F.lit(0), F.lit(len(cols) - 1))).alias("j"))
-    permuted = exploded.select("label", "repeat", "j", *[
-        F.when(F.col("j") == i, F.col("_donor")[i]).otherwise(F.col(c)).alias(c) for i, c in enumerate(cols)])
-    scored = m.score(permuted, ["label", "repeat", "j"])
-    acc = scored.groupBy("j", "repeat").agg(
-        F.avg(((F.col("prob") >= threshold).cast("double") == F.col("label")).cast("double")).alias("acc"))
-    imp = acc.groupBy("j").agg((F.lit(base_acc) - F.avg("acc")).alias("importance"),
-                               F.stddev_pop("acc").alias("importance_std"))
-    spark = test.sparkSession
-    names = spark.createDataFrame([(i, n) for i, n in enumerate(prep.feature_names)], "j int, feature string")
-    return F.broadcast(names).join(imp, "j").select("feature", "importance", "importance_std") \
+    cols, k = prep.columns, len(prep.columns)
+    spark = prep.data.sparkSession
+    ship(spark)
+    test = prep.data.filter(F.col("is_test") == 1)
+    n = test.count()
+    names = spark.createDataFrame([(i, f) for i, f in enumerate(prep.feature_names)], "j int, feature string")
+    order = test.select("label", "EmployeeID", *cols, F.lit(0).alias("_g"), uniform(F.col("EmployeeID"), "perm-id").alias("_h"))
+    ranked = rank_within(order, ["_g"], ["_h", "EmployeeID"], rank_col="rank")
+    size = PERMUTED_ROWS
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        return pd.DataFrame({"block": [int(pdf["rank"].iloc[0]) // size], "y": [pdf["label"].to_numpy(np.float64).tobytes()],
+                             "x": [pdf[cols].to_numpy(np.float64).tobytes()]})
+    blocks = write_once(ranked.select("rank", "label", *cols, F.floor(F.col("rank") / size).alias("block"))
+                        .groupBy("block").applyInPandas(pack, "block long, y binary, x binary"), "permutation-blocks")
+    # the donor blocks of a block: ranks first + shift to last + shift, turned over at n
+    last = max(-(-n // size) - 1, 0)
+    shifts = F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(permutation_shift(n, r)).cast("long").alias("shift")) for r in range(repeats)])
+    first, stop = F.col("block") * size, F.least((F.col("block") + 1) * size, F.lit(n)) - 1
+    source = lambda x: F.floor(((x + F.col("shift")) % n) / size)
+    low, high = source(first), source(stop)
+    turned = (first + F.col("shift")) % n > (stop + F.col("shift")) % n
+    need = F.array_distinct(F.when(turned, F.concat(F.sequence(low, F.lit(last).cast("long")), F.sequence(F.lit(0).cast("long"), high)))
+                            .otherwise(F.sequence(low, high)))
+    wanted = blocks.select("block", F.inline(shifts)).select("block", "repeat", "shift", F.explode(F.array_union(need, F.array("block"))).alias("source"))
+    sent = spark.sparkContext.broadcast(m.model)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        block, repeat, shift = int(pdf["block"].iloc[0]), int(pdf["repeat"].iloc[0]), int(pdf["shift"].iloc[0])
+        held = {int(s): np.frombuffer(x).reshape(-1, k) for s, x in zip(pdf["source"], pdf["x"])}
+        y = np.frombuffer(pdf["y"][pdf["source"] == block].iloc[0])
+        x = held[block]
+        rank = (block * size + np.arange(len(x)) + shift) % n
+        donors = np.empty_like(x)
+        for s, rows in held.items():
+            mine = rank // size == s
+            donors[mine] = rows[rank[mine] - s * size]
+        hits = sent.value.permuted_hits(x, y, donors, threshold)
+        plain = sent.value.permuted_hits(x, y, x, threshold)[:1]              # a row that gives to itself changes nothing
+        return pd.DataFrame({"j": np.arange(-1, k, dtype=np.int32), "repeat": repeat, "hits": np.r_[plain, hits]})
+    pairs = wanted.join(blocks.withColumnRenamed("block", "source"), "source")
+    tasks = max(1, min(repeats * (last + 1), 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hits = pairs.repartition(tasks, "block", "repeat").groupBy("block", "repeat").applyInPandas(count, "j int, repeat int, hits long")
+    acc = write_once(hits.groupBy("j", "repeat").agg((F.sum("hits") / F.lit(float(max(n, 1)))).alias("acc")), "permutation-hits")
+    base = acc.filter(F.col("j") == -1).agg(F.max("acc")).first()[0]
+    imp = acc.groupBy("j").agg(F.avg("acc").alias("mean"), F.stddev_pop("acc").alias("importance_std"))
+    return F.broadcast(names).join(imp, "j").select("feature", (F.lit(base) - F.col("mean")).alias("importance"), "importance_std") \
         .orderBy(F.col("importance").desc(), "feature")
 
 

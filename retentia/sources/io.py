@@ -9,6 +9,8 @@ from __future__ import annotations
 import datetime as _dt
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,27 +67,53 @@ def load_model(cls, path: str):
 
 
 def save_fitted(fitted, path: str, spark: SparkSession) -> None:
-    """A fitted retentia model: Spark model + scaler parameters + column order."""
-    save_model(fitted.model, f"{path}/model")
+    """A fitted retentia model: coefficients, tree nodes or a Spark model, with scaler parameters and column order."""
+    from retentia.operators.ensembles import TreeEnsemble
+    from retentia.operators.linear import LinearModel
+    model, kind = fitted.model, type(fitted.model).__name__
+    base, mean = None, None
+    if isinstance(model, LinearModel):
+        base = float(model.intercept)
+        rows = [(i, float(c)) for i, c in enumerate(model.coefficients)]
+        spark.createDataFrame(rows, "pos int, coefficient double").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    elif isinstance(model, TreeEnsemble):
+        base, mean = float(model.base), bool(model.mean)
+        nodes = pd.DataFrame({"node": np.arange(len(model.feature), dtype=np.int32), "feature": model.feature, "threshold": model.threshold,
+                              "child": model.child, "value": model.value, "gain": model.gain,
+                              "is_root": np.isin(np.arange(len(model.feature)), model.roots)})
+        spark.createDataFrame(nodes).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    else:
+        save_model(model, f"{path}/model")
     rows = [(i, c, None if not fitted.scale else float(fitted.scale[c][0]),
              None if not fitted.scale else float(fitted.scale[c][1])) for i, c in enumerate(fitted.columns)]
     spark.createDataFrame(rows, "pos int, column string, mean double, std double") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
-    spark.createDataFrame([(fitted.spec.name, type(fitted.model).__name__)], "spec string, model_class string") \
+    spark.createDataFrame([(fitted.spec.name, kind, base, mean)], "spec string, model_class string, base double, is_mean boolean") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/spec")
 
 
 def load_fitted(spark: SparkSession, path: str):
     from pyspark.ml import classification as C
 
+    from retentia.operators.ensembles import TreeEnsemble
+    from retentia.operators.linear import LinearModel
     from retentia.operators.models import Fitted, model_specs
     spec_row = spark.read.parquet(f"{path}/spec").first()
-    cls = getattr(C, spec_row["model_class"])
-    model = cls.load(f"{path}/model")
     cols = spark.read.parquet(f"{path}/columns").orderBy("pos").collect()
     scale = None if cols and cols[0]["mean"] is None else {r["column"]: (r["mean"], r["std"]) for r in cols}
+    names = [r["column"] for r in cols]
+    if spec_row["model_class"] == "LinearModel":
+        rows = spark.read.parquet(f"{path}/model").orderBy("pos").collect()          # a row per column
+        model = LinearModel(np.array([r["coefficient"] for r in rows]), spec_row["base"], np.array([scale[c][0] for c in names]),
+                            np.array([scale[c][1] for c in names]))
+    elif spec_row["model_class"] == "TreeEnsemble":
+        t = spark.read.parquet(f"{path}/model").orderBy("node").toPandas()           # the model itself
+        model = TreeEnsemble(*[t[c].to_numpy() for c in ("feature", "threshold", "child", "value", "gain")],
+                             t["node"][t["is_root"]].to_numpy(), spec_row["base"], spec_row["is_mean"], len(names))
+    else:
+        model = getattr(C, spec_row["model_class"]).load(f"{path}/model")
     spec = next(s for s in model_specs() if s.name == spec_row["spec"])
-    return Fitted(spec, model, scale, [r["column"] for r in cols])
+    return Fitted(spec, model, scale, names)
 
 
 def save_encodings(spark: SparkSession, encodings: dict, path: str) -> None:

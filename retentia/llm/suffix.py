@@ -39,6 +39,8 @@ SAMPLE = np.dtype([("gram", "<u8"), ("run", "V6"), ("doc", "<i8"), ("row", "<u4"
 STRING = np.dtype([("string", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("at", "<i4")])
 #: A gram with more classes than this is dealt out string by string, not as one bucket.
 HOT_GRAM = 64
+#: Bytes of asked runs in one bucket.
+STRINGS_BYTES = 4 << 20
 #: Keys of at most so many copies (12 bytes each) are sent to all executors; more are joined by shuffle.
 SEND_IDS = 1_000_000
 
@@ -246,6 +248,10 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
     found = stash(source.mapInPandas(_sample(parts, width), BLOB_SCHEMA).groupBy("part")
                   .applyInPandas(_bucket, "doc long, row long, lo int, hi int, tag int, gram long"), "buckets")
     asked = found.where("tag > 0").groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi", "tag", "gram")).alias("runs"))
+    # a run with its bytes grows about tenfold while its strings are compared, so these buckets are small
+    sent = found.where("tag > 0").agg(F.sum(F.when(F.col("tag") == 1, _context(width).itemsize)
+                                            .otherwise((F.col("hi") - F.col("lo") + 1) * STRING.itemsize))).first()[0] or 0
+    parts = n_parts(spark, sent, STRINGS_BYTES)
     strings = source.join(asked, ["doc", "row"]).mapInPandas(_strings(parts, width), BLOB_SCHEMA)
     more = stash(strings.groupBy("part").applyInPandas(_merge(parts, width), "doc long, row long, lo int, hi int"), "strings")
     covered = found.where("tag = 0").select("doc", "row", "lo", "hi").union(more) \

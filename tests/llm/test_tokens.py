@@ -166,3 +166,34 @@ def test_store_of_repeated_null_and_no_documents(spark, documents):
     assert [g[0] for g in got] == [0, 1, 3, 3] and sorted(g[1] for g in got) == [0, 2, 3, got[-1][1]] and sum(g[2] for g in got) == 8
     path = tokenstore.write_store(documents([]), WORD)
     assert tokenstore.look_up(spark, path, docs.select("doc_id")).count() == 0
+
+
+def test_hot_doc_id_spans_shards(spark, documents):
+    t = bpe.Bpe(bpe.read_json(WORD), "word").tokenizer
+    rows = [(k, f"text {k}") for k in range(60)] + [(30, f"hot {k % 7}") for k in range(60)] + [(None, "same null")] * 40
+    path = tokenstore.write_store(documents(rows).repartition(5), WORD, docs_per_shard=8)
+    shards = spark.read.parquet(f"{path}/starts").collect()
+    assert sum(r.first_key == 30 for r in shards) > 3 and sum(r.first_key == tokenstore.NULL_DOC for r in shards) > 2
+    pages = spark.read.parquet(f"{path}/shards").where("page >= 0").count()
+    assert pages == len(shards)
+    got = tokenstore.look_up(spark, path, documents(rows).select("doc_id")).collect()
+    sizes = lambda x: len(t.encode(x, add_special_tokens=False).ids) + 1
+    assert sorted(((r.doc_id is not None, r.doc_id), r.n_tokens) for r in got) == sorted(((i is not None, i), sizes(x)) for i, x in rows)
+    # the places tile the corpus in doc_id order
+    by_start = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in by_start] == np.r_[0, np.cumsum([r.n_tokens for r in by_start])[:-1]].tolist()
+    assert [r.doc_id for r in by_start] == sorted((r.doc_id for r in got), key=lambda d: (d is not None, d or 0))
+    # one key opens one bucket; more rows than the store has get no answer
+    one = tokenstore.look_up(spark, path, spark.createDataFrame([(7,), (7,)], "doc_id long")).collect()
+    assert [(r.doc_id, r.n_tokens) for r in one] == [(7, sizes("text 7"))]
+
+
+def test_long_document_over_pages(spark, documents, monkeypatch):
+    monkeypatch.setattr(tokenstore, "PAGE", 64)
+    t = bpe.Bpe(bpe.read_json(WORD), "word").tokenizer
+    rows = [(1, "word " * 500), (2, ""), (3, "a b c")]
+    path = tokenstore.write_store(documents(rows), WORD)
+    got = {r.doc_id: r for r in tokenstore.look_up(spark, path, documents(rows).select("doc_id")).collect()}
+    for i, x in rows:
+        ids = t.encode(x, add_special_tokens=False).ids + [1]
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))

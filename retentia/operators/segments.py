@@ -9,12 +9,12 @@ distinct-value histogram in range partitions, so no task ever holds a whole colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retentia import reference_data as R
 from retentia.functions.numeric import np_round, stable6
-from retentia.operators.ordered import running_totals
+from retentia.operators.selection import quantiles
 
 # ----------------------------------------------------------------- dimensions
 
@@ -95,9 +95,9 @@ def complete_ordered(agg: DataFrame, dim: DataFrame, key: str, ord_col: str, fil
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Counts with share of total (A5/R1); the window runs on the aggregated rows."""
+    """Counts with share of total (A5/R1); the total is a scalar subquery."""
     agg = df.groupBy(col).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    return agg.select(col, "n", stable6(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+    return agg.select(col, "n", stable6(F.col("n") / df.select(F.count(F.lit(1)).alias("total")).scalar()).alias("share"))
 
 
 def risk_breakdown(df: DataFrame, spark: SparkSession, col: str = "RiskCategory") -> DataFrame:
@@ -132,43 +132,22 @@ def spread_of_rates(df: DataFrame, cols: list[str], outcome: str = "LeavingBinar
 
 
 def quantiles_long(df: DataFrame, cols: list[str], qs: list[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas/numpy default) per column.
+    """Exact linear-interpolation quantiles (pandas/numpy default) per column: column, q, value.
 
-    Works on the distinct-value histogram of each column: one aggregate by
-    (column, value), running counts over range partitions of (column, value), so
-    a column of all-distinct values is split, then the two order statistics
-    around (n - 1) * q. Output: column, q, value.
+    Order statistics come from counts of value prefixes (``selection``), so no row is sorted or shuffled. A column
+    without values has no rows.
     """
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("kv"))
-    hist = (stacked.select("kv.column", "kv.v").filter(F.col("v").isNotNull())
-            .groupBy("column", "v").agg(F.count(F.lit(1)).alias("c")))
-    total = hist.groupBy("column").agg(F.sum("c").alias("n"))
-    cum = running_totals(hist, "v", ["c"], descending=False, prefix="cum_", group_cols=["column"]) \
-        .select("column", "v", F.col("cum_c").alias("cum")).join(total, "column")
-    aggs = []
-    for i, q in enumerate(qs):
-        h = (F.col("n") - 1) * F.lit(float(q))
-        lo = F.floor(h)
-        aggs += [F.min(F.when(F.col("cum") > lo, F.col("v"))).alias(f"lo{i}"),
-                 F.min(F.when(F.col("cum") > lo + 1, F.col("v"))).alias(f"hi{i}"),
-                 F.first(h - lo).alias(f"fr{i}")]
-    per = cum.groupBy("column").agg(*aggs)
-    rows = []
-    for i, q in enumerate(qs):
-        hi = F.coalesce(F.col(f"hi{i}"), F.col(f"lo{i}"))
-        val = F.col(f"lo{i}") + (hi - F.col(f"lo{i}")) * F.col(f"fr{i}")
-        rows.append(F.struct(F.lit(float(q)).alias("q"), val.alias("value")))
-    return per.select("column", F.explode(F.array(*rows)).alias("r")).select("column", "r.q", "r.value")
+    got = quantiles(df, {c: F.col(c) for c in cols}, qs)
+    rows = [(c, float(q), v) for c, values in got.items() for q, v in zip(qs, values) if v is not None]
+    return df.sparkSession.createDataFrame(rows, "column string, q double, value double")
 
 
 def prob_spread(df: DataFrame, col: str = "LeavingProb_True") -> DataFrame:
     """min, max, mean, median, P10, P90 of one column (A13), one row."""
     base = df.agg(F.min(col).alias("min"), F.max(col).alias("max"), F.avg(col).alias("mean"))
-    qs = quantiles_long(df, [col], [0.5, 0.1, 0.9]).groupBy().pivot("q", [0.5, 0.1, 0.9]).agg(F.first("value"))
-    qs = qs.toDF("median", "p10", "p90")
+    qs = zip(["median", "p10", "p90"], quantiles(df, {col: F.col(col)}, [0.5, 0.1, 0.9])[col])
     return base.select(*[stable6(F.col(c)).alias(c) for c in ["min", "max", "mean"]],
-                       *[stable6(qs.select(c).scalar()).alias(c) for c in ["median", "p10", "p90"]])
+                       *[stable6(F.lit(v).cast("double")).alias(c) for c, v in qs])
 
 
 def describe(df: DataFrame, cols: list[str], percentiles=(0.25, 0.5, 0.75), digits: int = 3) -> DataFrame:
@@ -179,10 +158,9 @@ def describe(df: DataFrame, cols: list[str], percentiles=(0.25, 0.5, 0.75), digi
                .agg(F.count(F.lit(1)).cast("bigint").alias("count"), F.avg("v").alias("mean"),
                     F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")))
     names = [f"p{int(round(p * 100))}" for p in percentiles]
-    q = quantiles_long(df, cols, list(percentiles)).groupBy("column").pivot("q", [float(p) for p in percentiles]) \
-        .agg(F.first("value"))
-    q = q.toDF("column", *names)
-    out = moments.join(q, on="column", how="inner")
+    got = quantiles(df, {c: F.col(c) for c in cols}, list(percentiles))
+    q = df.sparkSession.createDataFrame([(c, *v) for c, v in got.items()], "column string, " + ", ".join(f"{n} double" for n in names))
+    out = moments.join(F.broadcast(q), on="column", how="inner")          # a row per column
     rnd = [np_round(F.col(c), digits).alias(c) for c in ["mean", "std", "min", *names, "max"]]
     return out.select("column", "count", *rnd)
 
@@ -233,8 +211,9 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
                       stable6(lo + (F.col("bin") + 1) * width).alias("bin_hi"), "count").orderBy("bin")
 
 
-def grouped_density(df: DataFrame, group: str, col: str, bins: int) -> DataFrame:
-    """Per-group density histogram, each group on its own [min, max].
+def grouped_density(df: DataFrame, group: str, col: str, bins: int, marks: dict[str, float] | None = None) -> DataFrame:
+    """Per-group density histogram, each group on its own [min, max] (A18/A19); ``marks`` (name -> value) are lines
+    drawn over it, a constant column each.
 
     Rows of a NULL group are left out, as a group-by in pandas does. The group
     range table has one row per group value; empty bins come from exploding
@@ -254,7 +233,8 @@ def grouped_density(df: DataFrame, group: str, col: str, bins: int) -> DataFrame
     out = cells.join(counts, [group, "bin"], "left").fillna({"count": 0})
     return out.select(group, "bin", stable6(F.col("lo") + F.col("bin") * width).alias("bin_lo"),
                       stable6(F.col("lo") + (F.col("bin") + 1) * width).alias("bin_hi"), "count",
-                      stable6(F.try_divide(F.col("count"), F.col("N") * width)).alias("density"))
+                      stable6(F.try_divide(F.col("count"), F.col("N") * width)).alias("density"),
+                      *[F.lit(float(v)).alias(n) for n, v in (marks or {}).items()])
 
 
 # ----------------------------------------------------------------- KPIs / personas

@@ -206,7 +206,8 @@ def q_hist_ratio_by_leaving(spark, sf):
 
 @query
 def q_hist_prob_by_leaving(spark, sf):
-    return SG.grouped_density(scored_table(spark, sf), "Leaving", "LeavingProb", 50)
+    """Densities with the three risk cut-offs to draw over them."""
+    return SG.grouped_density(scored_table(spark, sf), "Leaving", "LeavingProb", 50, {f"cut_{k.lower()}": v for k, v in R.RISK_THRESHOLDS.items()})
 
 
 @query
@@ -457,6 +458,12 @@ def q_calibrated_scores(spark, sf):
     return raw.drop("margin").join(cal, "EmployeeID")
 
 
+@query
+def q_calibrated_percentiles(spark, sf):
+    """Percentiles of the raw and the calibrated probability of the best model on held-out rows."""
+    return SG.describe(q_calibrated_scores(spark, sf), ["raw_prob", "calibrated_prob"], (0.1, 0.25, 0.5, 0.75, 0.9), digits=4)
+
+
 @query
 def q_score_all(spark, sf):
     return MD.score_all(trained(spark, sf))

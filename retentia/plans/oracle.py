@@ -179,7 +179,7 @@ ORACLES["q_corr_with_prob"] = with_base(" UNION ALL ".join(
     f"SELECT '{c}' AS feature, {_r6(f'corr({c}, LeavingProb)')} AS corr FROM scored"
     for c in R.DESCRIBE_COLUMNS))
 
-def _hist_grouped(table: str, group: str, col: str, bins: int) -> str:
+def _hist_grouped(table: str, group: str, col: str, bins: int, marks: dict[str, float] | None = None) -> str:
     return f"""
 _r AS (SELECT {group}, min({col}) AS lo, max({col}) AS hi, count(*) AS N FROM {table} WHERE {col} IS NOT NULL GROUP BY {group}),
 _c AS (
@@ -189,6 +189,7 @@ _c AS (
 SELECT r.{group}, b.bin, {_r6(f'r.lo + b.bin * ((r.hi - r.lo) / {bins}.0)')} AS bin_lo,
   {_r6(f'r.lo + (b.bin + 1) * ((r.hi - r.lo) / {bins}.0)')} AS bin_hi, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count,
   {_r6(f'coalesce(c.cnt, 0) / nullif(r.N * ((r.hi - r.lo) / {bins}.0), 0)')} AS density
+  {''.join(f', {v}::DOUBLE AS {n}' for n, v in (marks or {}).items())}
 FROM _r r CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range({bins})) b
 LEFT JOIN _c c ON c.{group} = r.{group} AND c.bin = b.bin"""
 
@@ -208,7 +209,8 @@ SELECT b.bin, {_r6('r.lo + b.bin * ((r.hi - r.lo) / 50.0)')} AS bin_lo,
   {_r6('r.lo + (b.bin + 1) * ((r.hi - r.lo) / 50.0)')} AS bin_hi, CAST(coalesce(c.cnt, 0) AS BIGINT) AS count
 FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(50)) b CROSS JOIN _r r LEFT JOIN _c c ON c.bin = b.bin""")
 ORACLES["q_hist_ratio_by_leaving"] = _with_extra(_hist_grouped("emp", "Leaving", "MarketRateRatio", 35))
-ORACLES["q_hist_prob_by_leaving"] = _with_extra(_hist_grouped("scored", "Leaving", "LeavingProb", 50))
+ORACLES["q_hist_prob_by_leaving"] = _with_extra(_hist_grouped(
+    "scored", "Leaving", "LeavingProb", 50, {f"cut_{k.lower()}": v for k, v in R.RISK_THRESHOLDS.items()}))
 
 ORACLES["q_kpis"] = with_base(f"""
 SELECT CAST(count(*) AS BIGINT) AS total,

@@ -44,8 +44,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Keys of one task of the derived table: their columns cost much more than reading them.
+KEYS_PER_TASK = 5_000
+
+
+def spread_keys(keys: DataFrame, column: str) -> DataFrame:
+    """``column`` dealt to a task per ``KEYS_PER_TASK`` rows, if its files alone would make fewer; by row count, not by cores."""
+    wanted = -(-keys.count() // KEYS_PER_TASK)
+    narrow = keys.select(column)
+    return narrow.repartition(wanted) if wanted > narrow.rdd.getNumPartitions() else narrow
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emp = population.employees_from_orders(read_table(spark, sf_dir, "orders"))
+    emp = population.employees_from_orders(spread_keys(read_table(spark, sf_dir, "orders"), "o_orderkey"))
     feat = features.engineer(emp)
     return explain.score_with(feat, scorecard.prob_from_logit(scorecard.logit_column()))
 

@@ -143,8 +143,8 @@ def _strings(parts: int, width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches, "data", 3 << 20):
             out, near = [], []
-            for doc, row, data, runs in zip(pdf.doc, pdf.row, pdf.data, pdf.runs):
-                lo, hi, tag, gram = (np.array([r[k] for r in runs], np.int64) for k in ("lo", "hi", "tag", "gram"))
+            for doc, row, data, *runs in zip(pdf.doc, pdf.row, pdf.data, pdf.lo, pdf.hi, pdf.tag, pdf.gram):
+                lo, hi, tag, gram = (np.asarray(r, np.int64) for r in runs)
                 b = np.frombuffer(data, np.uint8)
                 one = tag == 1
                 if one.any():
@@ -214,12 +214,12 @@ def _pieces(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, row, n, whole, runs in zip(pdf["__doc"], pdf["__row"], pdf.n, pdf.whole, pdf.runs):
-                spans = [(0, n)] if whole else merge_runs(*(np.array([r[k] for r in runs], np.int64) for k in ("lo", "hi")), width, n)
-                edge = [0, *(x for s in spans for x in s), n]
-                rows.append((doc, row, sum(b - a for a, b in spans), len(spans),
-                             [{"at": a, "size": b - a} for a, b in zip(edge[::2], edge[1::2]) if b > a]))
-            yield pd.DataFrame(rows, columns=["__doc", "__row", "__removed", "__spans", "__pieces"])
+            for doc, row, n, whole, lo, hi in zip(pdf["__doc"], pdf["__row"], pdf.n, pdf.whole, pdf.lo, pdf.hi):
+                spans = [(0, n)] if whole else merge_runs(np.asarray(lo, np.int64), np.asarray(hi, np.int64), width, n)
+                edge = np.array([0, *(x for s in spans for x in s), n], np.int32)
+                at, size = edge[::2], np.diff(edge)[::2]
+                rows.append((doc, row, sum(b - a for a, b in spans), len(spans), at[size > 0], size[size > 0]))
+            yield pd.DataFrame(rows, columns=["__doc", "__row", "__removed", "__spans", "__at", "__size"])
     return run
 
 
@@ -247,7 +247,9 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
     parts = n_parts(spark, body, 8 << 20)
     found = stash(source.mapInPandas(_sample(parts, width), BLOB_SCHEMA).groupBy("part")
                   .applyInPandas(_bucket, "doc long, row long, lo int, hi int, tag int, gram long"), "buckets")
-    asked = found.where("tag > 0").groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi", "tag", "gram")).alias("runs"))
+    # lists of numbers, not of records: a worker reads them as arrays
+    asked = found.where("tag > 0").groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi", "tag", "gram")).alias("runs")) \
+        .select("doc", "row", *[F.col(f"runs.{c}").alias(c) for c in ("lo", "hi", "tag", "gram")])
     # a run with its bytes grows about tenfold while its strings are compared, so these buckets are small
     sent = found.where("tag > 0").agg(F.sum(F.when(F.col("tag") == 1, _context(width).itemsize)
                                             .otherwise((F.col("hi") - F.col("lo") + 1) * STRING.itemsize))).first()[0] or 0
@@ -255,10 +257,12 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
     strings = source.join(asked, ["doc", "row"]).mapInPandas(_strings(parts, width), BLOB_SCHEMA)
     more = stash(strings.groupBy("part").applyInPandas(_merge(parts, width), "doc long, row long, lo int, hi int"), "strings")
     covered = found.where("tag = 0").select("doc", "row", "lo", "hi").union(more) \
-        .groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    marks = stash(sizes.join(covered, ["__doc", "__row"], "left").where("whole or runs is not null")
-                  .mapInPandas(_pieces(width), "__doc long, __row long, __removed long, __spans long, __pieces array<struct<at: int, size: int>>"), "marks")
-    cut = lambda k, p: F.concat(k, F.substring("__data", p["at"] + 1, p["size"]))
+        .groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")) \
+        .select("__doc", "__row", *[F.col(f"runs.{c}").alias(c) for c in ("lo", "hi")])
+    marks = stash(sizes.join(covered, ["__doc", "__row"], "left").where("whole or lo is not null")
+                  .mapInPandas(_pieces(width), "__doc long, __row long, __removed long, __spans long, __at array<int>, __size array<int>")
+                  .select("*", F.arrays_zip("__at", "__size").alias("__pieces")).drop("__at", "__size"), "marks")
+    cut = lambda k, p: F.concat(k, F.substring("__data", p["__at"] + 1, p["__size"]))
     return docs.withColumns({"__row": key, "__doc": F.col("doc_id")}).join(marks, ["__doc", "__row"], "left").withColumn("__data", utf8()) \
         .withColumn("__kept", F.when(F.col("__pieces").isNull(), F.col("__data"))
                     .otherwise(F.aggregate("__pieces", F.lit("").cast("binary"), cut)))

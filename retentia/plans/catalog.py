@@ -17,7 +17,7 @@ from retentia.functions.numeric import stable6
 from retentia.operators import features as FE
 from retentia.operators import population, scorecard
 from retentia.operators.population import EMPLOYEE_COLUMNS
-from retentia.sources.tables import employees, feature_table, read_table, scored_table
+from retentia.sources.tables import employees, feature_table, read_table, lookup_table, rollup_store, scored_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -248,20 +248,42 @@ def q_lookup_filter(spark, sf):
 
 @query
 def q_lookup_top200(spark, sf):
-    """Flagship dashboard query: filter -> highest risk first -> first 200."""
-    df = SG.lookup_filter(scored_table(spark, sf), "All", ["Critical", "High"], [])
-    return SG.top_by_risk(df, 200)
+    """Flagship dashboard query: filter -> highest risk first -> first 200, from the files of the highest scores."""
+    return lookup_table(spark, sf).top(200, F.col("RiskCategory").isin("Critical", "High")).select(*R.LOOKUP_COLUMNS)
 
 
 @query
 def q_lookup_ids(spark, sf):
-    df = SG.lookup_filter(scored_table(spark, sf), "All", ["Critical", "High"], [])
-    return SG.top_by_risk(df, 50, ["EmployeeID"])
+    return lookup_table(spark, sf).top(50, F.col("RiskCategory").isin("Critical", "High")).select("EmployeeID")
 
 
 @query
 def q_employee_detail(spark, sf):
-    return SG.employee_detail(scored_table(spark, sf), DETAIL_ID)
+    return SG.employee_detail(lookup_table(spark, sf).point(DETAIL_ID), DETAIL_ID)
+
+
+@query
+def q_rollup_rates(spark, sf):
+    """The rates of all dimensions from the partial aggregates of the scored files (A2)."""
+    return rollup_store(spark, sf).rates(R.RATE_DIMENSIONS, "LeavingBinary")
+
+
+@query
+def q_rollup_spread(spark, sf):
+    """Spread of the rates of each dimension from partial aggregates."""
+    return rollup_store(spark, sf).spread(R.SPREAD_COLUMNS, "LeavingBinary")
+
+
+@query
+def q_rollup_pivot_dept_gender(spark, sf):
+    """Rates by department and gender from partial aggregates."""
+    return rollup_store(spark, sf).pivot("Department", "Gender", R.GENDERS, "LeavingBinary")
+
+
+@query
+def q_rollup_kpis(spark, sf):
+    """The KPI row from partial aggregates."""
+    return rollup_store(spark, sf).kpis()
 
 
 @query

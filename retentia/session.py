@@ -53,12 +53,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_once(df: DataFrame, name: str) -> DataFrame:
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder under the shared one."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/retentia-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into a new folder under the shared one and read it back."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/retentia-tables/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = path or shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

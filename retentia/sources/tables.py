@@ -6,8 +6,11 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from retentia import reference_data as R
 from retentia.operators import explain, features, population, scorecard
-from retentia.session import write_once
+from retentia.operators.rollup import RollupStore
+from retentia.session import shared_folder, write_once
+from retentia.sources.layout import FILES, LaidOut, lay_out
 
 BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -21,6 +24,9 @@ BASE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "li
 # the optimizer (joins and filters over the ~150 stacked aliased population
 # expressions otherwise make constraint inference run for minutes or OOM).
 _CACHE: dict[tuple[str, str], DataFrame] = {}
+_FOLDERS: dict[tuple[str, str], str] = {}
+_LAID_OUT: dict[tuple[str, str], LaidOut] = {}
+_ROLLUPS: dict[tuple[str, str], RollupStore] = {}
 _CACHE_ON = {"enabled": True}
 
 
@@ -29,7 +35,8 @@ def enable_cache(on: bool = True) -> None:
 
 
 def clear_cache() -> None:
-    _CACHE.clear()
+    for kept in (_CACHE, _FOLDERS, _LAID_OUT, _ROLLUPS):
+        kept.clear()
 
 
 def source_state(spark: SparkSession, path: str) -> str:
@@ -49,10 +56,9 @@ KEYS_PER_TASK = 5_000
 
 
 def spread_keys(keys: DataFrame, column: str) -> DataFrame:
-    """``column`` dealt to a task per ``KEYS_PER_TASK`` rows, if its files alone would make fewer; by row count, not by cores."""
-    wanted = -(-keys.count() // KEYS_PER_TASK)
-    narrow = keys.select(column)
-    return narrow.repartition(wanted) if wanted > narrow.rdd.getNumPartitions() else narrow
+    """``column`` in ranges of ``KEYS_PER_TASK`` rows, ``FILES`` at least: by row count, not by cores. What is derived from it and
+    written has files that are ranges of the key."""
+    return keys.select(column).repartitionByRange(max(FILES, -(-keys.count() // KEYS_PER_TASK)), column)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,11 +71,35 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """features + LeavingProb (scorecard probability, 4dp) + RiskCategory (67 columns)."""
     if not _CACHE_ON["enabled"]:
         return _scored(spark, sf_dir)
+    return _CACHE[_built(spark, sf_dir)]
+
+
+def _built(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The key of the written scored table, which is written first if need be."""
     state = source_state(spark, f"{sf_dir.rstrip('/')}/orders.parquet")
     key = (spark.sparkContext.applicationId, hashlib.md5(state.encode()).hexdigest())
     if key not in _CACHE:
-        _CACHE[key] = write_once(_scored(spark, sf_dir), "scored")
-    return _CACHE[key]
+        _FOLDERS[key] = shared_folder(spark, "scored")
+        _CACHE[key] = write_once(_scored(spark, sf_dir), "scored", _FOLDERS[key])
+    return key
+
+
+def lookup_table(spark: SparkSession, sf_dir: str) -> LaidOut:
+    """The scored table laid out for lookups (W4, W5, T1, T2); made once, beside it."""
+    key = _built(spark, sf_dir)
+    if key not in _LAID_OUT:
+        _LAID_OUT[key] = lay_out(_CACHE[key], "lookup", "EmployeeID", "LeavingProb", R.LOOKUP_COLUMNS, clustered=True)
+    return _LAID_OUT[key]
+
+
+def rollup_store(spark: SparkSession, sf_dir: str) -> RollupStore:
+    """Partial aggregates of the scored table's files, up to date."""
+    key = _built(spark, sf_dir)
+    if key not in _ROLLUPS:
+        dims = [*R.RATE_DIMENSIONS, ("Department", "Gender"), ("LevelBand", "ShiftType"), ("Gender", "OverTime"), ("Leaving", "RiskCategory")]
+        _ROLLUPS[key] = RollupStore(spark, shared_folder(spark, "rollup"), _FOLDERS[key], dims, ["LeavingBinary", "LeavingProb"])
+    _ROLLUPS[key].refresh()
+    return _ROLLUPS[key]
 
 
 def employees(spark: SparkSession, sf_dir: str) -> DataFrame:

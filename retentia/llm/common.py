@@ -7,15 +7,21 @@ and retries the work; the JVM moves a few long rows instead of many short ones.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import inspect
+import sys
 import tempfile
+import time
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +66,61 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+#: Modules whose worker functions use the tokenizer tables that a worker keeps.
+TOKENISERS = ("packing", "tokenstore", "chunked", "bpe")
+_trimmed = [0.0]
+
+
+def trim(pause: float = 0.0) -> None:
+    """Give freed memory back to the system: Spark reuses Python workers, and an idle one keeps its peak otherwise. At most
+    once in ``pause`` seconds."""
+    if time.monotonic() - _trimmed[0] < pause:
+        return
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):       # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+    _trimmed[0] = time.monotonic()
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` (a generator over batches, or a function of one group) in a worker that is small before and after: tokenizer
+    tables that an earlier operator left go if this one has no use for them, and freed memory is given back."""
+    def forget() -> None:
+        held = getattr(sys.modules.get("retentia.llm.bpe"), "_held", None)
+        if held and run.__module__.rsplit(".", 1)[-1] not in TOKENISERS:
+            held.clear()
+            trim()
+
+    def batches(source):
+        forget()
+        try:
+            yield from run(source)
+        finally:
+            trim()
+
+    def group(pdf):
+        forget()
+        out = run(pdf)
+        trim(0.5)
+        return out
+    return batches if inspect.isgeneratorfunction(run) else group
+
+
+REST = "__rest"
+
+
+def aside(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` as its ``own`` columns and one struct of all others, so that no other column meets an operator's own names,
+    and a function that gives a result its columns back (``new`` ones in place of own ones)."""
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    rest = [c for c in docs.columns if c not in own]
+    packed = docs.select(*own, *([F.struct(*[quoted(c).alias(c) for c in rest]).alias(REST)] if rest else []))
+
+    def restore(df: DataFrame, **new: Column) -> DataFrame:
+        return df.select(*[(new.get(c, F.col(c)) if c in own else F.col(REST).getField(c)).alias(c) for c in docs.columns])
+    return packed, restore
+
+
 def scatter(part: np.ndarray, records: np.ndarray) -> pd.DataFrame:
     """One row (part, blob) per reducer that gets records."""
     order = np.argsort(part, kind="stable")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, gather, n_parts, scatter, slices, stash, utf8
+from .common import BLOB_SCHEMA, aside, gather, lean, n_parts, scatter, slices, stash, utf8
 from .graph import components
 from .hashing import U64, mix, shingles, word_hashes
 
@@ -240,15 +240,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
         raise ValueError("the match threshold is set for similarities of 0.8 or more")
     spark, tol = docs.sparkSession, num / den
     docs = docs.select("doc_id", "text")
-    feat = stash(docs.select("doc_id", utf8().alias("data")).mapInPandas(_features(width), "doc_id long, n long, k1 long, k2 long, sig binary"), "minhash")
+    feat = stash(docs.select("doc_id", utf8().alias("data")).mapInPandas(lean(_features(width)), "doc_id long, n long, k1 long, k2 long, sig binary"), "minhash")
     real = feat.where("n > 0 and doc_id is not null")
     reps = stash(real.groupBy("n", "k1", "k2").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
                  .select("n", "k1", "k2", F.col("first.doc_id").alias("rep"), F.col("first.sig").alias("sig")), "reps")
     classes = reps.select("n", "k1", "k2", "rep")
     # 64 postings of 16 bytes a class, 4 million to a reducer
     parts = n_parts(spark, reps.count() * COORDS, 2_000_000)
-    lists = reps.select("rep", "sig").mapInPandas(_post(parts), BLOB_SCHEMA).groupBy("part").applyInPandas(_count(parts), BLOB_SCHEMA)
-    prefix = stash(lists.groupBy("part").applyInPandas(_prefix, "rep long, key long, weight long"), "prefix")
+    lists = reps.select("rep", "sig").mapInPandas(lean(_post(parts)), BLOB_SCHEMA).groupBy("part").applyInPandas(lean(_count(parts)), BLOB_SCHEMA)
+    prefix = stash(lists.groupBy("part").applyInPandas(lean(_prefix), "rep long, key long, weight long"), "prefix")
     prefix = stash(prefix.join(prefix.groupBy("key").count().where("count > 1").select("key"), "key"), "met")
 
     # each class to the most central one it meets
@@ -258,15 +258,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     side = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
     hubs = side("a").join(_sent(star.select("a").distinct()), "a", "left_semi")
     star = side("b").join(_sent(star), "b").join(hubs, "a").where(F.least("na", "nb") >= F.lit(tol) * F.greatest("na", "nb"))
-    star = stash(star.mapInPandas(_enough, "a long, b long"), "star")
+    star = stash(star.mapInPandas(lean(_enough), "a long, b long"), "star")
 
     # the full sets of the classes that are in a prefix list
     cand = stash(prefix.select("rep").distinct(), "candidates")
     sets = stash(docs.join(_sent(cand.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi").select("doc_id", utf8().alias("data"))
-                 .mapInPandas(_sets(width), "rep long, words binary"), "sets")
+                 .mapInPandas(lean(_sets(width)), "rep long, words binary"), "sets")
     side = lambda c: sets.select(F.col("rep").alias(c), F.col("words").alias(f"w{c}"))
     hubs = side("a").join(_sent(star.select("a").distinct()), "a", "left_semi")
-    links = stash(side("b").join(_sent(star), "b").join(hubs, "a").mapInPandas(_confirm(num, den), "a long, b long"), "links")
+    links = stash(side("b").join(_sent(star), "b").join(hubs, "a").mapInPandas(lean(_confirm(num, den)), "a long, b long"), "links")
 
     # lists that still hold different components: their classes that may match, connected into clusters
     lab = stash(prefix.join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
         .withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) \
         .select(F.col("key").alias("g"), F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "root", "n", "sig")
-    maybe = stash(open_.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(_collide(tol), "a long, b long").distinct(), "maybe")
+    maybe = stash(open_.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(lean(_collide(tol)), "a long, b long").distinct(), "maybe")
 
     # inside a cluster the components are compared on full sets; blocks of one component are not compared with each other
     member = components(links.union(maybe)).select(F.col("node").alias("rep"), F.col("root").alias("g")) \
@@ -293,7 +293,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     other = member.select("g", F.col("blk").alias("other"), F.col("pure").alias("other_pure")).distinct()
     pairs = member.join(other, "g").where(F.coalesce(F.col("pure") != F.col("other_pure"), F.lit(True))) \
         .select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "root")
-    more = sets.join(_sent(stash(pairs, "pairs")), "rep").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(_exact(num, den), "a long, b long")
+    more = sets.join(_sent(stash(pairs, "pairs")), "rep").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(lean(_exact(num, den)), "a long, b long")
     links = stash(links.union(more), "all-links")
 
     root = components(links).withColumnRenamed("node", "rep")
@@ -316,6 +316,7 @@ def keep_first(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (8
 
     Rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs, width, similarity).where("doc_id is not null and not kept").select("doc_id").distinct()
+    packed, restore = aside(docs)
+    gone = near_duplicates(packed, width, similarity).where("doc_id is not null and not kept").select("doc_id").distinct()
     gone = _sent(stash(gone.withColumnRenamed("doc_id", "__gone"), "gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return restore(packed.join(gone, packed["doc_id"] == F.col("__gone"), "left_anti"))

@@ -4,8 +4,8 @@ Pieces are packed by length alone: a histogram of lengths (at most ``capacity``
 corpus' size) is planned on the driver, largest first, and every piece then finds its place by its
 rank among the pieces of its length. A bin has residual capacities for tokens, documents and attention
 cost (the sum of squared lengths). Equal bins are held as one entry with a count, so a step places as
-many equal pieces as fit. Among the bins with room in every dimension the one with the largest weighted dot product
-of demand and residual, or the smallest weighted residual norm, gets the piece.
+many equal pieces as fit. Among the bins with room in every dimension the one with the smallest weighted dot product
+of demand and residual (the fullest where the demand is largest), or the smallest weighted norm of what is left, gets the piece.
 
 Ranks come from (length, salt) groups, so a length that a third of all pieces have is dealt out, and
 only one count per group is summed up over groups.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, read_json
-from .common import n_parts, slices, stash
+from .common import lean, n_parts, slices, stash
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     model = spark.sparkContext.broadcast((read_json(tokenizer), "byte"))
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     pieces = stash(text.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-                   .mapInPandas(_pieces(model, capacity, end_id), PIECES), "pieces")
+                   .mapInPandas(lean(_pieces(model, capacity, end_id)), PIECES), "pieces")
     counts = pieces.groupBy("length").count()
     hist = {r.length: r["count"] for r in counts.collect()}          # at most ``capacity`` rows
     steps = plan(hist, capacity, max_docs or capacity, max_attention or capacity * capacity, weights, rule)

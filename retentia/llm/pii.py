@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import aside, stash
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT, CONFIDENCE, ROUNDS = 8, 0.95, 3
@@ -219,7 +219,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of ``text`` replaced by ``[KIND]``; of overlapping spans the leftmost counts."""
-    found = find(docs)
+    packed, restore = aside(docs)
+    found = find(packed)
     label = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     order = F.array_sort(F.transform(F.concat("__base", "__added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
 
@@ -230,4 +231,4 @@ def redact(docs: DataFrame) -> DataFrame:
     done = F.aggregate(order, F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), step,
                        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["end"] + 1, F.length("text"))))
     text = F.when((F.size("__base") > 0) | (F.size("__added") > 0), done).otherwise(F.col("text"))
-    return found.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return restore(found, text=text)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_SCHEMA, gather, n_parts, scatter, slices, stash, utf8
+from .common import BLOB_SCHEMA, aside, gather, lean, n_parts, scatter, slices, stash, utf8
 from .hashing import U64, byte_windows, mix, sliding
 
 GRAM = 16
@@ -245,8 +245,8 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
 
     # 31 bytes for each sampled position, one in 18 bytes: buckets of about 15 MB
     parts = n_parts(spark, body, 8 << 20)
-    found = stash(source.mapInPandas(_sample(parts, width), BLOB_SCHEMA).groupBy("part")
-                  .applyInPandas(_bucket, "doc long, row long, lo int, hi int, tag int, gram long"), "buckets")
+    found = stash(source.mapInPandas(lean(_sample(parts, width)), BLOB_SCHEMA).groupBy("part")
+                  .applyInPandas(lean(_bucket), "doc long, row long, lo int, hi int, tag int, gram long"), "buckets")
     # lists of numbers, not of records: a worker reads them as arrays
     asked = found.where("tag > 0").groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi", "tag", "gram")).alias("runs")) \
         .select("doc", "row", *[F.col(f"runs.{c}").alias(c) for c in ("lo", "hi", "tag", "gram")])
@@ -254,13 +254,13 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
     sent = found.where("tag > 0").agg(F.sum(F.when(F.col("tag") == 1, _context(width).itemsize)
                                             .otherwise((F.col("hi") - F.col("lo") + 1) * STRING.itemsize))).first()[0] or 0
     parts = n_parts(spark, sent, STRINGS_BYTES)
-    strings = source.join(asked, ["doc", "row"]).mapInPandas(_strings(parts, width), BLOB_SCHEMA)
-    more = stash(strings.groupBy("part").applyInPandas(_merge(parts, width), "doc long, row long, lo int, hi int"), "strings")
+    strings = source.join(asked, ["doc", "row"]).mapInPandas(lean(_strings(parts, width)), BLOB_SCHEMA)
+    more = stash(strings.groupBy("part").applyInPandas(lean(_merge(parts, width)), "doc long, row long, lo int, hi int"), "strings")
     covered = found.where("tag = 0").select("doc", "row", "lo", "hi").union(more) \
         .groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")) \
         .select("__doc", "__row", *[F.col(f"runs.{c}").alias(c) for c in ("lo", "hi")])
     marks = stash(sizes.join(covered, ["__doc", "__row"], "left").where("whole or lo is not null")
-                  .mapInPandas(_pieces(width), "__doc long, __row long, __removed long, __spans long, __at array<int>, __size array<int>")
+                  .mapInPandas(lean(_pieces(width)), "__doc long, __row long, __removed long, __spans long, __at array<int>, __size array<int>")
                   .select("*", F.arrays_zip("__at", "__size").alias("__pieces")).drop("__at", "__size"), "marks")
     cut = lambda k, p: F.concat(k, F.substring("__data", p["__at"] + 1, p["__size"]))
     return docs.withColumns({"__row": key, "__doc": F.col("doc_id")}).join(marks, ["__doc", "__row"], "left").withColumn("__data", utf8()) \
@@ -279,5 +279,5 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``; bytes that no longer form a character become
     U+FFFD. All other columns stay as they are."""
     cut = F.when(F.col("__removed") > 0, F.make_valid_utf8(F.col("__kept").cast("string"))).otherwise(F.col("text"))
-    marked = _marked(docs, width)
-    return marked.select(*[cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    packed, restore = aside(docs)
+    return restore(_marked(packed, width), text=cut)

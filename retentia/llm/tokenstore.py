@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from retentia.operators.ordered import rank_within
 
 from .bpe import encoder, read_json
-from .common import n_parts, shared_dir, slices, stash
+from .common import lean, n_parts, shared_dir, slices, stash
 from .hashing import U64, mix
 
 GAMMA, LEVELS = 2.0, 40
@@ -208,9 +208,9 @@ def write_store(docs: DataFrame, tokenizer: str, level: str = "word", end_id: in
     limits, nth = _limits(keyed, n_parts(spark, keyed.select("key").count(), docs_per_shard))
     shards = max(len(limits), 1)
     model, cut, first = (spark.sparkContext.broadcast(v) for v in ((read_json(tokenizer), level), limits, nth))
-    rows = keyed.mapInPandas(_tokenise(model, end_id, cut), "shard int, key long, tie long, salt long, width int, ids binary")
+    rows = keyed.mapInPandas(lean(_tokenise(model, end_id, cut)), "shard int, key long, tie long, salt long, width int, ids binary")
     buckets = min(shards, BUCKETS)
-    written = rows.repartition(buckets, "shard").groupBy("shard").applyInPandas(_shard(first), SHARDS)
+    written = rows.repartition(buckets, "shard").groupBy("shard").applyInPandas(lean(_shard(first)), SHARDS)
     name = f"retentia_tokens_{uuid.uuid4().hex}"
     written.write.bucketBy(buckets, "shard").option("path", f"{path}/shards").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")                               # the files stay: the table is external

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import lean, stash
 from .hashing import U64, mix, word_hashes
 
 BITS = 20
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     sample = stash(rows.withColumn("order", order).orderBy("order", "doc_id", "toxic").limit(MAX_ROWS), "labelled")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     learnt = texts.join(F.broadcast(sample), "doc_id") \
-        .withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fit, "at int, weight double")
+        .withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lean(_fit), "at int, weight double")
     w = stash(learnt, "weights").orderBy("at").toPandas()          # at most 2**BITS coordinates
     return w["at"].to_numpy(np.int64), w["weight"].to_numpy(np.float64)
 
@@ -87,8 +87,7 @@ def scorer(docs: DataFrame, at: np.ndarray, weight: np.ndarray):
     """A column function: text -> score between 0 and 1."""
     table = docs.sparkSession.sparkContext.broadcast((at.astype(np.int32), weight.astype(np.float32)))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at, weight = table.value
         dense = np.zeros(1 << BITS, np.float32)
         dense[at] = weight
@@ -99,6 +98,10 @@ def scorer(docs: DataFrame, at: np.ndarray, weight: np.ndarray):
                 x = np.unique(x[dense[x] != 0])
                 out[k] = dense[x].sum(dtype=np.float64)
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -35, 35))) if len(at) else out)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(run)(batches)
     return lambda c: score(F.coalesce(c, F.lit("")).cast("binary"))
 
 

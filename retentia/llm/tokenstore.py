@@ -15,7 +15,7 @@ of words to count, one fingerprint and one place, all in the stored bytes, whate
 
 Payload is shuffled once, into shards. A lookup sends keys to shards; the shards are read where they lie, since their
 files are bucketed by shard, and few asked shards prune the other buckets. Shards hold at most about ``docs_per_shard``
-rows, also where one doc_id has a third of all rows: limits are (doc_id, text hash, salt), and equal doc_ids are numbered across shards.
+rows and ``SHARD_BYTES`` of text (or one longer text), also where one doc_id has a third of all rows: limits are (doc_id, text hash, salt), and equal doc_ids are numbered across shards.
 
 Defined cases: a null text is empty (the end id alone); repeated doc_ids are repeated keys, each row is stored in the order
 of its text's hash and answered in that order; a null doc_id sorts first and is a key like any other.
@@ -41,6 +41,8 @@ from .hashing import U64, mix
 GAMMA, LEVELS = 2.0, 40
 #: Bytes of a page; words of a counted block; files at most; asked shards up to which the others' files are not opened.
 PAGE, BLOCK, BUCKETS, FEW = 256 << 10, 8, 20_000, 200
+#: Text bytes of a shard, and small ranges that make one.
+SHARD_BYTES, FINE = 6 << 20, 8
 SHARDS = ("shard int, page int, n_ids long, width int, payload binary, first_key long, first_nth long, levels array<binary>, "
           "prints binary, places binary")
 PLACE = np.dtype([("start", "<i8"), ("n", "<i8")])
@@ -181,21 +183,30 @@ def _shard(first_nth):
     return run
 
 
-def _limits(keyed: DataFrame, shards: int) -> tuple[np.ndarray, dict[int, int]]:
-    """First (key, tie, salt) of each shard, and how many rows of its first key stand in earlier shards. Range partitions of the
-    three small columns; a hot key spans several of them."""
-    parted = keyed.select("key", "tie", "salt").repartitionByRange(shards, "key", "tie", "salt").select("*", F.spark_partition_id().alias("p"))
+def _limits(keyed: DataFrame, rows: int, docs_per_shard: int) -> tuple[np.ndarray, dict[int, int]]:
+    """First (key, tie, salt) of each shard, and how many rows of its first key stand in earlier shards.
+
+    Small range partitions of the key columns, in which a hot key spans several, are joined to shards of at most about
+    ``docs_per_shard`` rows and ``SHARD_BYTES`` of text.
+    """
+    spark = keyed.sparkSession
+    most = min(docs_per_shard, max(-(-rows // int(spark.conf.get("spark.sql.shuffle.partitions"))), 1))
+    parted = keyed.select("key", "tie", "salt", F.octet_length("text").cast("long").alias("size")) \
+        .repartitionByRange(n_parts(spark, rows, max(most // FINE, 1)), "key", "tie", "salt").select("*", F.spark_partition_id().alias("p"))
     at = F.struct("key", "tie", "salt")
-    # a row per shard and edge key
-    edges = stash(parted.groupBy("p", "key").agg(F.count("*").alias("n"), F.min(at).alias("a"))
-                  .groupBy("p").agg(F.min("a").alias("first"), F.max_by(F.struct("key", "n"), "key").alias("last"),
-                                    F.count("*").alias("keys")), "shard-limits").orderBy("p").collect()
-    limits = np.array([tuple(r["first"]) for r in edges], LIMIT)
-    nth, held = {}, (None, 0)                                      # the last key so far and its rows
-    for s, r in enumerate(edges):
-        nth[s] = held[1] if r["first"]["key"] == held[0] else 0
-        held = (r["last"]["key"], r["last"]["n"] + (nth[s] if r["keys"] == 1 else 0))
-    return limits, nth
+    # a row per range
+    edges = stash(parted.groupBy("p", "key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min(at).alias("a"))
+                  .groupBy("p").agg(F.min("a").alias("first"), F.max_by(F.struct("key", "n"), "key").alias("last"), F.count("*").alias("keys"),
+                                    F.sum("n").alias("n"), F.sum("size").alias("size")), "shard-limits").orderBy("p").collect()
+    limits, nth, held, n, size = [], {}, (None, 0), 0, 0           # held: the last key so far and its rows
+    for r in edges:
+        before = held[1] if r["first"]["key"] == held[0] else 0
+        if not limits or n + r["n"] > most or size + r["size"] > SHARD_BYTES:
+            nth[len(limits)], n, size = before, 0, 0
+            limits.append(tuple(r["first"]))
+        n, size = n + r["n"], size + r["size"]
+        held = (r["last"]["key"], r["last"]["n"] + (before if r["keys"] == 1 else 0))
+    return np.array(limits, LIMIT), nth
 
 
 def write_store(docs: DataFrame, tokenizer: str, level: str = "word", end_id: int = 1, docs_per_shard: int = 4096, path: str | None = None) -> str:
@@ -205,7 +216,7 @@ def write_store(docs: DataFrame, tokenizer: str, level: str = "word", end_id: in
     # equal (doc_id, text) rows are alike, so any salt deals them; this one is the same whenever a split is read again
     keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_DOC)).alias("key"), F.coalesce("text", F.lit("")).alias("text")) \
         .withColumns({"tie": F.xxhash64("text"), "salt": F.monotonically_increasing_id()})
-    limits, nth = _limits(keyed, n_parts(spark, keyed.select("key").count(), docs_per_shard))
+    limits, nth = _limits(keyed, keyed.select("key").count(), docs_per_shard)
     shards = max(len(limits), 1)
     model, cut, first = (spark.sparkContext.broadcast(v) for v in ((read_json(tokenizer), level), limits, nth))
     rows = keyed.mapInPandas(lean(_tokenise(model, end_id, cut)), "shard int, key long, tie long, salt long, width int, ids binary")

@@ -127,7 +127,7 @@ class Rows:
         keep = np.ones(len(y), bool) if fit.fold is None else fold != fit.fold
         self.x, self.y, self.fold, self.key = x[keep], y[keep], fold[keep], key[keep]
         self.layout, self.fit, self.number, self.added = layout, fit, None, 0
-        self.raw = np.full(len(self.y), fit.base)
+        self.raw, self.columns = np.full(len(self.y), fit.base), np.ascontiguousarray(self.x.T)
 
     def __call__(self, batch: list) -> list[np.ndarray]:
         out = []
@@ -137,7 +137,9 @@ class Rows:
             self.added = len(r.done)
             if r.number != self.number:
                 self.v, self.number = self.fit.values(self.y, self.fold, self.key, self.raw, r.number), r.number
-            out.append(node_sums(self.x, self.v, r, self.layout))
+                self.node = np.zeros(len(self.y), np.int32)
+            self.node = r.tree.route(self.x, self.node)
+            out.append(node_sums(self.x, self.v, r, self.layout, self.node, self.columns))
         return out
 
 

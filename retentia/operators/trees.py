@@ -43,7 +43,7 @@ class TreeRule:
 class Layout:
     """Cut values per feature (``x <= cuts[b]`` goes left of bin b) and the coarser bins for trees on feature samples."""
     cuts: list[np.ndarray]
-    coarse_bins: int = 64
+    coarse_bins: int = 32
     start: np.ndarray = field(init=False)
     coarse: np.ndarray = field(init=False)
     fine: np.ndarray = field(init=False)
@@ -86,25 +86,29 @@ class Tree:
         g, h = self.sums[:2]
         return rate * np.divide(g, h, out=np.zeros(len(g)), where=h > 0)
 
-    def route(self, x: np.ndarray) -> np.ndarray:
-        """Node that each row of the binned matrix reaches."""
-        node, rows = np.zeros(len(x), np.int32), np.arange(len(x))
+    def route(self, x: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+        """Node that each row of the binned matrix reaches; ``node``, where the rows stood when the tree was smaller, is moved on."""
+        node = np.zeros(len(x), np.int32) if node is None else node
+        rows = np.flatnonzero(self.feature[node] >= 0)
         while len(rows):
-            f = self.feature[node[rows]]
-            inner = f >= 0
-            rows, f = rows[inner], f[inner]
             at = node[rows]
-            node[rows] = self.left[at] + (x[rows, f] > self.cut[at])
+            to = self.left[at] + (x[rows, self.feature[at]] > self.cut[at])
+            node[rows] = to
+            rows = rows[self.feature[to] >= 0]
         return node
 
 
 def best_splits(sums: np.ndarray, start: np.ndarray, rule: TreeRule, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best position, its gain (0: none) and the left sums (3, nodes). ``sums`` is (3, nodes, positions): blocks of bins,
     block k from ``start[k]``; the first of equal gains wins."""
-    cum = np.cumsum(sums, axis=2)
-    total = cum[:, :, start[1] - 1]
-    before = np.concatenate([np.zeros((*cum.shape[:2], 1)), cum[:, :, start[1:-1] - 1]], axis=2)
-    left = cum - np.repeat(before, np.diff(start), axis=2)
+    width = np.diff(start)
+    if (width == width[0]).all():
+        left = np.cumsum(sums.reshape(*sums.shape[:2], len(width), -1), axis=3).reshape(sums.shape)
+    else:
+        cum = np.cumsum(sums, axis=2)
+        before = np.concatenate([np.zeros((*cum.shape[:2], 1)), cum[:, :, start[1:-1] - 1]], axis=2)
+        left = cum - np.repeat(before, width, axis=2)
+    total = left[:, :, start[1] - 1]
     right = total[:, :, None] - left
     den = 2 if rule.kind == "residual" else 1
     ok = (left[2] >= rule.min_leaf) & (right[2] >= rule.min_leaf)
@@ -238,18 +242,20 @@ def boost(rule: TreeRule, layout: Layout, scale: float, seed: int) -> Generator[
     return done
 
 
-def node_sums(x: np.ndarray, values: np.ndarray, request: Request, layout: Layout) -> np.ndarray:
-    """The answer to a request from the rows at hand: binned matrix ``x`` (rows, features) and ``values`` (3, rows)."""
+def node_sums(x: np.ndarray, values: np.ndarray, request: Request, layout: Layout, node: np.ndarray | None = None,
+              columns: np.ndarray | None = None) -> np.ndarray:
+    """The answer to a request from the rows at hand: binned matrix ``x`` (rows, features) and ``values`` (3, rows). A caller
+    that keeps all rows may pass the ``node`` each one reaches and the matrix by ``columns``."""
     slot = np.full(len(request.tree.feature), -1, np.int64)
     slot[request.nodes] = np.arange(len(request.nodes))
-    slot = slot[request.tree.route(x)]
+    slot = slot[request.tree.route(x) if node is None else node]
     rows = np.flatnonzero((slot >= 0) & (values[2] > 0))
     slot, values, m = slot[rows], values[:, rows], len(request.nodes)
     if request.features is None:
         out = np.zeros((3, m, layout.start[-1]))
         for j in range(x.shape[1]):
             a, b = layout.start[j], layout.start[j + 1]
-            at = slot * (b - a) + x[rows, j]
+            at = slot * (b - a) + (x[rows, j] if columns is None else columns[j][rows])
             for c in range(3):
                 out[c, :, a:b] = np.bincount(at, values[c], m * (b - a)).reshape(m, b - a)
         return out

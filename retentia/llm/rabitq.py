@@ -5,12 +5,14 @@
    a pair at the threshold shares no band (``MISS``).
 2. A code is the sign pattern of the rotated unit vector. Its correction factor, the inner product of
    vector and code, makes ``<code, query> / factor`` an unbiased estimate of the cosine, with an error
-   of about ``sqrt((1 - factor^2) / factor^2 / (dim - 1))``.
-3. Pairs whose upper confidence bound stays under the threshold are dropped. Every other pair is
-   computed anew in double precision on the original vectors; only that decides a link.
+   of about ``sqrt((1 - factor^2) / factor^2 / (dim - 1))``. Codes, factors and the rotated vectors as queries (a signed
+   byte a dimension) are computed once and written; buckets exchange these, a sixth of the vectors' bytes.
+3. Pairs whose upper confidence bound (with the bytes' rounding on top) stays under the threshold are dropped. Only vectors
+   with an undecided pair fetch their originals; those pairs are computed anew in double precision, and only that
+   decides a link.
 
 A pair that shares several bands counts in the first. Large buckets are compared in blocks; a task
-writes a count per vector and a spanning forest, never a bucket's pairs.
+writes the vectors with undecided pairs, then a count per vector and a spanning forest, never a bucket's pairs.
 
 Defined cases: null, empty, zero and non-finite vectors, and rows with a null vec_id, link with nothing and are
 their own component (null for a null vec_id); vectors of different lengths are never compared; rows that repeat a
@@ -40,7 +42,7 @@ BLOCK = 512
 
 def layout(n: int, cosine: float) -> tuple[int, int]:
     """Bits per band, for buckets of about 16 unrelated classes, and bands."""
-    bits = min(24, max(4, math.ceil(math.log2(max(n, 1) / 16 + 1))))
+    bits = min(40, max(4, math.ceil(math.log2(max(n, 1) / 16 + 1))))
     meet = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(MISS) / math.log(1 - meet))
 
@@ -83,15 +85,56 @@ def upper_bounds(y: np.ndarray, c: np.ndarray, f: np.ndarray) -> np.ndarray:
     return (y @ c.T) / f + slack
 
 
+CODES = "vec_id long, y8 binary, scale double, bits binary, factor double"
+
+
+def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The code table: query bytes and their unit, code bits, correction factor."""
+    for pdf in batches:
+        for _, part in pdf.groupby("dim", sort=False):
+            y, c, f = code(unit(np.stack(part.v.to_numpy())))
+            scale = np.abs(y).max(axis=1) / 127
+            y8, bits = np.rint(y / scale[:, None]).astype(np.int8), np.packbits(c > 0, axis=1)
+            yield pd.DataFrame({"vec_id": part.vec_id.to_numpy(np.int64), "y8": [r.tobytes() for r in y8], "scale": scale,
+                                "bits": [r.tobytes() for r in bits], "factor": f})
+
+
+def undecided(pdf: pd.DataFrame, cosine: float) -> np.ndarray:
+    """Pairs (row < column, rows in vec_id order) of a block pair that the stored codes do not rule out."""
+    n, dim = len(pdf), len(pdf.y8.iloc[0])
+    scale, f = pdf.scale.to_numpy(), pdf.factor.to_numpy()
+    y = np.frombuffer(b"".join(pdf.y8), np.int8).reshape(n, dim) * scale[:, None]
+    bits = np.unpackbits(np.frombuffer(b"".join(pdf.bits), np.uint8).reshape(n, -1), axis=1, count=dim)
+    c = (bits * 2.0 - 1.0) / math.sqrt(dim)
+    # each query byte is off by half a unit at most
+    rounding = math.sqrt(dim) * scale[:, None] / 2 / f
+    maybe = np.triu(upper_bounds(y, c, f) + rounding >= cosine, 1)
+    if pdf.i.iloc[0] != pdf.j.iloc[0]:
+        blk = pdf.blk.to_numpy()
+        maybe &= blk[:, None] != blk
+    return maybe
+
+
+def _open(cosine: float):
+    """Rows (g, i, j, blk, vec_id) of vectors with an undecided pair there."""
+    def work(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, part in pdf.groupby(["g", "i", "j"], sort=False):
+            if len(part) > 1:
+                part = part.sort_values("vec_id", kind="stable")
+                maybe = undecided(part, cosine)
+                left = maybe.any(axis=0) | maybe.any(axis=1)
+                if left.any():
+                    yield part.loc[left, ["g", "i", "j", "blk", "vec_id"]]
+    return _groups(work)
+
+
 def _links(bits: int, bands: int, cosine: float):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        vec, blk, copies = (pdf[c].to_numpy(np.int64) for c in ("vec_id", "blk", "copies"))
+        pdf = pdf.sort_values("vec_id", kind="stable")
+        vec, copies = (pdf[c].to_numpy(np.int64) for c in ("vec_id", "copies"))
         v = np.stack(pdf.v.to_numpy()).astype(np.float64)
         x = unit(v)
-        maybe = np.triu(upper_bounds(*code(x)) >= cosine, 1)
-        if pdf.i.iloc[0] != pdf.j.iloc[0]:
-            maybe &= blk[:, None] != blk
-        a, b = np.nonzero(maybe)
+        a, b = np.nonzero(undecided(pdf, cosine))
         keys = band_keys(x, bits, bands)
         band = (int(pdf.g.iloc[0]) >> bits) % bands
         keep = []
@@ -124,11 +167,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     posted = stash(reps.select("vec_id", "v", "dim").mapInPandas(_bands(bits, bands), "vec_id long, g long"), "bands")
     size = posted.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    codes = stash(reps.select("vec_id", "v", "dim").mapInPandas(_coded, CODES), "vector-code-table")
     dealt = posted.join(size, "g").withColumn("blk", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) \
         .select("g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "vec_id") \
-        .join(reps.select("vec_id", "copies", "v"), "vec_id")
-    found = stash(dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+        .join(codes, "vec_id")
+    left = stash(dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+                 .mapInPandas(_open(cosine), "g long, i int, j int, blk int, vec_id long"), "undecided")
+    found = stash(left.join(codes, "vec_id").join(reps.select("vec_id", "copies", "v"), "vec_id")
+                  .repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
                   .mapInPandas(_links(bits, bands, cosine), "vec_id long, n long, hub long"), "vector-links")
     name = reps.select("vec_id", "rep")
     edges = found.where("hub <> vec_id").join(name, "vec_id").select("hub", F.col("rep").alias("a")) \

@@ -133,3 +133,18 @@ def test_the_scan_keeps_the_nearest(seed):
     alive = adsearch.scan(q, x, 5)
     top = np.argsort(-(x @ q))[:5]
     assert len(set(top) & set(alive)) >= 4 and len(alive) < 600          # most are abandoned
+
+
+def test_stored_codes_rule_out_no_link_and_most_others():
+    import pandas as pd
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 64))
+    near = base[:20] + rng.normal(size=(20, 64)) * 0.15                  # cosine about .99
+    x = np.concatenate([base, near, rng.normal(size=(200, 64))])
+    table = pd.concat(rabitq._coded(iter([pd.DataFrame({"vec_id": np.arange(len(x)), "v": list(x), "dim": 64})])))
+    assert all(len(b) == 8 for b in table.bits) and all(len(b) == 64 for b in table.y8)
+    maybe = rabitq.undecided(table.assign(g=0, i=0, j=0, blk=0), 0.95)
+    u = vectors.unit(x)
+    link = np.triu(u @ u.T >= 0.95, 1)
+    assert link.sum() >= 15 and not (link & ~maybe).any()
+    assert maybe.sum() < 0.02 * len(x) ** 2

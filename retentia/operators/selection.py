@@ -1,8 +1,8 @@
 """Exact order statistics by counting, without sorting or moving rows.
 
 A double's 64-bit image keeps its order. Each scan reads the next ``DIGIT`` bits of the values that still share a prefix with a
-wanted rank and counts them; four scans fix every rank of every column at once. A task sends only counts, at most 2^16 for a
-prefix, whatever the table's size.
+wanted rank and counts them; four scans fix every rank of every column at once, and two where at most ``FEW`` values of a column
+are left after the first. A task sends only counts: at most 2^16 for a prefix, or ``FEW``, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from retentia.session import ship
 
-DIGIT, MERGED = 16, 64
+DIGIT, FEW, MERGED = 16, 200_000, 64
 _TOP = np.uint64(1 << 63)
 
 
@@ -32,10 +32,10 @@ def value(bits: np.ndarray) -> np.ndarray:
     return np.where(bits & _TOP, bits & ~_TOP, ~bits).view(np.float64)
 
 
-def _counts(df: DataFrame, names: list[str], prefixes: dict[str, np.ndarray], done: int) -> dict[str, dict[int, int]]:
-    """Per column and longer prefix (``done`` + DIGIT bits), the number of values; only below ``prefixes``. Nulls and NaN are left out."""
+def _counts(df: DataFrame, names: list[str], prefixes: dict[str, np.ndarray], done: int, bits: int) -> dict[str, dict[int, int]]:
+    """Per column and longer prefix (``done`` + ``bits`` bits), the number of values; only below ``prefixes``. Nulls and NaN are left out."""
     sent = df.sparkSession.sparkContext.broadcast(prefixes)
-    shift = np.uint64(64 - done - DIGIT)
+    shift = np.uint64(64 - done - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -45,7 +45,7 @@ def _counts(df: DataFrame, names: list[str], prefixes: dict[str, np.ndarray], do
                 x = batch.column(c).drop_null().to_numpy(zero_copy_only=False).astype(np.float64)
                 longer = image(x[~np.isnan(x)]) >> shift
                 if done:
-                    longer = longer[np.isin(longer >> np.uint64(DIGIT), sent.value[c])]
+                    longer = longer[np.isin(longer >> np.uint64(bits), sent.value[c])]
                 for p, n in zip(*(a.tolist() for a in np.unique(longer, return_counts=True))):
                     total[i][p] = total[i].get(p, 0) + n
         g = TaskContext.get().partitionId() // MERGED
@@ -76,23 +76,28 @@ def order_statistics(df: DataFrame, columns: dict[str, Column], ranks) -> tuple[
     sizes: dict[str, int] = {}
     # (prefix, values before it) of each wanted rank
     at: dict[str, dict[int, tuple[int, int]]] = {n: {} for n in names}
-    for done in range(0, 64, DIGIT):
-        found = _counts(data, names, {n: np.unique(np.array([p for p, _ in at[n].values()], np.uint64)) for n in names}, done)
+    done, bits = 0, DIGIT
+    while done < 64:
+        found = _counts(data, names, {n: np.unique(np.array([p for p, _ in at[n].values()], np.uint64)) for n in names}, done, bits)
+        left = 0
         for n in names:
             if not done:
                 sizes[n] = sum(found[n].values())
                 at[n] = {r: (0, 0) for r in ranks(n, sizes[n]) if 0 <= r < sizes[n]}
             below: dict[int, list[tuple[int, int]]] = {}
             for p, c in sorted(found[n].items()):
-                below.setdefault(p >> DIGIT, []).append((p, c))
+                below.setdefault(p >> bits, []).append((p, c))
             for r, (prefix, before) in at[n].items():
                 for p, c in below[prefix]:
                     if r < before + c:
                         break
                     before += c
                 at[n][r] = (p, before)
+            left = max(left, sum(found[n][p] for p in {p for p, _ in at[n].values()}))
         if not any(at.values()):
             break
+        done += bits
+        bits = 64 - done if left <= FEW else DIGIT
     return {n: {r: float(value(np.array([p], np.uint64))[0]) for r, (p, _) in at[n].items()} for n in names}, sizes
 
 

@@ -17,7 +17,9 @@ def test_image_keeps_the_order():
     assert SE.value(bits).tolist() == [0.0 if v == 0 else v for v in x.tolist()]
 
 
-def test_order_statistics_equal_sorting(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_order_statistics_equal_sorting(spark, monkeypatch, few):
+    monkeypatch.setattr(SE, "FEW", few)                             # four scans, or two
     rng = np.random.default_rng(6)
     a = np.r_[rng.normal(size=700), np.full(300, 0.25), -rng.exponential(1e9, 100), [np.inf, -np.inf]]
     rows = [(float(v), float(i % 3), None if i % 5 else float(-i)) for i, v in enumerate(a)] + [(None, None, None), (float("nan"), 1.0, None)]

@@ -119,7 +119,8 @@ def _sums(x: DataFrame, dim: int, books: list[np.ndarray]) -> tuple[list[list[in
         return pd.DataFrame({"g": pdf["g"][:1], "s": [total.tobytes()]})
     schema = "g int, s binary"
     done = [0] * (parts * k * (width + 1))
-    for row in x.select("x").mapInArrow(part, schema).groupBy("g").applyInPandas(merge, schema).toLocalIterator():
+    # one row for ``MERGED`` tasks, in one job: an iterator would run a job per shuffle partition
+    for row in x.select("x").mapInArrow(part, schema).groupBy("g").applyInPandas(merge, schema).collect():
         done = [a + b for a, b in zip(done, np.frombuffer(row.s, np.int64).tolist())]      # Python integers never overflow
     cells = [[done[(p * k + e) * (width + 1):(p * k + e + 1) * (width + 1)] for e in range(k)] for p in range(parts)]
     return [[c[0] for c in row] for row in cells], [[c[1:] for c in row] for row in cells]

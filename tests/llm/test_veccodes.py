@@ -100,3 +100,21 @@ def test_query_equals_its_sql(spark):
     names = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(names)
     assert sorted(map(tuple, got.select(names).collect())) == sorted(want.fetchall())
+
+
+def test_a_round_is_one_job_whatever_the_shuffle_partitions(spark):
+    rows = [(i, [float(i % 7), 0.5, 0.25, float(i)], 0) for i in range(60)]
+    x = veccodes.stash(veccodes.integers(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", "label", 4096), "test-integers")
+    books = [np.arange(4).reshape(2, 2)] * 2
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("codes-round", "a round")
+        counts, _ = veccodes._sums(x, 4, books)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert [sum(c) for c in counts] == [60, 60]
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("codes-round")) <= 4

@@ -152,8 +152,9 @@ def _tokenise(model, end_id: int, limits):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, cut = encoder(*model.value), limits.value
         width = "<u2" if bpe.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
+        end = np.array([end_id], width).tobytes()
         for pdf in slices(batches, "text", 4 << 20):
-            ids = [np.r_[x, end_id].astype(width).tobytes() for x in bpe.encode(pdf.text.tolist())]
+            ids = [x.astype(width).tobytes() + end for x in bpe.encode(pdf.text.tolist())]
             at = np.rec.fromarrays([pdf[c].to_numpy(np.int64) for c in LIMIT.names], LIMIT)
             yield pd.DataFrame({"shard": (np.searchsorted(cut, at, "right") - 1).clip(0).astype(np.int32),
                                 "key": pdf.key, "tie": pdf.tie, "salt": pdf.salt, "width": np.int32(int(width[-1])), "ids": ids})
@@ -191,8 +192,10 @@ def _limits(keyed: DataFrame, rows: int, docs_per_shard: int) -> tuple[np.ndarra
     """
     spark = keyed.sparkSession
     most = min(docs_per_shard, max(-(-rows // int(spark.conf.get("spark.sql.shuffle.partitions"))), 1))
+    ranges = n_parts(spark, rows, max(most // FINE, 1))
+    # a task counts ``FINE`` ranges, one after the other
     parted = keyed.select("key", "tie", "salt", F.octet_length("text").cast("long").alias("size")) \
-        .repartitionByRange(n_parts(spark, rows, max(most // FINE, 1)), "key", "tie", "salt").select("*", F.spark_partition_id().alias("p"))
+        .repartitionByRange(ranges, "key", "tie", "salt").select("*", F.spark_partition_id().alias("p")).coalesce(-(-ranges // FINE))
     at = F.struct("key", "tie", "salt")
     # a row per range
     edges = stash(parted.groupBy("p", "key").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min(at).alias("a"))

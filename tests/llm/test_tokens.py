@@ -197,3 +197,18 @@ def test_long_document_over_pages(spark, documents, monkeypatch):
     for i, x in rows:
         ids = t.encode(x, add_special_tokens=False).ids + [1]
         assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_a_task_counts_several_ranges(spark, documents):
+    rows = documents([(i, f"t{i}") for i in range(400)]).selectExpr("doc_id key", "text", "hash(text) + 0L tie", "doc_id salt")
+    spark.sparkContext.setJobGroup("store-limits", "limits")
+    try:
+        limits, nth = tokenstore._limits(rows, 400, 8)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("store-limits") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 400 // tokenstore.FINE
+    first = limits["key"].tolist()
+    assert first[0] == 0 and first == sorted(first) and not any(nth.values())
+    assert max(b - a for a, b in zip(first, first[1:] + [400])) <= 8

@@ -1,4 +1,4 @@
-"""Grown trees in few bytes a node, and a queue that finishes trees before it starts others."""
+"""Grown trees in few bytes a node, leaves found by masks, and a queue that finishes trees before it starts others."""
 
 import pickle
 
@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from retentia.operators import ensembles as EN
+from retentia.operators import models as MD
 from retentia.operators.trees import Layout, TreeRule, drive
 
 K = 5
@@ -76,6 +77,41 @@ def test_fitted_trees_take_few_bytes(spark):
             assert kept < 14 * len(model.feature) and len(model.feature) > 3000
 
 
+@pytest.mark.parametrize("chunk", [4096, 700])
+@pytest.mark.parametrize("rule", RULES)
+def test_hits_by_masks_equal_whole_walks(rule, chunk, monkeypatch):
+    monkeypatch.setattr(EN, "PERMUTED_CHUNK", chunk)
+    monkeypatch.setattr(EN, "SCORED_CHUNK", chunk)
+    trees, fit, layout, x, y = grown(rule, 1500)
+    model = EN.TreeEnsemble.of(fit, EN.Nodes.of(fit, trees, 5), layout)
+    rng = np.random.default_rng(1)
+    x[rng.uniform(size=x.shape) < 0.02] = np.nan
+    donors = x[rng.permutation(len(x))]
+    hit = lambda v: int(((model.probability(model.raw(v)) >= 0.5) == (y == 1)).sum())
+    want = [hit(x)]
+    for j in range(5):
+        v = x.copy()
+        v[:, j] = donors[:, j]
+        want.append(hit(v))
+    code, other = model.coded(x), model.coded(donors)
+    assert code.dtype == np.uint8 and np.abs(model.permuted_hits(code, y, other, 0.5) - want).max() <= 1     # sums in another order
+    assert (rule.depth >= 8) == any(t is None for t in model._masks()[0])
+
+
+def test_permuted_rows_travel_as_a_byte_a_value(spark, monkeypatch):
+    x, y = rows_of(400)
+    cols = [f"f_{j}" for j in range(5)]
+    df = spark.createDataFrame([(f"E{i}", float(y[i]), i % K, int(i % K < 2), *map(float, x[i])) for i in range(len(y))],
+                               "EmployeeID string, label double, fold int, is_test int, " + ", ".join(f"{c} double" for c in cols))
+    prep = MD.Prepared(df, cols, None, cols)
+    spec = MD.ModelSpec("trees", False, True, rule=TreeRule("newton", 4, 3, 10, True, rate=0.3))
+    model = MD.fit_many([spec], prep, [None])["trees"][0]
+    written, plain = {}, MD.write_once
+    monkeypatch.setattr(MD, "write_once", lambda d, name: written.setdefault(name, plain(d, name)))
+    assert MD.permutation_importance(model, prep, repeats=2).count() == 5
+    assert sum(len(r.x) for r in written["permutation-blocks"].collect()) == 160 * 5
+
+
 def test_queue_finishes_trees_before_it_starts_others():
     begun, most, ended = set(), [], []
 
